@@ -76,7 +76,8 @@ class WordHasher:
 
     def _grow(self, n: int) -> None:
         while len(self.powers) < n:
-            step, back = self.powers[-1] * np.uint64(self.BASE), self.inverses[-1] * self.inverse
+            size = len(self.powers)
+            step, back = (np.uint64(pow(x, size, 1 << 64)) for x in (self.BASE, int(self.inverse)))
             self.powers = np.concatenate([self.powers, self.powers * step])
             self.inverses = np.concatenate([self.inverses, self.inverses * back])
 
