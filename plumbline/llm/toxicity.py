@@ -27,7 +27,9 @@ BEGINNINGS = (4, 5, 6)
 #: Features kept by evidence, and how many of them vote.
 MOST_FEATURES, MOST_VOTERS = 2048, 64
 #: Evidence in nats (times a feature's support, the divergence of its class share from the overall share).
-LEAST_EVIDENCE = 9.0
+LEAST_EVIDENCE = 11.5
+#: Different words that a beginning needs among documents of class 1, and the share of them that one word may have.
+LEAST_WORDS, MOST_ONE_WORD = 3, 0.7
 #: How reliable the given labels are as a voter.
 LABEL_RELIABILITY = 0.95
 
@@ -119,6 +121,27 @@ def _distinct_documents(texts: pa.Array) -> np.ndarray:
     return keep
 
 
+def _broad(texts: pa.Array, keys: np.ndarray) -> np.ndarray:
+    """Marks the sorted keys that are words, or beginnings which several words share: one word's beginning says no more."""
+    hits = [[], []]
+    for _, data, offsets in text_blocks(texts):
+        starts, ends, rows, sums = _HASHER.words(data, offsets)
+        words = _HASHER.range(sums, starts, ends)
+        for k in BEGINNINGS:
+            long = np.flatnonzero(ends - starts > k)
+            own = mix(_HASHER.range(sums, starts[long], starts[long] + k) ^ np.uint64(k))
+            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            hit = keys[at] == own
+            hits[0].append(at[hit])
+            hits[1].append(words[long[hit]])
+    broad = np.ones(len(keys), bool)
+    of, words = map(np.concatenate, hits)
+    for k in np.unique(of):
+        count = np.unique(words[of == k], return_counts=True)[1]
+        broad[k] = len(count) >= LEAST_WORDS and count.max() <= MOST_ONE_WORD * count.sum()
+    return broad
+
+
 def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 3, steps: int = 20) -> tuple[np.ndarray, list[dict]]:
     """Posterior of class 1 by row, and each voter's accuracy and shared weight.
 
@@ -199,6 +222,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     share = np.clip(hits / np.maximum(support, 1), 1e-9, 1 - 1e-9)
     evidence = support * (share * np.log(share / prior) + (1 - share) * np.log((1 - share) / (1 - prior)))
     good = np.flatnonzero((support >= 3) & (share > prior) & (share > 0.9) & (evidence > LEAST_EVIDENCE))
+    if len(good):
+        good = good[_broad(texts.filter(pa.array(once & (y == 1))), keys[good])]
     good = good[np.argsort(-evidence[good], kind="stable")][:MOST_FEATURES]
     column = np.full(len(keys), -1)
     column[good] = np.arange(len(good))
