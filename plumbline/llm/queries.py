@@ -17,6 +17,12 @@ def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.secrets import scan_secrets
 
@@ -31,10 +37,20 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_main_text": op2_html_main_text,
+    "op3_warc_round_trip": op3_warc_round_trip,
     "op4_secret_scan": op4_secret_scan,
     "op9_toxicity": op9_toxicity,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_warc_round_trip": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        g AS (SELECT payload_digest, payload_bytes, max(page_id) AS first FROM p WHERE payload_bytes >= 1000 GROUP BY ALL)
+        SELECT p.page_id, p.payload_bytes, p.payload_digest,
+               CASE WHEN g.first <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN g.first <> p.page_id THEN g.first END AS refers_to
+        FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest AND p.payload_bytes = g.payload_bytes
+    """,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
