@@ -35,6 +35,12 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.ngram_join import ngram_components
+
+    return ngram_components(table(spark, sf_dir, "documents")).drop("name")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.packing import pack
 
@@ -56,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc_round_trip": op3_warc_round_trip,
     "op4_secret_scan": op4_secret_scan,
     "op6_mix_sources": op6_mix_sources,
+    "op7_ngram_join": op7_ngram_join,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
