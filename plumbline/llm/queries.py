@@ -13,6 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.ann import search
+
+    rows = table(spark, sf_dir, "embeddings")
+    return search(rows, rows.where("vec_id % 20 = 0"))
+
+
 def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.html_text import extract_main_text
 
@@ -31,6 +38,12 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents")).drop("found").withColumnRenamed("id", "doc_id")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.embedding_dedup import near_components
+
+    return near_components(table(spark, sf_dir, "embeddings"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -58,9 +71,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann_search": op1_ann_search,
     "op2_html_main_text": op2_html_main_text,
     "op3_warc_round_trip": op3_warc_round_trip,
     "op4_secret_scan": op4_secret_scan,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op7_ngram_join": op7_ngram_join,
     "op8_best_fit_packing": op8_best_fit_packing,
