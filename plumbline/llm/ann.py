@@ -3,13 +3,13 @@
 Inner product becomes distance by one more coordinate (the root of what a vector's norm lacks of the largest one).  Vectors
 are dealt to the lists of k-means centroids; a query probes its nearest lists, as many as gave RECALL on the fitting sample.
 Within a list, rotated coordinates are read in blocks of BLOCK columns: after each block a hypothesis test on the partial
-distance drops candidates that are, almost surely, beyond the query's bound; the bound starts from the fitting sample and
-tightens as the list goes by.  What is left is scored with the original vectors in double precision.
+distance drops candidates that are, almost surely, beyond the query's bound; the bound starts from a few seeds of the
+fitting sample (which are candidates too) and tightens as the list goes by.  What is left is scored with the original vectors in double precision.
 
 Lists with many vectors or many queries are cut into chunks, so no task holds more than LIST_ROWS x LIST_QUERIES of them.
 
 Centroids and the number of probes are fitted on a bounded sample; every vector is indexed.  Null ids take no part.  Rows
-that share a query's id are its own row; repeated rows of another id are candidates each.
+that share a query's id are its own row; equal rows of another id are one candidate.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from plumbline.llm.vectors import matrix, rotation, sample, usable
 
 K, RECALL, BLOCK, EPSILON = 20, 0.97, 16, 2.1
 MOST_LISTS, LIST_ROWS, LIST_QUERIES = 1024, 4096, 8192
+#: Sampled vectors that give a query its first bound: an eighth of all, at most so many.
+SEEDS = 2048
 
 
 @dataclass
@@ -46,18 +48,27 @@ class Index:
         far = (self.centroids**2).sum(axis=1)[None] - 2 * x @ self.centroids.T
         return np.argsort(far, axis=1, kind="stable")[:, :k]
 
-    def bound(self, queries: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-        """Squared distance within which k sampled vectors lie, the query's own left out (infinite if there are fewer)."""
-        out = np.full(len(queries), np.inf)
-        if len(self.vectors) > k:
-            lifted = self.lift(self.vectors, False)
-            size = (lifted**2).sum(axis=1)
-            for low in range(0, len(queries), 256):
-                q = self.lift(queries[low : low + 256], True)
-                far = (q**2).sum(axis=1)[:, None] + size[None] - 2 * q @ lifted.T
-                far[ids[low : low + 256][:, None] == self.ids[None]] = np.inf
-                out[low : low + 256] = np.partition(far, k - 1, axis=1)[:, k - 1]
-        return np.maximum(out, 0) * (1 + 1e-9) + 1e-12
+    def seeds(self, q: np.ndarray, q_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Squared distance within which k seeds lie (infinite if there are fewer), and those seeds: query, seed, score."""
+        inside = exact_scores(q, self.vectors)
+        own = q_ids[:, None] == self.ids[None]
+        inside[own] = -np.inf
+        best = np.argsort(-inside, axis=1, kind="stable")[:, :k]
+        score = np.take_along_axis(inside, best, axis=1)
+        bound = np.full(len(q), np.inf)
+        if best.shape[1] == k:
+            bound = (q**2).sum(axis=1) + self.top - 2 * score[:, -1]
+        at = np.repeat(np.arange(len(q)), best.shape[1])
+        real = np.isfinite(score.ravel())
+        return np.maximum(bound, 0) * (1 + 1e-9) + 1e-12, at[real], best.ravel()[real], score.ravel()[real]
+
+
+def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products, summed in one order for every pair, so that copies tie exactly."""
+    out = np.zeros((len(q), len(x)))
+    for j in range(q.shape[1]):
+        out += q[:, j : j + 1] * x[:, j][None]
+    return out
 
 
 def fit(rows: DataFrame, n: int, k: int = K) -> Index:
@@ -87,6 +98,8 @@ def fit(rows: DataFrame, n: int, k: int = K) -> Index:
     places = index.nearest_lists(index.lift(x[test], True), lists)
     turn = np.argsort(places, axis=1)
     at = np.sort(np.take_along_axis(turn, near[true], axis=1).ravel())
+    keep = np.sort(np.argsort(ids, kind="stable")[:: max(8, -(-len(ids) // SEEDS))]) if n > 8 * k else np.arange(0)
+    index.ids, index.vectors = ids[keep], x[keep]
     index.probes = int(at[min(len(at) - 1, int(np.ceil(RECALL * len(at))))]) + 1
     return index
 
@@ -120,7 +133,7 @@ def scan_list(q: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, x: np.ndarray
             pairs = np.nonzero(alive)
         qi, xi = pairs[0], pairs[1] + low
         score = np.zeros(len(qi))
-        for j in range(q.shape[1]):  # one order of summation for every pair, so that copies tie exactly
+        for j in range(q.shape[1]):  # the order of exact_scores()
             score += q[qi, j] * x[xi, j]
         found.append((qi, xi, score))
         qi, xi, score = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -152,18 +165,23 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), *batch.columns], ["list", "vec_id", "embedding"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, names = shared.value, ["list", "query_id", "vector", "bound", "vec_id", "score"]
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 some = batch.slice(low, 256)
                 x, own = matrix(some.column(1)), some.column(0).to_numpy()
-                lists = shared.value.nearest_lists(shared.value.lift(x, True), shared.value.probes)
-                bound = shared.value.bound(x, own, k)
+                lists = index.nearest_lists(index.lift(x, True), index.probes)
+                bound, of, seed, score = index.seeds(x, own, k)
                 at = np.repeat(np.arange(len(x)), lists.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(lists.ravel().astype(np.int32)), some.column(0).take(pa.array(at)), some.column(1).take(pa.array(at)), pa.array(bound[at])], ["list", "query_id", "vector", "bound"])
+                none = pa.nulls(len(at), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(lists.ravel().astype(np.int32)), some.column(0).take(pa.array(at)), some.column(1).take(pa.array(at)), pa.array(bound[at]), none, none.cast(pa.float64())], names)
+                none = [pa.nulls(len(of), t) for t in (pa.int32(), some.column(1).type, pa.float64())]
+                yield pa.RecordBatch.from_arrays([none[0], pa.array(own[of]), *none[1:], pa.array(index.ids[seed]), pa.array(score)], names)
 
     kind = rows.schema["embedding"].dataType.simpleString()
     dealt = stash(rows.mapInArrow(deal, f"list int, vec_id long, embedding {kind}"), "ann-lists")
-    asked = stash(queries.mapInArrow(probe, f"list int, query_id long, vector {kind}, bound double"), "ann-probes")
+    asked = stash(queries.mapInArrow(probe, f"list int, query_id long, vector {kind}, bound double, vec_id long, score double"), "ann-probes")
+    seeds, asked = asked.where("list is null").select("query_id", "vec_id", "score"), asked.where("list is not null").drop("vec_id", "score")
     counts = [{r.list: -(-r["count"] // most) for r in d.groupBy("list").count().collect()} for d, most in ((dealt, LIST_ROWS), (asked, LIST_QUERIES))]  # MOST_LISTS rows at most
     chunks = [F.coalesce(F.element_at(F.create_map(*(F.lit(v) for p in sorted(c.items()) for v in p)), F.col("list")), F.lit(1)) if c else F.lit(1) for c in counts]
     left = dealt.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), chunks[0]).cast("int")).withColumn("q_chunk", F.explode(F.sequence(F.lit(0), chunks[1] - 1)))
@@ -184,5 +202,6 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     cells = ["list", "chunk", "q_chunk"]
     found = left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInArrow(answer, "query_id long, vec_id long, score double")
+    found = found.union(seeds).distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

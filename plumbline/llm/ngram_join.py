@@ -371,6 +371,21 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return rows.join(answer, "name", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "name")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay: of each group of near duplicates that of the smallest id.
+
+    Rows with equal ids and texts are one document; rows with equal ids and other texts stay or go together.
+    """
+    named = stash(ngram_components(docs, id_col, text_col).select("doc_id", "component_id", "name"), "ngram-decisions")
+    gone = named.where("component_id != doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    left = docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    again = named.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
+    if again.isEmpty():
+        return left
+    repeated = left.join(again, left[id_col] == F.col("__again"), "left_semi").dropDuplicates([id_col, text_col])
+    return left.join(again, left[id_col] == F.col("__again"), "left_anti").unionByName(repeated)
+
+
 def cross_pairs(lists: DataFrame) -> DataFrame:
     """Pairs of a long list's members in different components (token, name, n, pa, level, own, c), each a, b.
 
