@@ -63,8 +63,8 @@ def confusion(rows: DataFrame) -> DataFrame:
 
     Tolerated predictions stay in the denominator of precision but are no false positives.
     """
-    tp, fp = F.count_if("predicted and actual"), F.count_if("predicted and not actual and not tolerated")
-    counts = rows.groupBy("attack_class").agg(tp.alias("tp"), fp.alias("fp"), F.count_if("not predicted and actual").alias("fn"), F.count_if("predicted").alias("flagged"), F.count_if("clean").alias("clean_n"), F.count_if("clean and predicted").alias("clean_flagged"), F.count_if("not actual").alias("negatives"))
+    tp, fp = F.count_if(F.expr("predicted and actual")), F.count_if(F.expr("predicted and not actual and not tolerated"))
+    counts = rows.groupBy("attack_class").agg(tp.alias("tp"), fp.alias("fp"), F.count_if(F.expr("not predicted and actual")).alias("fn"), F.count_if(F.expr("predicted")).alias("flagged"), F.count_if(F.expr("clean")).alias("clean_n"), F.count_if(F.expr("clean and predicted")).alias("clean_flagged"), F.count_if(F.expr("not actual")).alias("negatives"))
 
     def share(a: str, b: F.Column) -> F.Column:
         return F.round(F.when(b > 0, F.col(a) / F.when(b > 0, b)), 9)

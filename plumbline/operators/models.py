@@ -102,7 +102,7 @@ def compare_behaviour(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def targeted_transitions(pairs: DataFrame) -> DataFrame:
     """(trigger, before, after) predictions of pairs -> flips, dominant target (ties: smaller), success over all, concentration."""
-    whole = pairs.groupBy("trigger").agg(F.count("*").alias("n"), F.count_if("before != after").alias("flips"))
+    whole = pairs.groupBy("trigger").agg(F.count("*").alias("n"), F.count_if(F.expr("before != after")).alias("flips"))
     hits = pairs.where("before != after").groupBy("trigger", F.col("after").alias("target")).agg(F.count("*").alias("hits"))
     best = hits.withColumn("k", F.row_number().over(Window.partitionBy("trigger").orderBy(F.desc("hits"), "target"))).where("k = 1")
     out = whole.join(best, "trigger", "left")

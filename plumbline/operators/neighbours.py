@@ -99,7 +99,7 @@ def flag_by_reference(scores: DataFrame, rate: float) -> DataFrame:
     reference = scores.where("reference")
     limit = reference.agg(higher_quantile(F.array_sort(F.collect_list("score")), 1 - rate).alias("threshold"), F.count("*").alias("n_reference"))
     whole = Window.partitionBy(F.lit(0)).orderBy(F.desc("score"))
-    steps = scores.groupBy("score").agg(F.count_if("reference").alias("k"))
+    steps = scores.groupBy("score").agg(F.count_if(F.expr("reference")).alias("k"))
     at_least = steps.select("score", F.sum("k").over(whole).alias("at_least"))
     out = scores.join(at_least, "score").crossJoin(F.broadcast(limit))  # one row
     return out.withColumn("p", (F.col("at_least") + 1) / (F.col("n_reference") + 1)).withColumn("flagged", F.col("score") > F.col("threshold")).drop("at_least")

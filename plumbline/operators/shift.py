@@ -30,7 +30,7 @@ def psi(rows: DataFrame, bins: int = 10) -> DataFrame:
     edges = cut.select("column", F.array_distinct("q").alias("edges")).where(F.size("edges") >= 3)
     inner = F.slice("edges", 2, F.size("edges") - 2)
     binned = sides.join(F.broadcast(edges), "column").withColumn("bin", F.size(F.filter(inner, lambda e: e <= F.col("value")))).withColumn("bins", F.size("edges") - 1)
-    counts = binned.groupBy("column", "bins", "bin").agg(F.count_if("side = 'reference'").alias("r"), F.count_if("side = 'current'").alias("c"))
+    counts = binned.groupBy("column", "bins", "bin").agg(F.count_if(F.expr("side = 'reference'")).alias("r"), F.count_if(F.expr("side = 'current'")).alias("c"))
     every = edges.select("column", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"), (F.size("edges") - 1).alias("bins"))
     full = every.join(counts.drop("bins"), ["column", "bin"], "left").fillna(0, ["r", "c"])
     total = Window.partitionBy("column")
@@ -45,11 +45,11 @@ def psi_band(value: Column) -> Column:
 
 def categorical_js(rows: DataFrame) -> DataFrame:
     """rows (side, category) -> js (bits), appeared, vanished, n_reference, n_current."""
-    counts = rows.groupBy("category").agg(F.count_if("side = 'reference'").alias("r"), F.count_if("side = 'current'").alias("c"))
+    counts = rows.groupBy("category").agg(F.count_if(F.expr("side = 'reference'")).alias("r"), F.count_if(F.expr("side = 'current'")).alias("c"))
     total = counts.agg(F.sum("r").alias("nr"), F.sum("c").alias("nc"))
     both = counts.crossJoin(F.broadcast(total)).where("nr > 0 and nc > 0")
     return both.groupBy(F.col("nr").alias("n_reference"), F.col("nc").alias("n_current")).agg(
-        F.round(F.sum(js_bits(F.col("r") / F.col("nr"), F.col("c") / F.col("nc"))), 9).alias("js"), F.count_if("r = 0").alias("appeared"), F.count_if("c = 0").alias("vanished")
+        F.round(F.sum(js_bits(F.col("r") / F.col("nr"), F.col("c") / F.col("nc"))), 9).alias("js"), F.count_if(F.expr("r = 0")).alias("appeared"), F.count_if(F.expr("c = 0")).alias("vanished")
     )
 
 
@@ -66,11 +66,11 @@ def categorical_permutation_test(rows: DataFrame, count: int = 199, seed: str =
     n = observed.select("n_reference").first()[0]
     side = F.when(F.col("place") <= n, "reference").otherwise("current")
     moved = permutations(rows.select("id", "category"), count, seed).withColumn("side", side)
-    counts = moved.groupBy("replicate", "category").agg(F.count_if("side = 'reference'").alias("r"), F.count_if("side = 'current'").alias("c"))
+    counts = moved.groupBy("replicate", "category").agg(F.count_if(F.expr("side = 'reference'")).alias("r"), F.count_if(F.expr("side = 'current'")).alias("c"))
     total = Window.partitionBy("replicate")
     parts = counts.withColumn("nr", F.sum("r").over(total)).withColumn("nc", F.sum("c").over(total))
     null = parts.groupBy("replicate").agg(F.round(F.sum(js_bits(F.col("r") / F.col("nr"), F.col("c") / F.col("nc"))), 9).alias("null_js"))
-    out = null.crossJoin(F.broadcast(observed)).groupBy("js", "appeared", "vanished", "n_reference", "n_current").agg(F.count_if("null_js >= js").alias("as_large"), F.count("*").alias("replicates"))
+    out = null.crossJoin(F.broadcast(observed)).groupBy("js", "appeared", "vanished", "n_reference", "n_current").agg(F.count_if(F.expr("null_js >= js")).alias("as_large"), F.count("*").alias("replicates"))
     return out.withColumn("p", F.round((F.col("as_large") + 1) / (F.col("replicates") + 1), 9)).withColumn("significant", F.col("p") <= ALPHA)
 
 
@@ -98,7 +98,7 @@ def energy_statistic(rows: DataFrame) -> DataFrame:
     pairs = a.crossJoin(F.broadcast(b)).where("id_a != id_b")  # MOST_ROWS rows a side
     far = F.sqrt(F.greatest(F.lit(0.0), F.col("s_a") + F.col("s_b") - 2 * dot(F.col("vector_a"), F.col("vector_b"))))
     sums = pairs.withColumn("far", far).agg(*(F.sum(F.when((F.col("side_a") == x) & (F.col("side_b") == y), F.col("far"))).alias(n) for x, y, n in (("reference", "current", "xy"), ("reference", "reference", "xx"), ("current", "current", "yy"))))
-    sizes = few.agg(F.count_if("side = 'reference'").alias("n"), F.count_if("side = 'current'").alias("m"))
+    sizes = few.agg(F.count_if(F.expr("side = 'reference'")).alias("n"), F.count_if(F.expr("side = 'current'")).alias("m"))
     n, m = F.col("n"), F.col("m")
     value = n * m / (n + m) * (2 * F.col("xy") / (n * m) - F.col("xx") / (n * (n - 1)) - F.col("yy") / (m * (m - 1)))
     enough = (n >= LEAST_ROWS) & (m >= LEAST_ROWS)

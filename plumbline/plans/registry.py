@@ -22,9 +22,15 @@ def register(name: str, sql: str | None = None) -> Callable:
     return put
 
 
+def _load() -> None:
+    from plumbline.plans import dataset_queries  # noqa: F401
+
+
 def queries() -> dict[str, Callable]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLES)
