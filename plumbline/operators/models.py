@@ -21,7 +21,7 @@ def tensor_digest(values: F.Column, dtype: F.Column, shape: F.Column) -> F.Colum
 
 def tensor_stats(tensors: DataFrame) -> DataFrame:
     """tensors (name, values) -> count, mean, std, l1, l2, max_abs, sparsity, kurtosis (excess), beyond_6_sigma, non_finite."""
-    values = tensors.select("name", F.explode("values").cast("double").alias("x"))
+    values = tensors.select("name", F.explode("values").alias("x")).withColumn("x", F.col("x").cast("double"))
     bad = F.isnan("x") | (F.abs("x") == float("inf"))
     good = values.where(~bad)
     first = good.groupBy("name").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.sum(F.abs("x")).alias("l1"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("l2"), F.max(F.abs("x")).alias("max_abs"), F.avg((F.abs("x") < 1e-8).cast("double")).alias("sparsity"))

@@ -78,7 +78,7 @@ def chain_summary(links: DataFrame, anchors: DataFrame | None) -> DataFrame:
     if anchors is None:
         anchors = links.sparkSession.createDataFrame([], "log_id string, head string, entries long")
     known = anchors.select(F.col("log_id").cast("string").alias("log_id"), F.col("head").alias("a_head"), F.col("entries").alias("a_n"))
-    inside = links.select(F.col("log_id").cast("string").alias("log_id"), "digest").join(known, (F.col("digest") == F.col("a_head")) & (links["log_id"].cast("string") == known["log_id"]), "left_semi").select("log_id").distinct().withColumn("inside", F.lit(True))
+    inside = links.select(F.col("log_id").cast("string").alias("log_id"), F.col("digest").alias("a_head")).join(known.drop("a_n"), ["log_id", "a_head"], "left_semi").select("log_id").distinct().withColumn("inside", F.lit(True))
     out = logs.withColumn("log_id", F.col("log_id").cast("string")).join(known, "log_id", "left").join(inside, "log_id", "left")
     truncation = (
         F.when(F.col("front"), "FRONT_TRUNCATION_DETECTED")

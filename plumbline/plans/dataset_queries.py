@@ -46,7 +46,7 @@ def exact_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "content_dup_groups",
     f"""
-    WITH o AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id + 1000000000, upper(text) FROM documents WHERE doc_id % 17 = 0),
+    WITH o AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id + 1000000000, '* ' || text FROM documents WHERE doc_id % 17 = 0),
     d AS (SELECT doc_id, sha256(text) AS raw, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS c FROM o WHERE text IS NOT NULL),
     g AS (SELECT sha256(c) AS digest, count(*) AS n, count(DISTINCT raw) AS forms, min(doc_id) AS representative FROM d WHERE c <> '' GROUP BY 1 HAVING count(DISTINCT raw) > 1)
     SELECT digest, n, forms, representative, {severity_sql("n")} AS severity, {finding_sql("exact_duplicate_content", "duplicate_flood", "representative", "digest")} AS finding_id,
@@ -54,9 +54,9 @@ def exact_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def content_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over the documents and upper-case copies of some of them, which have other bytes."""
+    """Over the documents and copies of some of them with a mark ahead, which have other bytes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    copies = docs.where("doc_id % 17 = 0").select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), F.upper("text").alias("text"))
+    copies = docs.where("doc_id % 17 = 0").select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), F.concat(F.lit("* "), F.col("text")).alias("text"))
     return duplicates.content_groups(docs.union(copies), "doc_id", F.col("text"), F.regexp_replace(F.lower("text"), "[^a-z0-9]+", ""))
 
 
