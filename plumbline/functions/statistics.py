@@ -17,7 +17,7 @@ def wilson_lower(hits: Column, trials: Column, z: float = Z95) -> Column:
     n = F.when(trials > 0, trials.cast("double"))
     p = hits / n
     margin = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
-    return F.coalesce(clip((p + z * z / (2 * n) - margin) / (1 + z * z / n), 0.0, 1.0), F.lit(0.0))
+    return F.when(trials > 0, clip((p + z * z / (2 * n) - margin) / (1 + z * z / n), 0.0, 1.0)).otherwise(0.0)
 
 
 def binomial_tail(hits: Column, trials: Column, share: Column) -> Column:

@@ -152,7 +152,7 @@ _QUALITY_SQL = r"s AS (SELECT round(1 - len(list_distinct(w)) / len(w), 6) AS sc
     c AS (SELECT e.bin, lower, upper, count(score) AS n, coalesce(sum(truth), 0)::BIGINT AS hits FROM e LEFT JOIN s ON score >= lower AND (score < upper OR upper = 1.0) GROUP BY ALL),
     w AS (SELECT *, 1.6448536269514722::DOUBLE AS z, CASE WHEN n > 0 THEN hits / n END AS p FROM c)
     SELECT bin, lower, upper, n, hits, round(p, 9) AS precision,
-           round(coalesce(greatest(0.0, least(1.0, (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n))), 0.0), 9) AS wilson FROM w
+           round(CASE WHEN n > 0 THEN greatest(0.0, least(1.0, (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n))) ELSE 0.0 END, 9) AS wilson FROM w
     """,
 )
 def calibration_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
