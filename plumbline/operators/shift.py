@@ -43,6 +43,24 @@ def psi_band(value: Column) -> Column:
     return F.when(value < 0.1, "stable").when(value < 0.25, "moderate").otherwise("major")
 
 
+def psi_permutation_test(rows: DataFrame, bins: int = 10, count: int = 199, seed: str = "psi") -> DataFrame:
+    """rows (column, id, side, value) -> column, psi, as_large, p, q, significant.
+
+    All columns share a replicate's order of ids, so their null draws belong together; the tests are corrected as one family.
+    """
+    from plumbline.functions.statistics import benjamini_hochberg
+
+    rows = rows.where("value is not null and not isnan(value)")
+    observed = psi(rows, bins).select("column", F.col("psi").alias("observed"))
+    n = rows.where("side = 'reference'").select("id").distinct().count()
+    order = permutations(rows.select("id").distinct(), count, seed).select("replicate", "id", F.when(F.col("place") <= n, "reference").otherwise("current").alias("side"))
+    drawn = rows.drop("side").join(order, "id").withColumn("column", F.concat_ws("\u0001", F.col("replicate").cast("string"), "column"))
+    null = psi(drawn, bins).select(F.substring_index("column", "\u0001", -1).alias("column"), "psi")
+    tests = null.join(observed, "column").groupBy("column", F.col("observed").alias("psi")).agg(F.count_if(F.col("psi") >= F.col("observed")).alias("as_large"), F.count("*").alias("replicates"))
+    tests = benjamini_hochberg(tests.withColumn("p", (F.col("as_large") + 1) / (F.col("replicates") + 1)), "p", ["column"])
+    return tests.withColumn("significant", F.col("q") <= ALPHA)
+
+
 def categorical_js(rows: DataFrame) -> DataFrame:
     """rows (side, category) -> js (bits), appeared, vanished, n_reference, n_current."""
     counts = rows.groupBy("category").agg(F.count_if(F.expr("side = 'reference'")).alias("r"), F.count_if(F.expr("side = 'current'")).alias("c"))
