@@ -162,3 +162,40 @@ def merge_coverage(registry: DataFrame, reported: DataFrame) -> DataFrame:
     order = F.create_map(*(F.lit(x) for p in {"NOT_ASSESSED": 0, "NOT_SUPPORTED": 1, "REQUIRES_WHITE_BOX": 2, "PARTIAL": 3, "SUPPORTED": 4}.items() for x in p))
     best = reported.groupBy("attack_class").agg(F.max_by("coverage", F.element_at(order, F.col("coverage"))).alias("coverage"))
     return registry.join(best, "attack_class", "left").select("attack_class", F.coalesce("coverage", F.lit("NOT_ASSESSED")).alias("coverage"))
+
+
+def confidence_by_basis(rows: DataFrame) -> DataFrame:
+    """Confidences of supporting evidence by basis; confidences of different bases are never pooled."""
+    return rows.where("supporting").groupBy("case", "basis").agg(F.count("*").alias("n"), F.round(F.min("confidence"), 6).alias("low"), F.round(F.max("confidence"), 6).alias("high"), F.round(F.percentile("confidence", F.lit(0.5)), 6).alias("median"))
+
+
+def severity_counts(rows: DataFrame) -> DataFrame:
+    """Evidence by case and severity, supporting and other; severities without evidence have rows of zeros."""
+    spark = rows.sparkSession
+    every = rows.select("case").distinct().crossJoin(F.broadcast(spark.createDataFrame([(s,) for s in fi.SEVERITIES], "severity string")))
+    counts = rows.groupBy("case", "severity").agg(F.count_if(F.col("supporting")).alias("supporting"), F.count_if(~F.col("supporting")).alias("context"))
+    return every.join(counts, ["case", "severity"], "left").fillna(0)
+
+
+def evidence_roles(rows: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Each piece of evidence as supporting, contradicting (it supports a scope that was accepted) or context."""
+    scope = F.when(F.col("family").isin(*DATA, "UNCLASSIFIED"), "DATASET").when(F.col("family").isin(*MODEL), "MODEL").when(F.col("family").isin(*PROVENANCE), "PROVENANCE").otherwise("OPERATIONAL_CONTEXT")
+    both = rows.withColumn("scope", scope).join(scopes.select("case", "scope", "disposition"), ["case", "scope"], "left")
+    role = F.when(~F.col("supporting"), "context").when(F.col("disposition") == "ACCEPT", "contradicting").otherwise("supporting")
+    return both.select("case", "evidence_id", "family", "scope", role.alias("role"))
+
+
+def lineage(rows: DataFrame, outcomes: DataFrame, scopes: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Edges (case, child, parent) from findings over evidence, rules and scopes to the decision."""
+    scope = F.when(F.col("family").isin(*DATA, "UNCLASSIFIED"), "DATASET").when(F.col("family").isin(*MODEL), "MODEL").when(F.col("family").isin(*PROVENANCE), "PROVENANCE").otherwise("OPERATIONAL_CONTEXT")
+    own = rows.withColumn("scope", scope)
+    parts = [
+        own.select("case", F.col("finding_id").alias("child"), F.col("evidence_id").alias("parent")),
+        own.where("supporting").join(outcomes, ["case", "scope"]).select("case", F.col("evidence_id").alias("child"), F.col("rule").alias("parent")),
+        outcomes.select("case", F.col("rule").alias("child"), F.col("scope").alias("parent")),
+        scopes.join(decisions.select("case"), "case", "left_semi").select("case", F.col("scope").alias("child"), F.lit("DECISION").alias("parent")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.distinct()

@@ -470,3 +470,34 @@ def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.plans.dataset_queries import exact_dup_groups
 
     return fusion.report_summary(exact_dup_groups(spark, sf_dir))
+
+
+@register("confidence_by_basis", f"""WITH {_CASES_SQL} SELECT "case", basis, count(*) AS n, round(min(confidence), 6) AS low, round(max(confidence), 6) AS high, round(median(confidence), 6) AS median FROM h WHERE supporting GROUP BY ALL""")
+def confidence_by_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.confidence_by_basis(_cases(spark, sf_dir)[1])
+
+
+@register(
+    "severity_counts",
+    f"""WITH {_CASES_SQL}, s AS (SELECT unnest(['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL']) AS severity, unnest(range(5)) AS rank)
+    SELECT c."case", s.severity, count(*) FILTER (h.supporting) AS supporting, count(*) FILTER (NOT h.supporting) AS context FROM (SELECT DISTINCT "case" FROM h) c CROSS JOIN s LEFT JOIN h ON h."case" = c."case" AND h.rank = s.rank GROUP BY ALL""",
+)
+def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.severity_counts(_cases(spark, sf_dir)[1])
+
+
+@register(
+    "decision_lineage",
+    f"""
+    WITH {_RULES_SQL}, k AS (SELECT c_nationkey::VARCHAR AS "case", 'F-' || c_custkey AS fid FROM customer WHERE c_custkey % 40 = c_nationkey),
+    w AS (SELECT f."case", 'F-' || f.id AS fid, 'E-' || substr(sha256(f."case" || '|F-' || f.id), 1, 12) AS eid, ['DATASET', 'DATASET', 'DATASET', 'OPERATIONAL_CONTEXT', 'MODEL', 'MODEL', 'PROVENANCE', 'PROVENANCE', 'DATASET'][a + 1] AS scope,
+                 cov <> 0 AND s >= 6 AND (b = 0 OR confidence >= 0.3) AS supporting FROM f)
+    SELECT "case", fid AS child, eid AS parent FROM w UNION SELECT w."case", eid, rule FROM w JOIN z ON z."case" = w."case" AND z.scope = w.scope WHERE supporting
+    UNION SELECT "case", rule, scope FROM z UNION SELECT "case", scope, 'DECISION' FROM z
+    """,
+)
+def decision_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases, rows, moved = _cases(spark, sf_dir)
+    fired = fusion.rule_outcomes(cases, rows, moved)
+    scopes = fusion.scope_decisions(fired)
+    return fusion.lineage(rows, fired, scopes, fusion.overall(scopes))
