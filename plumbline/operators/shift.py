@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.statistics import js_bits
 
+#: Rows of a side that a row-wise permutation test draws on, at most; what it used is in its result.
+PERMUTED_ROWS = 20_000
 ALPHA, PERMUTATIONS, LEAST_PERMUTATIONS, LEAST_ROWS, MOST_ROWS, MOVED = 0.01, 999, 99, 20, 400, 0.15
 
 
@@ -47,10 +49,12 @@ def psi_permutation_test(rows: DataFrame, bins: int = 10, count: int = 199, seed
     """rows (column, id, side, value) -> column, psi, as_large, p, q, significant.
 
     All columns share a replicate's order of ids, so their null draws belong together; the tests are corrected as one family.
+    At most a tenth of PERMUTED_ROWS rows of a side take part, by hash of the id.
     """
     from plumbline.functions.statistics import benjamini_hochberg
 
     rows = rows.where("value is not null and not isnan(value)")
+    rows = rows.join(subsample(rows.select("id", "side").distinct(), PERMUTED_ROWS // 10).select("id"), "id", "left_semi")
     observed = psi(rows, bins).select("column", F.col("psi").alias("observed"))
     n = rows.where("side = 'reference'").select("id").distinct().count()
     order = permutations(rows.select("id").distinct(), count, seed).select("replicate", "id", F.when(F.col("place") <= n, "reference").otherwise("current").alias("side"))
@@ -79,7 +83,11 @@ def permutations(ids: DataFrame, count: int, seed: str) -> DataFrame:
 
 
 def categorical_permutation_test(rows: DataFrame, count: int = 199, seed: str = "shift") -> DataFrame:
-    """rows (id, side, category) -> the observed divergence, and p = (replicates as large + 1) / (count + 1)."""
+    """rows (id, side, category) -> the observed divergence, and p = (replicates as large + 1) / (count + 1).
+
+    At most PERMUTED_ROWS rows of a side, by hash of the id, take part: a replicate copies every row that does.
+    """
+    rows = subsample(rows, PERMUTED_ROWS)
     observed = categorical_js(rows)
     n = observed.select("n_reference").first()[0]
     side = F.when(F.col("place") <= n, "reference").otherwise("current")
