@@ -7,9 +7,9 @@ share at least l tokens in them.  Each document picks its own l: a longer prefix
 that share l of its tokens remain, at most the sum of their frequencies over l.  A pair counts by the smaller l.
 
 Pairs that share enough are cut by size and by what positions still allow, then verified on whole sets.  Verification is
-in two phases: first each document's best partner, then only pairs whose documents are not connected yet, because a pair
+in phases: first each document's best partners, then only pairs whose documents are not connected yet, because a pair
 inside a component changes nothing.  Posting lists longer than LONG_LIST (large groups of near copies) are not paired off:
-their members meet one member of the list first, and only members outside the component that most of the list belongs to
+their members meet the list's first members, and then only members outside the component that most of the list belongs to
 meet the others.  So every link between different components is found, and none inside is needed.
 
 A document without words is linked with nothing; one of fewer than five words is its whole sequence.  Rows with equal ids
@@ -34,7 +34,9 @@ WORDS, PERCENT = 5, 80
 #: Counters of the sketch (a power of two) and the rows that it is sent in.
 SKETCH, SKETCH_ROWS = 1 << 22, 256
 MOST_MATCHES = 4
-LONG_LIST = 32
+LONG_LIST, HEADS = 32, 8
+#: Partners of each document that are verified first.
+BEST = 3
 #: Bits of the filter that keeps whole sets of documents without candidates from being shuffled.
 FILTER_BITS = 1 << 24
 LOW = np.uint64((1 << 56) - 1)
@@ -212,28 +214,31 @@ _PAIRS_SCHEMA = "a long, b long, na int, nb int, pa int, pb int, matches byte, t
 
 
 def meet(rows: DataFrame) -> DataFrame:
-    """Streams posting lists (sorted by token and a number) into pairs, and into rows of long lists.
+    """Streams posting lists (sorted by token, position and name) into pairs, and into rows of long lists.
 
-    Short lists give all their pairs.  A long list gives each member with the list's first one, as a pair with own = 0, and
-    each member as a row of the list (a = name, token set).  Memory holds one batch and at most LONG_LIST rows.
+    Short lists give all their pairs.  A long list gives each member with the list's first HEADS, as pairs with own = 0, and
+    each member as a row of the list (a = name, token set).  The first ones have the fewest rarer tokens, so of a group of
+    near copies they are those nearest to what all have in common.  Memory holds one batch and at most LONG_LIST rows.
     """
 
-    def long_rows(c: list[np.ndarray], head: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    def long_rows(c: list[np.ndarray], heads: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
         token, name, n, position, level, matches = c
         k = len(token)
-        if k:
-            yield pa.RecordBatch.from_arrays([pa.array(name), pa.nulls(k, pa.int64()), pa.array(n), pa.nulls(k, pa.int32()), pa.array(position), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int8()), pa.array(token), pa.array(level), pa.array(matches)], _PAIRS)
-        can = (name != head[0]) & (needed(n, np.int32(head[1])) <= np.minimum(n, head[1]))
-        name, n = name[can], n[can]
-        k, less = len(name), name < head[0]
-        if k:
-            x, y, nx, ny = np.where(less, name, head[0]), np.where(less, head[0], name), np.where(less, n, head[1]).astype(np.int32), np.where(less, head[1], n).astype(np.int32)
-            zero = pa.array(np.zeros(k, np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(nx), pa.array(ny), zero, zero, pa.array(np.ones(k, np.int8)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int8()), pa.array(np.zeros(k, np.int8))], _PAIRS)
+        if not k:
+            return
+        yield pa.RecordBatch.from_arrays([pa.array(name), pa.nulls(k, pa.int64()), pa.array(n), pa.nulls(k, pa.int32()), pa.array(position), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int8()), pa.array(token), pa.array(level), pa.array(matches)], _PAIRS)
+        for head, size in heads:
+            can = (name != head) & (needed(n, np.int32(size)) <= np.minimum(n, size))
+            own, m = name[can], n[can]
+            k, less = len(own), own < head
+            if k:
+                x, y, nx, ny = np.where(less, own, head), np.where(less, head, own), np.where(less, m, size).astype(np.int32), np.where(less, size, m).astype(np.int32)
+                zero = pa.array(np.zeros(k, np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(nx), pa.array(ny), zero, zero, pa.array(np.ones(k, np.int8)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int8()), pa.array(np.zeros(k, np.int8))], _PAIRS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None  # rows of a short list that may go on in the next batch
-        opened: list | None = None  # token, head (name, n) and last name of a long list that may go on
+        opened: list | None = None  # token, heads (name, n) and last name of a long list that may go on
         for batch in chain(batches, [None]):
             c = [x.to_numpy(zero_copy_only=False) for x in batch.columns] if batch is not None else None
             if held is not None:
@@ -265,22 +270,23 @@ def meet(rows: DataFrame) -> DataFrame:
                     yield _pair_up(*c, (at[:, None] + i).ravel(), (at[:, None] + j).ravel())
             for s in starts[sizes > LONG_LIST].tolist():
                 k = int(sizes[np.searchsorted(starts, s)])
-                head = (c[1][s], int(c[2][s]))
-                yield from long_rows([x[s : s + k] for x in c], head)
+                heads = [(c[1][i], int(c[2][i])) for i in range(s, s + min(k, HEADS))]
+                yield from long_rows([x[s : s + k] for x in c], heads)
                 if batch is not None and s + k == len(c[0]):
-                    opened = [c[0][s], head, c[1][-1]]
+                    opened = [c[0][s], heads, c[1][-1]]
 
-    sort = rows.withColumn("turn", F.xxhash64("token", "name")).repartition("token").sortWithinPartitions("token", "turn").drop("turn")
+    sort = rows.repartition("token").sortWithinPartitions("token", "position", "name")
     return sort.mapInArrow(run, _PAIRS_SCHEMA)
 
 
-def candidates(met: DataFrame) -> DataFrame:
-    """a, b, na, nb, shared, own of pairs that share enough, and the rows of long lists (b null), from meet()."""
+def pair_counts(met: DataFrame) -> DataFrame:
+    """a, b, na, nb, shared of every pair that met, fits (whether it shares enough), and the rows of long lists (b null)."""
     grouped = met.groupBy("a", "b", "token").agg(F.count("*").alias("shared"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("matches").alias("matches"), F.max("level").alias("level"), F.max("own").alias("own"), F.count("own").alias("stars"))
     least = F.ceil(PERCENT * (F.col("na") + F.col("nb")) / (100 + PERCENT))
     rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
     real = F.col("shared") - F.col("stars")
-    return grouped.where(F.col("b").isNull() | (F.col("stars") > 0) | (F.col("shared") >= F.col("matches")) & (real + rest >= least))
+    fits = (F.col("stars") > 0) | (F.col("shared") >= F.col("matches")) & (real + rest >= least)
+    return grouped.select("a", "b", "na", "nb", "shared", "pa", "token", "level", fits.alias("fits"))
 
 
 def keep_bits(names: DataFrame) -> np.ndarray:
@@ -341,8 +347,14 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     scanned = stash(scan(docs, id_col, text_col), "ngram-scan")
     rows = scanned.where("part is null").select("id", "n", "name")
     classes = spark.sparkContext.broadcast(frequency_classes(scanned.where("part is not null").select("part", "counts")))
-    met = stash(candidates(meet(postings(docs, classes, text_col))), "ngram-candidates")
-    short, lists = met.where("b is not null").select("a", "b", "na", "nb", "shared"), met.where("b is null").select(F.col("a").alias("name"), "na", "pa", "level", "own", "token")
+    met = stash(pair_counts(meet(postings(docs, classes, text_col))), "ngram-pairs")
+    pairs, lists = met.where("b is not null"), met.where("b is null").select(F.col("a").alias("name"), "na", "pa", "level", "token")
+    # A pair whose sets both stand in long lists may share more tokens there than were counted: it stays a candidate.
+    long_names = stash(lists.select("name").distinct(), "ngram-long")
+    mixed = pairs.where("not fits")
+    for side in "ab":
+        mixed = mixed.join(long_names.withColumnRenamed("name", side), side, "left_semi")
+    short = stash(pairs.where("fits").unionByName(mixed.select(pairs.columns)).select("a", "b", "na", "nb", "shared"), "ngram-candidates")
     names = short.select(F.col("a").alias("name")).union(short.select("b")).union(lists.select("name")).distinct()
     bits = spark.sparkContext.broadcast(keep_bits(names))
     sets = stash(whole_sets(docs, bits, text_col), "ngram-sets")
@@ -350,19 +362,20 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # Phase one: the partners with which each set shares most.
     ends = short.select("a", "b", "shared", F.explode(F.array("a", "b")).alias("of"))
     rank = F.row_number().over(Window.partitionBy("of").orderBy(F.desc("shared"), F.xxhash64("a", "b", "of")))
-    first = ends.withColumn("k", rank).where("k <= 2").select("a", "b").distinct()
-    links = stash(verify(first, sets), "ngram-links")
-    parts = stash(connected_components(links), "ngram-parts")
+    first = stash(ends.withColumn("k", rank).where(F.col("k") <= BEST).select("a", "b").distinct(), "ngram-first")
+    parts = stash(connected_components(stash(verify(first, sets), "ngram-links")), "ngram-parts")
 
-    # Phase two: what is not connected yet.
     def part_of(df: DataFrame, column: str, to: str) -> DataFrame:
         return df.join(parts.select(F.col("node").alias(column), F.col("component").alias(to)), column, "left").withColumn(to, F.coalesce(to, column))
 
-    open_pairs = part_of(part_of(short, "a", "ca"), "b", "cb").where("ca != cb").join(first, ["a", "b"], "left_anti").select("a", "b")
-    crossing = cross_pairs(part_of(lists.withColumnRenamed("na", "n"), "name", "c"))
-    more = stash(verify(open_pairs.union(crossing).distinct().join(first, ["a", "b"], "left_anti"), sets), "ngram-more-links")
-    merged = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
-    final = stash(connected_components(merged), "ngram-components")
+    def merge(parts: DataFrame, links: DataFrame) -> DataFrame:
+        return stash(connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)), "ngram-parts")
+
+    # Phase two: the other pairs that are not connected yet; then what long lists still hold in different components.
+    rest = part_of(part_of(short, "a", "ca"), "b", "cb").where("ca != cb").join(first, ["a", "b"], "left_anti").select("a", "b")
+    parts = merge(parts, stash(verify(rest, sets), "ngram-links"))
+    crossing = cross_pairs(part_of(lists.withColumnRenamed("na", "n"), "name", "c")).join(short, ["a", "b"], "left_anti")
+    final = merge(parts, stash(verify(crossing, sets), "ngram-links"))
 
     classes_of = rows.where("name != 0").groupBy("name").agg(F.min("id").alias("least"))
     labelled = classes_of.join(final.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
@@ -387,19 +400,18 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def cross_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs of a long list's members in different components (token, name, n, pa, level, own, c), each a, b.
+    """Pairs of a long list's members in different components (token, name, n, pa, level, c), each a, b.
 
-    Members of a list's largest component do not meet each other: the others meet all members.
+    Members of a list's largest component do not meet each other: the others meet all members.  A pair meets at its first
+    common token, which stands in both prefixes of one match; what it shares beyond that need not be counted.
     """
+    lists = lists.where("level = 1")
     count = lists.groupBy("token", "c").agg(F.count("*").alias("k"))
     top = count.groupBy("token").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("token", F.col("top.c").alias("top"))
     few = lists.join(top, "token").where("c != top").drop("top")
     some = lists.join(top.select("token"), "token")
-    x, y = (d.withColumnsRenamed({c: f"{c}_{s}" for c in ("name", "n", "pa", "level", "own", "c")}) for d, s in ((few, "x"), (some, "y")))
+    x, y = (d.withColumnsRenamed({c: f"{c}_{s}" for c in ("name", "n", "pa", "level", "c")}) for d, s in ((few, "x"), (some, "y")))
     least = F.ceil(PERCENT * (F.col("n_x") + F.col("n_y")) / (100 + PERCENT))
-    both = F.least("own_x", "own_y")
-    fits = (least <= F.least("n_x", "n_y")) & (F.col("level_x") <= both) & (F.col("level_y") <= both)
-    for s in "xy":
-        fits = fits & (F.col(f"pa_{s}") <= F.col(f"n_{s}") - least + both - 1)
+    fits = (F.col("pa_x") <= F.col("n_x") - least) & (F.col("pa_y") <= F.col("n_y") - least)
     pairs = x.join(y, "token").where((F.col("c_x") != F.col("c_y")) & fits)
     return pairs.select(F.least("name_x", "name_y").alias("a"), F.greatest("name_x", "name_y").alias("b")).distinct()
