@@ -4,7 +4,7 @@ Inner product becomes distance by one more coordinate (the root of what a vector
 are dealt to the lists of k-means centroids; a query probes its nearest lists, as many as gave RECALL on the fitting sample.
 Within a list, rotated coordinates are read in blocks of BLOCK columns: after each block a hypothesis test on the partial
 distance drops candidates that are, almost surely, beyond the query's bound; the bound starts from a few seeds of the
-fitting sample (which are candidates too) and tightens as the list goes by.  What is left is scored with the original vectors in double precision.
+fitting sample (which are candidates too), tightens as the list goes by, and is that of the nearest lists for all others.  What is left is scored with the original vectors in double precision.
 
 Lists with many vectors or many queries are cut into chunks, so no task holds more than LIST_ROWS x LIST_QUERIES of them.
 
@@ -29,6 +29,8 @@ K, RECALL, BLOCK, EPSILON = 20, 0.97, 16, 2.1
 MOST_LISTS, LIST_ROWS, LIST_QUERIES = 1024, 4096, 8192
 #: Sampled vectors that give a query its first bound: an eighth of all, at most so many.
 SEEDS = 2048
+#: One of so many probed lists, the nearest ones, is scanned ahead of the others.
+FIRST = 8
 
 
 @dataclass
@@ -165,7 +167,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), *batch.columns], ["list", "vec_id", "embedding"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, names = shared.value, ["list", "query_id", "vector", "bound", "vec_id", "score"]
+        index, names = shared.value, ["list", "turn", "query_id", "vector", "bound", "vec_id", "score"]
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 some = batch.slice(low, 256)
@@ -174,19 +176,18 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                 bound, of, seed, score = index.seeds(x, own, k)
                 at = np.repeat(np.arange(len(x)), lists.shape[1])
                 none = pa.nulls(len(at), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(lists.ravel().astype(np.int32)), some.column(0).take(pa.array(at)), some.column(1).take(pa.array(at)), pa.array(bound[at]), none, none.cast(pa.float64())], names)
-                none = [pa.nulls(len(of), t) for t in (pa.int32(), some.column(1).type, pa.float64())]
-                yield pa.RecordBatch.from_arrays([none[0], pa.array(own[of]), *none[1:], pa.array(index.ids[seed]), pa.array(score)], names)
+                turn = np.tile(np.arange(lists.shape[1], dtype=np.int32), len(x))
+                yield pa.RecordBatch.from_arrays([pa.array(lists.ravel().astype(np.int32)), pa.array(turn), some.column(0).take(pa.array(at)), some.column(1).take(pa.array(at)), pa.array(bound[at]), none, none.cast(pa.float64())], names)
+                none = [pa.nulls(len(of), t) for t in (pa.int32(), pa.int32(), some.column(1).type, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*none[:2], pa.array(own[of]), *none[2:], pa.array(index.ids[seed]), pa.array(score)], names)
 
     kind = rows.schema["embedding"].dataType.simpleString()
     dealt = stash(rows.mapInArrow(deal, f"list int, vec_id long, embedding {kind}"), "ann-lists")
-    asked = stash(queries.mapInArrow(probe, f"list int, query_id long, vector {kind}, bound double, vec_id long, score double"), "ann-probes")
+    asked = stash(queries.mapInArrow(probe, f"list int, turn int, query_id long, vector {kind}, bound double, vec_id long, score double"), "ann-probes")
     seeds, asked = asked.where("list is null").select("query_id", "vec_id", "score"), asked.where("list is not null").drop("vec_id", "score")
     counts = [{r.list: -(-r["count"] // most) for r in d.groupBy("list").count().collect()} for d, most in ((dealt, LIST_ROWS), (asked, LIST_QUERIES))]  # MOST_LISTS rows at most
     chunks = [F.coalesce(F.element_at(F.create_map(*(F.lit(v) for p in sorted(c.items()) for v in p)), F.col("list")), F.lit(1)) if c else F.lit(1) for c in counts]
     left = dealt.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), chunks[0]).cast("int")).withColumn("q_chunk", F.explode(F.sequence(F.lit(0), chunks[1] - 1)))
-    right = asked.withColumn("q_chunk", F.pmod(F.xxhash64("query_id"), chunks[1]).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks[0] - 1)))
-
     def answer(x: pa.Table, q: pa.Table) -> pa.Table:
         out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if x.num_rows and q.num_rows:
@@ -200,8 +201,22 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             out = [np.concatenate(c) for c in zip(*parts, strict=True)]
         return pa.table({"query_id": out[0], "vec_id": out[1], "score": out[2]})
 
-    cells = ["list", "chunk", "q_chunk"]
-    found = left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInArrow(answer, "query_id long, vec_id long, score double")
-    found = found.union(seeds).distinct()
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def scan(some: DataFrame) -> DataFrame:
+        right = some.withColumn("q_chunk", F.pmod(F.xxhash64("query_id"), chunks[1]).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks[0] - 1)))
+        cells = ["list", "chunk", "q_chunk"]
+        return left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInArrow(answer, "query_id long, vec_id long, score double")
+
+    def best(rows: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return rows.distinct().withColumn("rank", rank).where(F.col("rank") <= k)
+
+    # The nearest lists come first; what they give bounds the scan of the others.
+    first = max(1, index.probes // FIRST)
+    found = stash(best(scan(asked.where(F.col("turn") < first)).union(seeds)).select("query_id", "vec_id", "score"), "ann-found")
+    if index.probes > first:
+        kth = found.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") == k).select("query_id", "kth")
+        size = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+        limit = F.greatest(F.lit(0.0), size + index.top - 2 * F.col("kth")) * (1 + 1e-9) + 1e-12
+        rest = asked.where(F.col("turn") >= first).join(kth, "query_id", "left").withColumn("bound", F.least("bound", limit)).drop("kth")
+        found = scan(rest).union(found)
+    return best(found).select("query_id", "rank", "vec_id", "score")

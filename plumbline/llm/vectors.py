@@ -32,7 +32,7 @@ def sample(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", m
     got = rows.select(id_col, vector).orderBy(F.xxhash64(id_col), id_col).limit(most).toArrow()
     if not got.num_rows:
         return np.zeros(0, np.int64), np.zeros((0, 1))
-    return got[id_col].to_numpy(), matrix(got[vector].combine_chunks() if not isinstance(got[vector].combine_chunks(), pa.ChunkedArray) else pa.concat_arrays(got[vector].chunks))
+    return got[id_col].to_numpy(), matrix(pa.concat_arrays(got[vector].chunks))
 
 
 def rotation(d: int, seed: int) -> np.ndarray:
