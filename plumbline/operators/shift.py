@@ -11,9 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.statistics import js_bits
+from plumbline.sources.shared import written
 
-#: Rows of a side that a row-wise permutation test draws on, at most; what it used is in its result.
-PERMUTED_ROWS = 20_000
 ALPHA, PERMUTATIONS, LEAST_PERMUTATIONS, LEAST_ROWS, MOST_ROWS, MOVED = 0.01, 999, 99, 20, 400, 0.15
 
 
@@ -49,16 +48,15 @@ def psi_permutation_test(rows: DataFrame, bins: int = 10, count: int = 199, seed
     """rows (column, id, side, value) -> column, psi, as_large, p, q, significant.
 
     All columns share a replicate's order of ids, so their null draws belong together; the tests are corrected as one family.
-    At most a tenth of PERMUTED_ROWS rows of a side take part, by hash of the id.
+    All rows take part, and each replicate's edges are its own.
     """
     from plumbline.functions.statistics import benjamini_hochberg
 
     rows = rows.where("value is not null and not isnan(value)")
-    rows = rows.join(subsample(rows.select("id", "side").distinct(), PERMUTED_ROWS // 10).select("id"), "id", "left_semi")
     observed = psi(rows, bins).select("column", F.col("psi").alias("observed"))
     n = rows.where("side = 'reference'").select("id").distinct().count()
-    order = permutations(rows.select("id").distinct(), count, seed).select("replicate", "id", F.when(F.col("place") <= n, "reference").otherwise("current").alias("side"))
-    drawn = rows.drop("side").join(order, "id").withColumn("column", F.concat_ws("\u0001", F.col("replicate").cast("string"), "column"))
+    whole = rows.groupBy("id").agg(F.collect_list(F.struct("column", "value")).alias("cells"))  # one cell for each column
+    drawn = permuted_sides(whole, n, count, seed).select("replicate", "side", F.inline("cells")).withColumn("column", F.concat_ws("\u0001", F.col("replicate").cast("string"), "column"))
     null = psi(drawn, bins).select(F.substring_index("column", "\u0001", -1).alias("column"), "psi")
     tests = null.join(observed, "column").groupBy("column", F.col("observed").alias("psi")).agg(F.count_if(F.col("psi") >= F.col("observed")).alias("as_large"), F.count("*").alias("replicates"))
     tests = benjamini_hochberg(tests.withColumn("p", (F.col("as_large") + 1) / (F.col("replicates") + 1)), "p", ["column"])
@@ -75,23 +73,27 @@ def categorical_js(rows: DataFrame) -> DataFrame:
     )
 
 
-def permutations(ids: DataFrame, count: int, seed: str) -> DataFrame:
-    """ids (id, …) -> with replicate and place (from 1): each replicate is the order of a hash of seed, replicate and id."""
-    rows = ids.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(count))))
-    key = F.sha2(F.concat_ws("|", F.lit(seed), F.col("replicate").cast("string"), F.col("id").cast("string")).cast("binary"), 256)
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("replicate").orderBy(key, "id")))
+def permuted_sides(ids: DataFrame, n: int, count: int, seed: str) -> DataFrame:
+    """ids (id, …) -> with replicate and side: the first n in the order of a hash of seed, replicate and id are the reference.
 
+    Rows are not sorted: counts by the hash's first byte tell which byte holds the n-th, and only its rows are ranked.
+    """
+    rows = ids.repartition(ids.sparkSession.sparkContext.defaultParallelism, "id").withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(count))))
+    rows = rows.withColumn("__key", F.sha2(F.concat_ws("|", F.lit(seed), F.col("replicate").cast("string"), F.col("id").cast("string")).cast("binary"), 256)).withColumn("__head", F.substring("__key", 1, 2))
+    upto = F.sum("k").over(Window.partitionBy("replicate").orderBy("__head"))
+    heads = rows.groupBy("replicate", "__head").agg(F.count("*").alias("k")).withColumn("left", n - upto + F.col("k")).where("left > 0 and left <= k")
+    place = F.row_number().over(Window.partitionBy("replicate").orderBy("__key", "id"))
+    near = rows.select("replicate", "__head", "__key", "id").join(F.broadcast(heads), ["replicate", "__head"]).withColumn("place", place)  # a row for each replicate
+    last = written(near.where("place = left").select("replicate", F.col("__key").alias("__last"), F.col("id").alias("__last_id")), "last")
+    first = (F.col("__key") < F.col("__last")) | (F.col("__key") == F.col("__last")) & (F.col("id") <= F.col("__last_id"))
+    return rows.join(F.broadcast(last), "replicate").withColumn("side", F.when(first, "reference").otherwise("current")).drop("__key", "__head", "__last", "__last_id")  # a row for each replicate
 
-def categorical_permutation_test(rows: DataFrame, count: int = 199, seed: str = "shift") -> DataFrame:
-    """rows (id, side, category) -> the observed divergence, and p = (replicates as large + 1) / (count + 1).
 
-    At most PERMUTED_ROWS rows of a side, by hash of the id, take part: a replicate copies every row that does.
-    """
-    rows = subsample(rows, PERMUTED_ROWS)
+def categorical_permutation_test(rows: DataFrame, count: int = 199, seed: str = "shift") -> DataFrame:
+    """rows (id, side, category) -> the observed divergence, and p = (replicates as large + 1) / (count + 1)."""
     observed = categorical_js(rows)
     n = observed.select("n_reference").first()[0]
-    side = F.when(F.col("place") <= n, "reference").otherwise("current")
-    moved = permutations(rows.select("id", "category"), count, seed).withColumn("side", side)
+    moved = permuted_sides(rows.select("id", "category"), n, count, seed)
     counts = moved.groupBy("replicate", "category").agg(F.count_if(F.expr("side = 'reference'")).alias("r"), F.count_if(F.expr("side = 'current'")).alias("c"))
     total = Window.partitionBy("replicate")
     parts = counts.withColumn("nr", F.sum("r").over(total)).withColumn("nc", F.sum("c").over(total))

@@ -45,7 +45,7 @@ def activation_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def psi_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both numeric columns of events, against permutations that they share."""
     rows = event_sides(spark, sf_dir)
-    return shift.psi_permutation_test(rows.select(F.lit("value").alias("column"), "id", "side", "value").union(rows.select(F.lit("user_id"), "id", "side", "user_id")), count=49)
+    return shift.psi_permutation_test(rows.select(F.lit("value").alias("column"), "id", "side", "value").union(rows.select(F.lit("user_id"), "id", "side", "user_id")), count=shift.permutation_budget(2))
 
 
 @register(

@@ -123,3 +123,14 @@ def test_log_scenarios(spark):
     assert says(scenarios.front_truncated(log, 2)) == ("BROKEN", "FRONT_TRUNCATION_DETECTED")
     for broken in (scenarios.deleted(log, 2), scenarios.reordered(log, 2, 3), scenarios.edited(log, 2), scenarios.repeated(log, 2)):
         assert says(broken)[0] == "BROKEN"
+
+
+def test_permutation_tests_read_every_row(spark):
+    rows = spark.range(50_000).select("id", F.when(F.col("id") < 25_000, "reference").otherwise("current").alias("side"), F.when(F.col("id") == 49_999, "rare").otherwise((F.col("id") % 3).cast("string")).alias("category"))
+    got = shift.categorical_permutation_test(rows, 3).first()
+    assert (got.n_reference, got.n_current, got.appeared, got.vanished, got.replicates) == (25_000, 25_000, 1, 0, 3)
+    drawn = shift.permuted_sides(spark.range(997), 400, 5, "s").where("side = 'reference'")
+    key = lambda b, i: (__import__("hashlib").sha256(f"s|{b}|{i}".encode()).hexdigest(), i)
+    assert {(r.replicate, r.id) for r in drawn.collect()} == {(b, i) for b in range(1, 6) for i in sorted(range(997), key=lambda i: key(b, i))[:400]}
+    values = spark.range(6_000).select(F.lit("v").alias("column"), "id", F.when(F.col("id") % 2 == 0, "reference").otherwise("current").alias("side"), ((F.col("id") * 7919) % 6_007).cast("double").alias("value"))
+    assert shift.psi_permutation_test(values, count=2).first().psi == shift.psi(values).first().psi
