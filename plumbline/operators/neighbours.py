@@ -7,7 +7,7 @@ each query leave a task.  No block is broadcast, so the corpus may grow; the wor
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -125,22 +125,43 @@ def ood_neighbour_scores(points: DataFrame, folds: int = 5, k: int = 5) -> DataF
     return scores.groupBy(F.col("query").alias("id")).agg(F.avg("score").alias("score")).join(points.select("id", "reference"), "id")
 
 
-FIT_ROWS = 20_000
+def summed(rows: DataFrame, part: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """rows (vector) -> the sum of what part gives for matrices of rows; only that many numbers reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                more = np.ravel(part(batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)))
+                total = more if total is None else total + more
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["at", "value"])
+
+    got = rows.select("vector").mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
+    return np.array([r.value for r in sorted(got, key=lambda r: r.at)])
+
+
+def moments(rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """rows (vector) -> their number, mean, and sums of centred products, over all rows."""
+    first = summed(rows, lambda v: np.append(v.sum(axis=0), len(v)))
+    mean = first[:-1] / first[-1]
+    return int(first[-1]), mean, summed(rows, lambda v: (v - mean).T @ (v - mean)).reshape(len(mean), -1)
 
 
 def ood_subspace_scores(points: DataFrame, components: int = 48) -> DataFrame:
     """points (id, vector, reference) -> id, reference, residual, mahalanobis.
 
-    Mean, principal axes (signs fixed by the largest entry) and a shrunken covariance come from a bounded sample of the
+    Mean, principal axes (signs fixed by the largest entry) and a shrunken covariance come from sums over all rows of the
     reference; every row is scored.
     """
-    sample = points.where("reference").select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).toArrow()
-    _, x = _rows(sample, "id", "vector")
-    mean = x.mean(axis=0)
-    u, s, vt = np.linalg.svd(x - mean, full_matrices=False)
-    axes = vt[: min(components, int((s > 1e-12).sum()), max(1, len(x) - 1))]
+    reference = points.where("reference")
+    n, mean, products = moments(reference)
+    value, vector = np.linalg.eigh(products)
+    value, vector = value[::-1], vector.T[::-1]
+    axes = vector[: min(components, int((value > max(1e-24, value[0] * len(value) * np.finfo(float).eps)).sum()), max(1, n - 1))]
     axes = axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])[:, None]
-    inverse = np.linalg.inv(shrunk_covariance((x - mean) @ axes.T))
+    fourth = summed(reference, lambda v: np.array([((((v - mean) @ axes.T) ** 2).sum(axis=1) ** 2).sum()]))[0]
+    inverse = np.linalg.inv(shrunk_covariance(axes @ products @ axes.T / n, fourth, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,14 +174,15 @@ def ood_subspace_scores(points: DataFrame, components: int = 48) -> DataFrame:
     return points.select("id", "vector", "reference").mapInArrow(run, "id long, reference boolean, residual double, mahalanobis double")
 
 
-def shrunk_covariance(x: np.ndarray) -> np.ndarray:
-    """Covariance shrunk towards a multiple of the identity, with the weight of Ledoit and Wolf (2004)."""
-    n, d = x.shape
-    x = x - x.mean(axis=0)
-    s = x.T @ x / n
+def shrunk_covariance(s: np.ndarray, fourth: float, n: int) -> np.ndarray:
+    """Covariance s of n rows, shrunk towards a multiple of the identity, with the weight of Ledoit and Wolf (2004).
+
+    fourth is the sum of the fourth powers of the centred rows' lengths.
+    """
+    d = len(s)
     mu = np.trace(s) / d
     spread = ((s - mu * np.eye(d)) ** 2).sum() / d
-    noise = sum(((np.outer(r, r) - s) ** 2).sum() for r in x) / d / n**2 if n * d * d < 5e8 else ((x**2).T @ (x**2) / n - s**2).sum() / d / n
+    noise = (fourth / n - (s**2).sum()) / d / n
     weight = min(noise, spread) / spread if spread > 0 else 1.0
     return (1 - weight) * s + weight * mu * np.eye(d)
 

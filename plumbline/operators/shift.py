@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.statistics import js_bits
+from plumbline.operators.neighbours import moments
 from plumbline.sources.shared import written
 
 ALPHA, PERMUTATIONS, LEAST_PERMUTATIONS, LEAST_ROWS, MOST_ROWS, MOVED = 0.01, 999, 99, 20, 400, 0.15
@@ -169,25 +170,48 @@ def energy_permutation_test(rows: DataFrame, count: int = PERMUTATIONS, seed: in
 
 
 def covariance_shift(rows: DataFrame, components: int = 8, count: int = 199, seed: int = 20260917) -> DataFrame:
-    """Log-determinant ratio of a held-out half of the reference and the current side, in the other half's eigenbasis."""
+    """Log-determinant ratio of a held-out half of the reference and the current side, in the other half's eigenbasis.
+
+    Covariances are sums of products over all rows, for each replicate's random sides too.
+    """
     spark, kind = rows.sparkSession, "status string, components int, statistic double, p double"
-    side, x = _matrix(rows)
-    ref, cur = x[side], x[~side]
-    if len(ref) < 2 * 5 * components or len(cur) < 5 * components:
+    sizes = {r.side: r["count"] for r in rows.groupBy("side").count().collect()}
+    n, m = sizes.get("reference", 0), sizes.get("current", 0)
+    if n < 2 * 5 * components or m < 5 * components:
         return spark.createDataFrame([("INSUFFICIENT_SAMPLE", components, None, None)], kind)
-    fit, held = ref[::2], ref[1::2]
-    _, basis = np.linalg.eigh(np.cov(fit.T))
-    z, y = (v @ basis[:, -components:] for v in (held, cur))
+    halves = written(permuted_sides(rows.where("side = 'reference'").select("id", "vector"), n // 2, 1, f"half {seed}"), "halves")
+    _, centre, products = moments(halves.where("side = 'reference'"))
+    basis = np.linalg.eigh(products)[1][:, -components:]
+    pool = halves.where("side = 'current'").select("id", F.lit(True).alias("held"), "vector").union(rows.where("side = 'current'").select("id", F.lit(False), "vector"))
 
-    def ratio(a: np.ndarray, b: np.ndarray) -> float:
-        (sa, la), (sb, lb) = (np.linalg.slogdet(np.cov(v.T)) for v in (a, b))
-        return lb - la if sa > 0 and sb > 0 else float("nan")
+    def project(batches):
+        import pyarrow as pa
 
-    observed, pool, rng = ratio(z, y), np.concatenate([z, y]), np.random.default_rng(seed)
+        for batch in batches:
+            if batch.num_rows:
+                z = (batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1) - centre) @ basis
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(z), pa.list_(pa.float64()))], ["id", "held", "z"])
+
+    pool = written(pool.mapInArrow(project, f"id {rows.schema['id'].dataType.simpleString()}, held boolean, z array<double>"), "pool")
+    z = [F.get("z", F.lit(i)) for i in range(components)]
+    sums = [F.sum(x) for x in (F.lit(1.0), *z, *(z[i] * z[j] for i in range(components) for j in range(i, components)))]
+    held = n - n // 2
+    drawn = permuted_sides(pool, held, count, f"covariance {seed}").where("side = 'reference'").select("replicate", "z")
+    drawn = drawn.union(pool.where("held").select(F.lit(0), "z")).union(pool.select(F.lit(-1), "z"))
+    got = {r[0]: np.array(r[1:], float) for r in drawn.groupBy("replicate").agg(*sums).collect()}
+
+    def log_det(s: np.ndarray) -> float:
+        cov = np.zeros((components, components))
+        cov[np.triu_indices(components)] = s[1 + components :]
+        cov = np.triu(cov) + np.triu(cov, 1).T - np.outer(s[1 : 1 + components], s[1 : 1 + components]) / s[0]
+        sign, value = np.linalg.slogdet(cov / (s[0] - 1))
+        return value if sign > 0 else float("nan")
+
+    ratio = {b: log_det(got[-1] - s) - log_det(s) for b, s in got.items() if b >= 0}
+    observed = ratio.pop(0)
     if not np.isfinite(observed):
         return spark.createDataFrame([("NOT_ASSESSED", components, None, None)], kind)
-    null = [ratio(pool[o[: len(z)]], pool[o[len(z) :]]) for o in (rng.permutation(len(pool)) for _ in range(count))]
-    p = (sum(abs(v) >= abs(observed) for v in null) + 1) / (count + 1)
+    p = (sum(abs(v) >= abs(observed) for v in ratio.values()) + 1) / (count + 1)
     return spark.createDataFrame([("ASSESSED", components, float(observed), float(p))], kind)
 
 

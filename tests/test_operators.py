@@ -1,7 +1,9 @@
 """Operators on hand-made fixtures: what the driver's tables do not hold."""
 
 import json
+import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,3 +212,24 @@ def test_reports_are_validated(spark, tmp_path):
     path.write_text(json.dumps({"module": "dataset", "findings": [{**finding, "confidence": 0.5}]}))
     with pytest.raises(ValueError, match="break the schema"):
         logs.read_findings(spark, str(path), "dataset")
+
+
+def test_covariances_read_every_row(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (2400, 9))
+    x[:, 0] *= 1 + 5 * (np.arange(2400) % 1200 > 999)
+    rows = spark.createDataFrame([(i, "reference" if i < 1200 else "current", v.tolist()) for i, v in enumerate(x)], "id long, side string, vector array<double>")
+    n, mean, products = neighbours.moments(rows)
+    assert n == 2400 and np.allclose(mean, x.mean(0)) and np.allclose(products / (n - 1), np.cov(x.T))
+    wide = rows.withColumn("vector", F.expr("case when side = 'current' then transform(vector, v -> 1.15 * v) else vector end"))
+    got = shift.covariance_shift(wide, 8).first()
+    assert got.status == "ASSESSED" and abs(got.statistic - 16 * math.log(1.15)) < 0.6 and got.p == pytest.approx(1 / 200)
+    assert shift.covariance_shift(rows, 8).first().p > 0.01
+
+
+def test_subspace_is_that_of_all_reference_rows(spark):
+    rows = spark.range(20_100).select("id", F.lit(True).alias("reference"), F.array(*((F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1000)) / 500.0) for i in range(3))).alias("vector"))
+    x = np.array([r.vector for r in rows.orderBy("id").collect()])
+    got = np.array([r.residual for r in neighbours.ood_subspace_scores(rows, 2).orderBy("id").collect()])
+    last = np.linalg.svd(x - x.mean(0), full_matrices=False)[2][2]
+    assert np.allclose(got, np.abs((x - x.mean(0)) @ last), atol=1e-7)
