@@ -134,3 +134,18 @@ def test_permutation_tests_read_every_row(spark):
     assert {(r.replicate, r.id) for r in drawn.collect()} == {(b, i) for b in range(1, 6) for i in sorted(range(997), key=lambda i: key(b, i))[:400]}
     values = spark.range(6_000).select(F.lit("v").alias("column"), "id", F.when(F.col("id") % 2 == 0, "reference").otherwise("current").alias("side"), ((F.col("id") * 7919) % 6_007).cast("double").alias("value"))
     assert shift.psi_permutation_test(values, count=2).first().psi == shift.psi(values).first().psi
+
+
+def test_activation_queries_score_every_vector(spark, tmp_path):
+    from plumbline.plans import forensic_queries
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (2600, 6))
+    x[2590:, 2] += 12
+    rows = [(i, 1, v.tolist()) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = forensic_queries.activation_spectral(spark, str(tmp_path)).orderBy("probe").collect()
+    score = ((x - x.mean(0)) @ np.linalg.svd(x - x.mean(0), full_matrices=False)[2][0]) ** 2
+    assert np.allclose([r.score for r in got], score) and [r.probe for r in got if r.flagged] == sorted(np.argsort(-score, kind="stable")[:390].tolist())
+    two = forensic_queries.activation_clusters(spark, str(tmp_path)).first()
+    assert two.n == 2600
