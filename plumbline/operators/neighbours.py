@@ -28,11 +28,13 @@ def _rows(table: pa.Table, id_col: str, vector: str) -> tuple[np.ndarray, np.nda
 def nearest(queries: DataFrame, points: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """queries, points (id, vector) -> query, point, value of the k nearest other points: cosine (largest) or distance.
 
-    Ties go to the smaller id.
+    Ties go to the smaller id.  Either side may bring a column apart (array<long>): a query and a point that share an entry are
+    not neighbours, and leave their places to others.
     """
+    queries, points = (d if "apart" in d.columns else d.withColumn("apart", F.array().cast("array<long>")) for d in (queries, points))
     counts = [max(1, math.ceil(d.count() / BLOCK_ROWS)) for d in (queries, points)]
-    left = queries.select(F.col("id").alias("query"), F.col("vector").alias("q"), F.pmod(F.xxhash64("id"), F.lit(counts[0])).cast("int").alias("bq"), F.explode(F.sequence(F.lit(0), F.lit(counts[1] - 1))).alias("bp"))
-    right = points.select(F.col("id").alias("point"), F.col("vector").alias("p"), F.pmod(F.xxhash64("id"), F.lit(counts[1])).cast("int").alias("bp"), F.explode(F.sequence(F.lit(0), F.lit(counts[0] - 1))).alias("bq"))
+    left = queries.select(F.col("id").alias("query"), F.col("vector").alias("q"), F.col("apart").alias("qa"), F.pmod(F.xxhash64("id"), F.lit(counts[0])).cast("int").alias("bq"), F.explode(F.sequence(F.lit(0), F.lit(counts[1] - 1))).alias("bp"))
+    right = points.select(F.col("id").alias("point"), F.col("vector").alias("p"), F.col("apart").alias("pa"), F.pmod(F.xxhash64("id"), F.lit(counts[1])).cast("int").alias("bp"), F.explode(F.sequence(F.lit(0), F.lit(counts[0] - 1))).alias("bq"))
     sign = -1.0 if metric == "cosine" else 1.0
 
     def best(q: pa.Table, p: pa.Table) -> pa.Table:
@@ -42,12 +44,21 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, metric: str = "cosine
             pi, pv = _rows(p, "point", "p")
             order = np.argsort(pi, kind="stable")
             pi, pv = pi[order], pv[order]
+            mates: dict[int, list[int]] = {}
+            lists = p["pa"].to_pylist()
+            for i, j in enumerate(order.tolist()):
+                for g in lists[j] or ():
+                    mates.setdefault(g, []).append(i)
+            own = q["qa"].to_pylist()
             if metric == "cosine":
                 qv, pv = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) for v in (qv, pv))
             for low in range(0, len(qi), 512):
                 part = qv[low : low + 512]
                 value = -(part @ pv.T) if metric == "cosine" else np.sqrt(np.maximum((part**2).sum(1)[:, None] + (pv**2).sum(1)[None] - 2 * part @ pv.T, 0))
                 value[qi[low : low + 512][:, None] == pi[None]] = np.inf
+                for i, groups in enumerate(own[low : low + 512]):
+                    for g in groups or ():
+                        value[i, mates.get(g, [])] = np.inf
                 at = np.argsort(value, axis=1, kind="stable")[:, :k]
                 got = np.take_along_axis(value, at, axis=1)
                 good = np.isfinite(got)
@@ -65,15 +76,17 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, metric: str = "cosine
 def label_consistency(points: DataFrame, groups: DataFrame | None = None, k: int = 10, least: float = 0.70, support: int = 8) -> DataFrame:
     """points (id, label, vector) -> id, label, disagreement, suggested, margin, severity, flagged.
 
-    Classes with fewer than `support` rows stay out.  groups (id, mate) names rows that are no evidence for each other:
-    members of a sample's own duplicate groups.  Votes weigh 1 / (1 - cosine + 1e-6); ties go to the smaller label.
+    Classes with fewer than `support` rows stay out.  groups (id, mate) or (id, group) names rows that are no evidence for
+    each other, members of a sample's own duplicate groups: they are left out before the nearest k are taken.  Votes weigh 1 / (1 - cosine + 1e-6); ties go to the smaller label.
     """
     good = points.join(points.groupBy("label").count().where(F.col("count") >= support).select("label"), "label", "left_semi")
-    most = k if groups is None else k + 64
-    near = nearest(good.select("id", "vector"), good.select("id", "vector"), most)
-    if groups is not None:
-        near = near.join(groups.select(F.col("id").alias("query"), F.col("mate").alias("point")), ["query", "point"], "left_anti")
-        near = near.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("value"), "point"))).where(F.col("place") <= k)
+    ask = points_of = good.select("id", "vector")
+    if groups is not None and "group" in groups.columns:
+        ask = points_of = ask.join(groups.groupBy("id").agg(F.collect_set("group").alias("apart")), "id", "left")
+    elif groups is not None:
+        mates = groups.groupBy(F.col("mate").alias("id")).agg(F.collect_set("id").alias("apart"))
+        ask, points_of = ask.withColumn("apart", F.array("id")), points_of.join(mates, "id", "left")
+    near = nearest(ask, points_of, k)
     labels = good.select(F.col("id").alias("point"), F.col("label").alias("vote"))
     votes = near.join(labels, "point").groupBy("query", "vote").agg(F.sum(1 / (1 - F.col("value") + 1e-6)).alias("w"))
     total = votes.join(good.select(F.col("id").alias("query"), "label"), "query").groupBy("query", "label").agg(

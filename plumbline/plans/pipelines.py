@@ -47,7 +47,8 @@ def scan_dataset(samples: DataFrame, vectors: DataFrame | None = None, issues: D
     parts = [_finding(groups, "exact_duplicate", "duplicate_flood", F.col("representative"), F.col("contributor"), F.col("severity"), F.lit(1.0), "DETERMINISTIC")]
     done, tables = ["duplicate_flood", "near_duplicate_flood"], {"exact": groups}
     codes, tokens = duplicates.text_codes(samples, "id", "content")
-    clusters = written(duplicates.near_clusters(duplicates.confirmed_pairs(duplicates.hamming_pairs(codes), tokens)), "near")
+    pairs = written(duplicates.confirmed_pairs(duplicates.hamming_pairs(codes), tokens), "pairs")
+    clusters = written(duplicates.near_clusters(pairs), "near")
     tables["near"] = clusters
     parts.append(_finding(clusters, "near_duplicate", "near_duplicate_flood", F.col("component"), none, F.col("severity"), F.col("confidence"), "HEURISTIC_UNCALIBRATED"))
     if issues is not None:
@@ -55,7 +56,7 @@ def scan_dataset(samples: DataFrame, vectors: DataFrame | None = None, issues: D
         parts.append(_finding(found, "integrity", "metadata_inconsistency", F.col("sample_id"), none, F.col("severity"), F.lit(1.0), "DETERMINISTIC"))
         done.append("metadata_inconsistency")
     if vectors is not None:
-        labels = written(neighbours.label_consistency(vectors), "labels")
+        labels = written(neighbours.label_consistency(vectors, duplicates.duplicate_members(samples, "id", "content", pairs)), "labels")
         tables["labels"] = labels
         flips = labels.where("flagged").join(samples.select("id", "contributor"), "id", "left")
         parts.append(_finding(flips, "label_consistency", "label_flip", F.col("id"), F.col("contributor"), F.col("severity"), F.lit(0.45), "HEURISTIC_UNCALIBRATED"))

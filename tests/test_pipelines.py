@@ -67,3 +67,12 @@ def test_an_assessment_needs_a_report():
 def test_command_line(capsys):
     assert main(["version"]) == 0 and main(["queries"]) == 0
     assert "exact_dup_groups" in capsys.readouterr().out
+
+
+def test_copies_with_one_wrong_label_do_not_vote_for_each_other(spark):
+    rows = [(i, f"text {i} of its own words {i * 7919} {i * i}", "a", [1.0, 0.001 * i]) for i in range(30)] + [(100 + i, f"other {i} says {i * 104729} {i**3}", "b", [0.001 * i, 1.0]) for i in range(30)]
+    rows += [(1000 + i, "the very same text", "b", [1.0, 0.0005]) for i in range(90)]
+    table = spark.createDataFrame([(*r, "c") for r in rows], "id long, content string, label string, vector array<double>, contributor string")
+    report = pipelines.scan_dataset(table.select("id", "content", "contributor"), table.select("id", "label", "vector"))
+    got = {r.id: r for r in report.tables["labels"].collect()}
+    assert all(got[1000 + i].flagged and got[1000 + i].suggested == "a" for i in range(90)) and len(got) == 150
