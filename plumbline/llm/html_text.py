@@ -15,6 +15,7 @@ itself; a page without a usable host forms the host "".
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import json
 import re
@@ -172,7 +173,7 @@ def key_of(path: tuple) -> str:
 
 
 def empty_wrapper() -> dict:
-    return {"pages": 0, "items": None, "slots": {}, "page": None, "vary": False}
+    return {"pages": 0, "items": None, "slots": {}, "page": None, "vary": False, "marks": []}
 
 
 def read_page(page: str) -> tuple[list, dict]:
@@ -192,7 +193,7 @@ def read_page(page: str) -> tuple[list, dict]:
 
 
 def add_page(wrapper: dict, shape: list, slots: dict, check: int) -> None:
-    merge(wrapper, {"pages": 1, "items": shape, "slots": {k: [1, size, c] for k, (size, c) in slots.items()}, "page": check, "vary": False})
+    merge(wrapper, {"pages": 1, "items": shape, "slots": {k: [1, size, c] for k, (size, c) in slots.items()}, "page": check, "vary": False, "marks": sorted({m for t in _flat(shape) if (m := landmark_of(t))})})
 
 
 def merge(into: dict, other: dict) -> None:
@@ -203,6 +204,7 @@ def merge(into: dict, other: dict) -> None:
     into["vary"] |= other["vary"] or into["page"] is not None and into["page"] != other["page"]
     into["page"] = other["page"] if into["page"] is None else into["page"]
     into["pages"] += other["pages"]
+    into["marks"] = sorted({*into["marks"], *other["marks"]})
     slots = into["slots"]
     for key, (n, size, check) in other["slots"].items():
         if key in slots:
@@ -212,24 +214,22 @@ def merge(into: dict, other: dict) -> None:
             slots[key] = [n, size, check]
 
 
-def _has(items: list, tags: tuple) -> str | None:
-    """The first item of the wrapper, in groups too, that opens one of the tags."""
-    for x in items:
-        if isinstance(x, list):
-            if found := _has(x[1], tags):
-                return found
-        elif x.startswith(tags):
-            return x[1:-1]
-    return None
+#: Landmarks in order of precedence, and the class, id or role that makes one of another element.
+LANDMARKS, LANDMARK_NAMES = ("article", "main", "named"), re.compile(r"\.(?:.*\s)?(?:main|article|content|post|entry)(?:$|[\s_-])")
+
+
+@functools.lru_cache(4096)
+def landmark_of(element: str) -> str | None:
+    """Which kind of landmark a "tag.marks" is, whatever a page's own class and id."""
+    tag = element.partition(".")[0]
+    return tag if tag in LANDMARKS[:2] else "named" if LANDMARK_NAMES.search(element) else None
 
 
 def rule_of(wrapper: dict) -> dict:
-    """What extraction needs of a wrapper: the element that holds the main text, and slots of constant text outside it."""
-    items = wrapper["items"] or []
-    landmark = _has(items, ("<article>", "<article.")) or _has(items, ("<main>", "<main.")) or next((t for t in _flat(items) if re.search(r"\.(?:.*\s)?(?:main|article|content|post|entry)(?:$|[\s_-])", t)), None)
+    """What extraction needs of a wrapper: the landmarks that hold the main text, or the path that does, and slots of constant text outside it."""
     constant = sorted(k for k, (n, _, check) in wrapper["slots"].items() if check is not None and wrapper["vary"] and n >= 3 and n == wrapper["pages"])
-    if landmark:
-        return {"region": landmark, "constant": []}
+    if wrapper["marks"]:
+        return {"regions": [x for x in LANDMARKS if x in wrapper["marks"]], "constant": []}
     weight: dict[str, float] = {}
     for key, (_, size, check) in wrapper["slots"].items():
         parts = key.split("/")
@@ -253,10 +253,15 @@ def _flat(items: list) -> Iterator[str]:
 
 
 def main_text(page: str, rule: dict) -> str:
-    """Blocks of the main text by a host's rule, joined by line feeds; a page that lacks the region is taken whole."""
-    region, at = rule.get("region"), rule.get("path", "")
-    if region and f"<{region.partition('.')[0]}" not in page.lower():
-        region, at = None, ""
+    """Blocks of the main text by a host's rule, joined by line feeds; a page without text in its landmarks is taken whole."""
+    for region in rule.get("regions", ()):
+        if text := _text_in(page, region, rule):
+            return text
+    return _text_in(page, None, rule)
+
+
+def _text_in(page: str, region: str | None, rule: dict) -> str:
+    at = rule.get("path", "")
     constant = frozenset(rule["constant"])
     blocks, now = [], []
 
@@ -273,7 +278,7 @@ def main_text(page: str, rule: dict) -> str:
             if furniture:
                 continue
             if region:
-                inside = any(x[1] == region for x in path)
+                inside = any(landmark_of(x[1]) == region for x in path)
             else:
                 key = key_of(path)
                 inside = (not at or key == at or key.startswith(at + "/")) and key not in constant

@@ -441,3 +441,13 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert seen["ngram_join"].count() == len(ids["ngram_join"])
     assert ids["packing"] == ids["mixing"]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen["packing"].count()
+
+
+def test_pages_with_their_own_marks_keep_their_article(spark):
+    page = lambda i: f'<html><body><nav>menu</nav><article id="post-{i}" class="post p{i % 2}"><p>Words of page {i}.</p></article></body></html>'
+    rows = [(i, "http://h/" + str(i), page(i)) for i in range(6)] + [(9, "http://h/9", "<html><body><p>No landmark here.</p><article></article></body></html>")]
+    got = {r.page_id: r.text for r in html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: f"Words of page {i}." for i in range(6)}, 9: "No landmark here."}
+    wrapper = html_text.empty_wrapper()
+    html_text.add_page(wrapper, *html_text.read_page("".join(f'<p class="a{i}">x</p>' for i in range(500)) + "<main><p>y</p></main>"), 1)
+    assert html_text.rule_of(wrapper)["regions"] == ["main"]
