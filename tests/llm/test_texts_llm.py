@@ -91,10 +91,79 @@ def test_wrappers_find_the_varying_region_without_a_landmark(spark):
     assert got == {i: prose(random.Random(i), 40) + "\n" + prose(random.Random(i + 99), 30) for i in range(8)}
 
 
-def test_alignment_makes_optionals_and_repeats():
-    item = ["<li>", "#", "</li>"]
-    a, b = html_text.fold_repeats(["<ul>", *item * 3, "</ul>"]), html_text.fold_repeats(["<ul>", *item, "</ul>", "<p>", "#", "</p>"])
-    assert html_text.align(a, b) == ["<ul>", ["+", item], "</ul>", ["?", ["<p>"]], ["?", ["#"]], ["?", ["</p>"]]]
+def wrapper_of(*bodies):
+    trees = [html_text.read_page(b)[0] for b in bodies]
+    for tree in trees[1:]:
+        html_text.absorb(trees[0], tree, False)
+    return trees[0]
+
+
+def expression(node):
+    """A wrapper as text: (item)+ is repeated, (item)? optional, # constant text, * changing text."""
+    out = ""
+    for k in node.kids:
+        x = ("#" if k.check is not None else "*") if k.tag == "#" else expression(k) if k.tag == "()" else f"<{k.tag}>{expression(k)}</{k.tag}>"
+        repeated = k.tag != "#" and k.repeated
+        out += f"({x})+" if repeated else x
+        out += "?" if k.n < node.n else ""
+    return out
+
+
+def test_alignment_makes_optionals_repeats_and_slots():
+    w = wrapper_of("<ul><li>a</li><li>b</li></ul><h2>same</h2><p>one</p>", "<ul><li>a</li></ul><div>x</div><h2>same</h2><p>two</p><table></table>")
+    assert expression(w) == "<ul>(<li>*</li>)+</ul><div>#</div>?<h2>#</h2><p>*</p><table></table>?"
+    w = wrapper_of("<dl><dt>a</dt><dd>b</dd><dt>c</dt><dd>d</dd></dl>", "<dl><dt>a</dt><dd>b</dd></dl>")
+    assert expression(w) == "<dl>(<dt>*</dt><dd>*</dd>)+</dl>"
+
+
+def texts_of_pages(spark, rows, parts=2):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+    return {r.page_id: r.text for r in html_text.extract_main_text(df).collect()}
+
+
+def test_the_place_in_the_wrapper_decides(spark):
+    """Three elements without names, landmarks or tags of their own: only alignment tells them apart."""
+    links = lambda i: "".join(f"<a href='/{k}'>{prose(random.Random(i * 10 + k), 3)}</a>" for k in range(4))
+    main = lambda i: prose(random.Random(i), 60)
+    extra = lambda i: "<div><table><tr><td>x</td></tr></table></div>" if i % 3 else ""
+    body = lambda i: f"<body><div>{links(i)}</div>{extra(i)}<div><h1>Our weekly letter</h1><div>{main(i)}</div></div><div><div>Imprint of the house</div><p>{i}</p></div></body>"
+    assert texts_of_pages(spark, [(i, f"http://d.example/{i}", body(i)) for i in range(9)]) == {i: main(i) for i in range(9)}
+
+
+def test_wrappers_do_not_depend_on_partitions(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(120):
+        parts = [f"<div class='k{chr(97 + rng.randrange(5))}'><p>{prose(rng, 5)}</p></div>" for _ in range(rng.randint(0, 4))] + [f"<section><p>{prose(rng, 40)}</p></section>"]
+        rng.shuffle(parts)
+        rows.append((i, f"http://h{i % 2}.example/{i}", "<body>" + "".join(parts) + "</body>"))
+    frames = [spark.createDataFrame(random.Random(k).sample(rows, len(rows)), "page_id long, url string, html string").repartition(k) for k in (1, 3, 7)]
+    rules = [sorted(map(tuple, html_text.infer_wrappers(f.withColumn("host", html_text.host_column("url"))).collect())) for f in frames]
+    assert rules[0] == rules[1] == rules[2] and len(rules[0]) == 2
+
+
+def test_menus_of_many_differing_items_keep_the_article(spark):
+    menu = lambda i: "<div>" + "".join(f"<div class='m{'abcdefghij'[k % 10]}{'klmno'[(k + i) % 5]}'><a href='/'>{i} {k}</a></div>" for k in range(1000)) + "</div>"
+    rows = [(i, f"http://m.example/{i}", f"<body>{menu(i)}<article id='post-{i}'><p>Words of {i} and {prose(random.Random(i), 20)}</p></article></body>") for i in range(6)]
+    assert texts_of_pages(spark, rows) == {i: f"Words of {i} and {prose(random.Random(i), 20)}" for i in range(6)}
+
+
+def test_very_long_and_deep_pages_are_read_whole(spark):
+    long = "".join(f"<p>word {i}</p><div>{i}<b>x</b></div>" if i % 3 else f"<h2>{i}</h2>" for i in range(25_000))
+    deep = "<div>" * 5000 + "<span>" * 8000 + "end of it" + "</div>" * 5000
+    got = texts_of_pages(spark, [(1, "http://l.example/1", f"<body><main>{long}</main></body>"), (2, "http://l.example/2", deep)])
+    assert got[1].split("\n") == [x for i in range(25_000) for x in ([f"word {i}", f"{i}x"] if i % 3 else [str(i)])]
+    assert got[2] == "end of it"
+
+
+def test_names_mark_furniture_by_whole_words(spark):
+    body = "<body><div class='has-sidebar content'><p class='search-results-summary'>Kept</p><div class='left-sidebar'>no</div><div class='ad-box'>no</div><div id='comments-list'>no</div><p>Also kept</p></div></body>"
+    assert texts_of_pages(spark, [(1, "http://n.example/1", body)]) == {1: "Kept\nAlso kept"}
+
+
+def test_pages_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "http://a/1", "<p>x</p>", "h", 7, "r", "t")], "page_id long, url string, html string, host string, salt int, rule string, text string")
+    assert html_text.extract_main_text(df).collect() == [(1, "http://a/1", "x", 1)]
 
 
 def test_pages_of_an_empty_table(spark):
@@ -229,6 +298,42 @@ def test_line_dedup_equals_brute_force(spark):
             assert any((r.n_dropped, r.text) == w for (i, _), w in want.items() if i == r.doc_id)
 
 
+@pytest.mark.parametrize("long_list, holes", [(2, 2), (3, 8), (8, 8)])
+def test_long_lists_of_near_copies_equal_brute_force(spark, monkeypatch, long_list, holes):
+    monkeypatch.setattr(line_dedup, "LONG_LIST", long_list)
+    monkeypatch.setattr(line_dedup, "HOLES", holes)
+    rng = random.Random(long_list)
+    base = "the quick brown fox jumps over é lazy dog"
+    rows = []
+    for i in range(150):
+        x = list(base)
+        kind = i % 6
+        at = {0: 7, 1: rng.randrange(len(x)), 2: len(x) - 1, 3: 20, 4: rng.randrange(len(x)), 5: 20}[kind]
+        if kind < 4:
+            x[at : at + 1] = rng.choice(["", "q", "𝒳", "zz", "é", "j", "oo"])
+        elif kind == 4:
+            x.insert(at, rng.choice("abc𝒳"))
+        else:  # shares a half with the others, far from them
+            x[at + 1 :] = [rng.choice("xyz") for _ in range(rng.randint(17, 19))]
+        rows.append((i, "".join(x), "a"))
+    rng.shuffle(rows)
+    rows = [(i, t, s) for i, (_, t, s) in enumerate(rows)]
+    want = line_brute(rows)
+    got = {(r.doc_id): (r.n_dropped, r.text) for r in line_dedup.line_report(docs(spark, rows)).collect()}
+    assert got == {i: w for (i, _), w in want.items()}
+
+
+def test_long_lists_give_few_pairs(spark):
+    rows = [(i, f"{'shared front of a line '}{i:06d}{' and a tail of it'}", "a") for i in range(0, 4000, 7)]
+    lines = line_dedup.line_rows(docs(spark, rows), "doc_id", "text", 1)
+    entries = lines.select(*line_dedup.LINE, F.explode(line_dedup.signatures(F.col("line"), F.col("n"), 1)).alias("e")).select(*line_dedup.LINE, "e.*")
+    lists = line_dedup.lists_of(entries)
+    firsts = lines.groupBy(*line_dedup.LINE).agg(F.min(F.struct("id", "d", "pos")).alias("first"))
+    pairs = []
+    line_dedup.late_in_long_lists(lists, line_dedup.texts_of(docs(spark, rows), "doc_id", "text", lists.select(*line_dedup.LINE).distinct(), firsts), pairs)
+    assert sum(p.count() for p in pairs) <= line_dedup.LONG_LIST * len(rows)
+
+
 def test_banded_edit_distance(spark):
     rng = random.Random(4)
     pairs = []
@@ -448,6 +553,3 @@ def test_pages_with_their_own_marks_keep_their_article(spark):
     rows = [(i, "http://h/" + str(i), page(i)) for i in range(6)] + [(9, "http://h/9", "<html><body><p>No landmark here.</p><article></article></body></html>")]
     got = {r.page_id: r.text for r in html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {**{i: f"Words of page {i}." for i in range(6)}, 9: "No landmark here."}
-    wrapper = html_text.empty_wrapper()
-    html_text.add_page(wrapper, *html_text.read_page("".join(f'<p class="a{i}">x</p>' for i in range(500)) + "<main><p>y</p></main>"), 1)
-    assert html_text.rule_of(wrapper)["regions"] == ["main"]
