@@ -62,19 +62,19 @@ def contract(edges: DataFrame, blocks: int) -> DataFrame:
     return edges.repartition(blocks).mapInArrow(run, "a long, b long")
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long) -> node, component (smallest node that links reach), for every node that has an edge.
 
     If one block holds all edges, its forest is the answer.  Otherwise large-star and small-star steps alternate: every step
     links a node to the smallest neighbour it knows, so distances shrink by half and a hub's neighbours are spread over
-    their own keys.  Ends when a round changes nothing.
+    their own keys.  Ends when a round changes nothing, however many it takes.
     """
     now = stash(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
     blocks = -(-now.count() // BLOCK_EDGES)
     now = stash(contract(now, max(1, blocks)).select("a", "b"), "edges")
     if blocks > 1:
         last = mark(now)
-        for _ in range(rounds):
+        while True:
             # Large star: each node's larger neighbours are linked to the smallest of it and its neighbours.
             both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
             least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

@@ -1,16 +1,20 @@
 """Embedding near-dedup: codes by iterative quantisation, multi-index Hamming tables, reranking with original vectors.
 
 Rotations are learned that bring the vectors of a bounded sample close to the corners of a cube, so that the signs of the
-rotated coordinates are balanced bits.  The bits are cut into tables of a few bits; two vectors of a label that agree in a
-table's bits meet there.  The bits of a table grow with the logarithm of the largest label's rows, and the number of tables
-with what two vectors at the threshold need to meet in one of them with probability MEET.  Every pair that meets is
-decided by the cosine of the original vectors in double precision, in the first table where it meets and nowhere else.
+rotated coordinates are balanced bits.  The code is cut into tables of a few bits each: two vectors of a label whose codes
+differ in fewer bits than there are tables agree in all bits of some table and meet there; most pairs that differ in more bits do too.
+The number of tables is measured, not assumed: for vectors of the sample that nothing was learned on, partners at exactly the threshold are made up, and tables are
+added until the share MEET of these pairs meets, with and without centring and for several sizes of tables; the plan that
+compares fewest vectors is taken.  Every pair that meets is decided by the cosine of the original vectors in double
+precision, in the first table where it meets and nowhere else.
 
 Equal vectors of a label are one vector with a multiplicity.  A table cell with many vectors is cut into blocks, and pairs
-of blocks are cells of their own, so no task holds more than two blocks.
+of blocks are cells of their own, so no task holds more than two blocks.  The number of links of each vector is asked for, so
+a group of m different vectors that are all near each other costs m * m comparisons, in blocks.
 
 Vectors that are null, zero, of another dimension than most, or hold null or non-finite numbers, and rows with a null label
-link with nothing: they are components of their own.  Repeated rows of an id are vectors of their own.
+link with nothing: they are components of their own.  Rows that share an id are vectors of their own, each with its own
+links; a component is named by the smallest id in it.
 """
 
 from __future__ import annotations
@@ -27,28 +31,63 @@ from plumbline.llm.components import connected_components
 from plumbline.llm.vectors import matrix, rotation, sample, usable
 
 COSINE, MEET, CELL_ROWS = 0.93, 0.97, 1024
-
-
-def learn_rotations(x: np.ndarray, count: int, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
-    """mean, and count rotations side by side: each alternates between the nearest corners and the best turn to them."""
-    mean = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
-    v, out = x - mean, []
-    basis = np.linalg.svd(v.T @ v)[0] if len(x) else np.eye(x.shape[1])
-    for k in range(count):
-        turn = rotation(x.shape[1], 100 + k)
+#: Sampled vectors that rotations are learned on, pairs that the plan is measured on, bits that the plan may use at first.
+LEARN_ROWS, PLAN_PAIRS, CODE_BITS = 4096, 2000, 768
+#: Parts that the lookup of a component's name is cut into.
+SALTS = 16
+
+
+def learn_rotations(v: np.ndarray, bits: int, rounds: int = 30) -> np.ndarray:
+    """So many columns of rotations side by side: each alternates between the nearest corners and the best turn to them."""
+    d, out = v.shape[1], []
+    basis = np.linalg.svd(v.T @ v)[0] if len(v) else np.eye(d)
+    for k in range(-(-bits // d)):
+        turn = rotation(d, 100 + k)
         z = v @ basis
-        for _ in range(rounds if len(x) else 0):
+        for _ in range((rounds if d <= 128 else rounds // 6) if len(v) else 0):
             u, _, w = np.linalg.svd(np.where(z @ turn >= 0, 1.0, -1.0).T @ z)
             turn = (u @ w).T
         out.append(basis @ turn)
-    return mean, np.concatenate(out, axis=1)
-
-
-def plan_tables(most: int, threshold: float) -> tuple[int, int]:
-    """Bits of a table and number of tables for the largest label's rows."""
-    bits = int(np.clip(np.ceil(np.log2(max(most, 2))) - 3, 6, 30))
-    agree = (1 - np.arccos(threshold) / np.pi) ** bits
-    return bits, max(2, int(np.ceil(np.log(1 - MEET) / np.log(1 - agree))))
+    return np.concatenate(out, axis=1)[:, :bits]
+
+
+def table_codes(v: np.ndarray, turn: np.ndarray, bits: int) -> np.ndarray:
+    """Codes of rows in each table."""
+    weight = 1 << np.arange(bits, dtype=np.int64)
+    tables = turn.shape[1] // bits
+    return ((v @ turn[:, : tables * bits] >= 0).reshape(len(v), tables, bits) * weight).sum(axis=2)
+
+
+def plan_tables(x: np.ndarray, most: int, threshold: float) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """mean, rotations, bits of a table and number of tables, from unit vectors of a sample and the largest label's rows."""
+    d = x.shape[1]
+    full = int(np.clip(np.ceil(np.log2(max(most, 2))) - 3, 6, 30))
+    if len(x) < 2:
+        return np.zeros(d), learn_rotations(np.zeros((0, d)), full * 2), full, 2
+    rng = np.random.default_rng(9)
+    learn, x = (x[: len(x) // 2], x[len(x) // 2 :]) if len(x) >= 64 else (x, x)  # measured on rows that it was not learned on
+    learn = learn[:LEARN_ROWS]
+    one = x[rng.integers(0, len(x), PLAN_PAIRS)]
+    other = rng.standard_normal(one.shape)
+    other -= (other * one).sum(axis=1, keepdims=True) * one
+    other = threshold * one + np.sqrt(1 - threshold**2) * other / np.maximum(np.linalg.norm(other, axis=1, keepdims=True), 1e-300)
+    left, right = x[rng.integers(0, len(x), 4 * PLAN_PAIRS)], x[rng.integers(0, len(x), 4 * PLAN_PAIRS)]
+    wide = CODE_BITS
+    while True:
+        plans = []
+        for mean in (learn.mean(axis=0), np.zeros(d)):
+            turn = learn_rotations(learn - mean, wide)
+            for bits in sorted({full, max(4, full - 2), max(4, full - 4), max(4, full - 6)}, reverse=True):
+                met = np.logical_or.accumulate(table_codes(one - mean, turn, bits) == table_codes(other - mean, turn, bits), axis=1).mean(axis=0)
+                if met[-1] >= MEET:
+                    tables = max(2, int(np.argmax(met >= MEET)) + 1)
+                    turned = turn[:, : tables * bits]
+                    chance = (table_codes(left - mean, turned, bits) == table_codes(right - mean, turned, bits)).mean()
+                    plans.append((tables * (1 + most * chance / 64), tables, mean, turned, bits))
+        if plans:
+            _, tables, mean, turned, bits = min(plans, key=lambda p: p[:2])
+            return mean, turned, bits, tables
+        wide *= 2
 
 
 def near_components(rows: DataFrame, threshold: float = COSINE) -> DataFrame:
@@ -58,32 +97,31 @@ def near_components(rows: DataFrame, threshold: float = COSINE) -> DataFrame:
     good = usable(rows.where("vec_id is not null and label is not null"))
     key = ["label", "h1", "h2"]
     slim = stash(good.select("vec_id", "label", F.xxhash64("embedding").alias("h1"), F.hash("embedding").alias("h2")), "vector-keys")
-    heads = stash(slim.groupBy(*key).agg(F.min("vec_id").alias("head"), F.count("*").alias("copies")), "vector-heads")
+    heads = slim.groupBy(*key).agg(F.min("vec_id").alias("head"), F.count("*").alias("copies"))
+    # Nodes are numbered in the order of their smallest ids, so a component's smallest node has its smallest id.
+    heads = stash(heads.orderBy("head", "h1", "h2").withColumn("node", F.monotonically_increasing_id()), "vector-heads")
     most = heads.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    bits, tables = plan_tables(most, threshold)
     _, x = sample(good)
-    mean, turn = learn_rotations(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300), -(-bits * tables // x.shape[1]))
-    turn = turn[:, : bits * tables]
+    mean, turn, bits, tables = plan_tables(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300), most, threshold)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = 1 << np.arange(bits, dtype=np.int64)
         for batch in batches:
             v = matrix(batch.column(2))
             if len(v):
-                v = v / np.linalg.norm(v, axis=1, keepdims=True)
-                codes = (((v - mean) @ turn >= 0).reshape(len(v), tables, bits) * weight).sum(axis=2)
+                codes = table_codes(v / np.linalg.norm(v, axis=1, keepdims=True) - mean, turn, bits)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * tables), pa.array(codes.ravel()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["head", "label", "embedding", "copies", "codes"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["node", "label", "embedding", "copies", "codes"])
 
     kind, label = good.schema["embedding"].dataType.simpleString(), good.schema["label"].dataType.simpleString()
-    whole = good.withColumnsRenamed({"vec_id": "head"}).dropDuplicates(["head"]).join(heads.select("head", "copies"), "head").select("head", "label", "embedding", "copies")
-    coded = stash(whole.mapInArrow(code, f"head long, label {label}, embedding {kind}, copies long, codes array<long>"), "vector-codes")
-    spots = coded.select("head", "label", F.posexplode("codes").alias("table", "code"))
+    keyed = good.select("label", F.xxhash64("embedding").alias("h1"), F.hash("embedding").alias("h2"), "embedding").dropDuplicates(key)
+    whole = keyed.join(heads, key).select("node", "label", "embedding", "copies")
+    coded = stash(whole.mapInArrow(code, f"node long, label {label}, embedding {kind}, copies long, codes array<long>"), "vector-codes")
+    spots = coded.select("node", "label", F.posexplode("codes").alias("table", "code"))
     sizes = stash(spots.groupBy("label", "table", "code").agg(F.count("*").alias("n")).where("n > 1"), "vector-cells")
     spots = spots.join(sizes, ["label", "table", "code"]).withColumn("blocks", F.ceil(F.col("n") / CELL_ROWS).cast("int"))
-    spots = spots.withColumn("block", F.pmod(F.xxhash64("head"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    cells = spots.select("head", "table", "block", (F.col("block") == F.col("other")).alias("alone"), F.xxhash64("label", "table", "code", F.least("block", "other"), F.greatest("block", "other")).alias("cell"))
-    cells = cells.join(coded, "head").repartition("cell").sortWithinPartitions("cell")
+    spots = spots.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    cells = spots.select("node", "table", "block", (F.col("block") == F.col("other")).alias("alone"), F.xxhash64("label", "table", "code", F.least("block", "other"), F.greatest("block", "other")).alias("cell"))
+    cells = cells.join(coded, "node").repartition("cell").sortWithinPartitions("cell")
 
     def pairs_of(c: dict) -> tuple[np.ndarray, np.ndarray]:
         """Index pairs of a cell whose first common table is the cell's and whose cosine reaches the threshold."""
@@ -127,8 +165,8 @@ def near_components(rows: DataFrame, threshold: float = COSINE) -> DataFrame:
                         break
                     root = new
                 at = np.flatnonzero(count)
-                nodes.append(part["head"][at])
-                others.append(part["head"][root[at]])
+                nodes.append(part["node"][at])
+                others.append(part["node"][root[at]])
                 links.append(count[at])
             if nodes:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, others, links)], ["node", "other", "links"])
@@ -137,7 +175,7 @@ def near_components(rows: DataFrame, threshold: float = COSINE) -> DataFrame:
             if not batch.num_rows:
                 continue
             v = matrix(batch.column(7))
-            c = {k: batch.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(("cell", "head", "table", "block", "alone", "label", "copies"))}
+            c = {k: batch.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(("cell", "node", "table", "block", "alone", "label", "copies"))}
             c |= {"v": v / np.linalg.norm(v, axis=1, keepdims=True), "codes": batch.column(8).flatten().to_numpy().reshape(-1, tables)}
             if held:
                 c = {k: np.concatenate([held[k], x]) for k, x in c.items()}
@@ -147,12 +185,16 @@ def near_components(rows: DataFrame, threshold: float = COSINE) -> DataFrame:
         if held:
             yield from work(held)
 
-    found = stash(cells.select("cell", "head", "table", "block", "alone", "label", "copies", "embedding", "codes").mapInArrow(meet, "node long, other long, links long"), "vector-links")
+    found = stash(cells.select("cell", "node", "table", "block", "alone", "label", "copies", "embedding", "codes").mapInArrow(meet, "node long, other long, links long"), "vector-links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    parts = connected_components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
-    named = heads.join(links.withColumnRenamed("node", "head"), "head", "left").join(parts.withColumnRenamed("node", "head"), "head", "left")
-    named = stash(named.select(*key, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "head").alias("component")), "vector-answer")
-    answer = slim.join(named, key).groupBy("vec_id").agg(F.max("links").alias("links"), F.min("component").alias("component"))
-    out = rows.select("vec_id").join(answer, "vec_id", "left")
+    parts = stash(connected_components(found.select(F.col("node").alias("a"), F.col("other").alias("b"))), "vector-components")
+    # A component may hold most nodes: its name is looked up by salts.
+    names = parts.select("component").distinct().join(heads.select(F.col("node").alias("component"), F.col("head").alias("least")), "component")
+    names = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    parts = parts.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(names, ["component", "salt"]).select("node", "least")
+    named = heads.join(links, "node", "left").join(parts, "node", "left")
+    named = stash(named.select(*key, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("least", "head").alias("component")), "vector-answer")
+    out = rows.select("vec_id", "label", F.xxhash64("embedding").alias("h1"), F.hash("embedding").alias("h2")).withColumn("label", F.when(F.col("vec_id").isNotNull(), F.col("label")))
+    out = out.join(named, key, "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

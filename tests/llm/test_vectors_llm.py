@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from plumbline.llm.ann import Index, scan_list, search
-from plumbline.llm.embedding_dedup import near_components
+from plumbline.llm.embedding_dedup import near_components, plan_tables, table_codes
 from plumbline.llm.vectors import rotation
 
 KIND = "vec_id long, embedding array<float>, label int, score string"
@@ -119,3 +119,26 @@ def test_near_vectors_of_tiny_tables(spark, rows):
     assert len(got) == len(rows)
     assert all(r.component_id == 1 and r.kept for r in got)
     assert all(r.n_links == len(rows) - 1 for r in got)
+
+
+def test_repeated_ids_are_vectors_of_their_own(spark):
+    rows = [(5, [1.0, 0.0, 0.0], 1), (5, [0.0, 1.0, 0.0], 1), (6, [0.99, 0.05, 0.0], 1), (7, [0.05, 0.99, 0.0], 1), (8, [0.0, 0.0, 1.0], 1)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in near_components(table(spark, rows)).collect())
+    assert got == [(5, 1, 5), (5, 1, 5), (6, 1, 5), (7, 1, 5), (8, 0, 8)]
+
+
+@pytest.mark.parametrize("common", [0.0, 0.7, 0.85])
+def test_plans_meet_pairs_at_the_threshold_despite_a_common_direction(common):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((3000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    axis = np.eye(48)[0]
+    x = np.sqrt(common) * axis + np.sqrt(1 - common) * x
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    mean, turn, bits, tables = plan_tables(x[:2000], 100_000, 0.93)
+    one = x[2000:]
+    w = rng.standard_normal(one.shape)
+    w -= (w * one).sum(axis=1, keepdims=True) * one
+    other = 0.93 * one + np.sqrt(1 - 0.93**2) * w / np.linalg.norm(w, axis=1, keepdims=True)
+    met = (table_codes(one - mean, turn, bits) == table_codes(other - mean, turn, bits)).any(axis=1)
+    assert met.mean() > 0.94 and turn.shape[1] == bits * tables
