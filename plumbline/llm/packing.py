@@ -1,10 +1,14 @@
 """Best-fit packing of documents into sequences by bin completion.
 
 Documents are tokenised and cut into pieces of at most CAPACITY tokens.  Packing needs only how many pieces there are of
-each length, at most CAPACITY numbers whatever the corpus, so one global problem is solved exactly where possible: a
-branch-and-bound that completes the bin of the largest remaining piece, trying undominated fillings in order of waste,
-pruned by the waste that a better packing may still have, with best-fit-decreasing solutions as incumbents.  A step
-repeats its filling as often as the counts allow, so the number of steps does not follow the corpus either.
+each length, at most CAPACITY numbers whatever the corpus, so there is one global problem: a branch-and-bound completes the
+bin of the largest remaining piece, with all undominated fillings in order of waste, pruned by the waste that a better
+packing may still have, with best-fit-decreasing solutions as incumbents.  A step repeats its filling as often as
+the counts allow (and fewer times on the way back), so the number of steps does not follow the corpus.
+
+The search ends when it meets the lower bound (an optimum), when it has tried everything (an optimum), or after STEPS nodes
+of the enumeration; then the descent at hand is finished by best fit and the better of both solutions stays.  Steps are
+counted, not timed, so reruns agree on any machine.
 
 The solution is a list of patterns with multiplicities.  A piece's rank among those of its length (counted in cells of a
 hash of its id, so no task ranks more than a cell) says which slot of which pattern it takes.
@@ -17,7 +21,6 @@ from __future__ import annotations
 
 import os
 import re
-import time
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +32,10 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import WordHasher, stash, text_blocks
 
 CAPACITY, END = 2048, 0
-CELLS = 256
+#: Pieces of a cell, about: pieces are ranked within cells of a length, at least CELLS of them.
+CELL_PIECES, CELLS = 500_000, 256
+#: Nodes of the enumeration of fillings that the search visits at most.
+STEPS = 200_000
 #: Words whose ids a worker remembers, before it starts over.
 CACHE_WORDS = 1_000_000
 
@@ -201,8 +207,8 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[tup
 class Completion:
     """Branch-and-bound over fillings around the largest piece."""
 
-    def __init__(self, counts: dict[int, int], capacity: int, seconds: float = 20.0, width: int = 3):
-        self.capacity, self.width, self.until = capacity, width, time.monotonic() + seconds
+    def __init__(self, counts: dict[int, int], capacity: int, steps: int = STEPS):
+        self.capacity, self.steps = capacity, steps
         self.count = np.zeros(capacity + 1, np.int64)
         for s, n in counts.items():
             self.count[s] = n
@@ -213,15 +219,12 @@ class Completion:
         self.path: list[tuple[tuple[int, ...], int]] = []
 
     def solve(self) -> list[tuple[tuple[int, ...], int]]:
-        """Depth first over the fillings of the largest remaining piece's bin; the first descent always ends."""
-        stack: list[Iterator] = [iter(self.fillings())]
+        """Depth first over the fillings of the largest remaining piece's bin."""
+        stack: list[Iterator] = [self.fillings()]
         used = waste = 0
-        while stack and self.best_bins > self.bound:
+        while stack and self.best_bins > self.bound and self.steps > 0:
             step = next(stack[-1], None)
-            late = time.monotonic() > self.until
-            if step is None or late and self.best_bins and len(self.best):
-                if late:
-                    break
+            if step is None:
                 stack.pop()
                 if self.path:
                     contents, n = self.path.pop()
@@ -235,81 +238,102 @@ class Completion:
             self._change(contents, -n)
             self.path.append((contents, n))
             used, waste = used + n, waste + lost
-            if not self.count.any():
-                if used < self.best_bins:
-                    self.best, self.best_bins = list(self.path), used
-                self.path.pop()
-                self._change(contents, n)
-                used, waste = used - n, waste - lost
-            else:
-                stack.append(iter(self.fillings()))
+            if self.count.any():
+                stack.append(self.fillings())
+                continue
+            if used < self.best_bins:
+                self.best, self.best_bins = list(self.path), used
+            self.path.pop()
+            self._change(contents, n)
+            used, waste = used - n, waste - lost
+        if self.steps <= 0 and self.count.any():
+            rest = best_fit_decreasing({int(s): int(self.count[s]) for s in np.flatnonzero(self.count)}, self.capacity)
+            if used + sum(n for _, n in rest) < self.best_bins:
+                self.best, self.best_bins = [*self.path, *rest], used + sum(n for _, n in rest)
         return self.best
 
     def _change(self, contents: tuple[int, ...], n: int) -> None:
         for s in contents:
             self.count[s] += n
 
-    def fillings(self) -> list[tuple[tuple[int, ...], int]]:
-        """Up to width undominated fillings of the bin of the largest piece, least waste first, with multiplicities.
-
-        A filling is dominated if one of its pieces could give way to a larger one that is left and still fits.
-        """
-        sizes = np.flatnonzero(self.count)
-        top = int(sizes[-1])
-        self.count[top] -= 1
-        below = np.maximum.accumulate(np.where(self.count > 0, np.arange(self.capacity + 1), 0))  # largest left that fits
-        found: dict[tuple[int, ...], int] = {}
+    def fillings(self) -> Iterator[tuple[tuple[int, ...], int]]:
+        """Undominated fillings of the bin of the largest piece, least waste first, each with falling multiplicities."""
+        whole = self.count.copy()
+        top = int(np.flatnonzero(whole)[-1])
+        left = whole.copy()
+        left[top] -= 1
         room = self.capacity - top
-        self._fill(room, (), below, found, 3)
-        self.count[top] += 1
-        ranked = sorted(found.items(), key=lambda x: (x[1], tuple(-s for s in x[0])))[: self.width] or [((), room)]
-        out = []
-        for contents, _ in ranked:
-            whole = (top, *contents)
-            need = np.bincount(whole, minlength=self.capacity + 1)
-            used = np.flatnonzero(need)
-            out.append((whole, int((self.count[used] // need[used]).min())))
-        return out
-
-    def _fill(self, room: int, contents: tuple[int, ...], below: np.ndarray, found: dict, depth: int) -> None:
-        """Adds fillings of room: the last two pieces as the best pair, the ones before from the largest that fit."""
-        first = int(below[room])
-        if not first:
-            found[contents] = room
+        sums = reachable(np.flatnonzero(left[: room + 1]).tolist(), room)
+        for waste in range(room + 1):
+            if not sums[room - waste]:
+                continue
+            for contents in self._exactly(room - waste, room - waste, left, sums):
+                if undominated(contents, waste, left):
+                    need = np.bincount((top, *contents), minlength=self.capacity + 1)
+                    some = np.flatnonzero(need)
+                    for n in range(int((whole[some] // need[some]).min()), 0, -1):
+                        yield (top, *contents), n
+                if self.steps <= 0:
+                    return
+
+    def _exactly(self, total: int, most: int, left: np.ndarray, sums: np.ndarray) -> Iterator[tuple[int, ...]]:
+        """Multisets of pieces that are left, none over most, with exactly this total; larger pieces first."""
+        self.steps -= 1
+        if self.steps <= 0:
             return
-        pairs = np.flatnonzero(self._left(contents)[: room + 1])[::-1]
-        rest = below[room - pairs]
-        waste = room - pairs - rest
-        order = np.argsort(waste, kind="stable")[:8]
-        for i in order.tolist():
-            a, b = int(pairs[i]), int(rest[i])
-            more = contents + ((a, b) if b else (a,))
-            if (np.bincount(more, minlength=self.capacity + 1) <= self.count).all():
-                left = room - a - b
-                if left and below[left]:
-                    if depth:
-                        self._fill(left, more, below, found, depth - 1)
+        if total == 0:
+            yield ()
+            return
+        high = min(most, total)
+        fits = np.flatnonzero((left[1 : high + 1] > 0) & sums[total - high : total][::-1]) + 1
+        for piece in fits[::-1].tolist():
+            left[piece] -= 1
+            try:
+                if piece == total:
+                    yield (piece,)
                 else:
-                    found[tuple(sorted(more, reverse=True))] = left
-        if depth and (not found or min(found.values())):
-            for a in pairs[:6].tolist():
-                if (np.bincount(contents + (a,), minlength=self.capacity + 1) <= self.count).all():
-                    self._fill(room - a, contents + (a,), below, found, depth - 1)
-                    if found and not min(found.values()):
-                        return
-        if not found:
-            found[contents] = room
+                    for more in self._exactly(total - piece, piece, left, sums):
+                        yield (piece, *more)
+            finally:
+                left[piece] += 1
+            if self.steps <= 0:
+                return
+
 
-    def _left(self, contents: tuple[int, ...]) -> np.ndarray:
-        return self.count - np.bincount(contents, minlength=self.capacity + 1) > 0 if contents else self.count > 0
+def reachable(sizes: list[int], room: int) -> np.ndarray:
+    """Which totals up to room some pieces of these sizes have, were there enough of each: no other total can be filled."""
+    known, mask = 1, (1 << (room + 1)) - 1
+    for s in sizes:
+        step = s
+        while step <= room:
+            known |= (known << step) & mask
+            step *= 2
+    return np.unpackbits(np.frombuffer(known.to_bytes(room // 8 + 1, "little"), np.uint8), bitorder="little")[: room + 1].astype(bool)
 
 
-def solve(counts: dict[int, int], capacity: int = CAPACITY, seconds: float = 20.0) -> list[tuple[tuple[int, ...], int]]:
+def undominated(contents: tuple[int, ...], waste: int, left: np.ndarray) -> bool:
+    """False if one more piece fits, or if one or two of the pieces could give way to a larger one that is left.
+
+    While the pieces of contents are taken out of left by the caller's enumeration, left is what remains.
+    """
+    if left[1 : waste + 1].any():
+        return False
+    for a in set(contents):
+        if waste and left[a + 1 : a + waste + 1].any():
+            return False
+    for i, a in enumerate(contents):
+        for b in set(contents[i + 1 :]):
+            if left[a + b : a + b + waste + 1].any():
+                return False
+    return True
+
+
+def solve(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (sizes of a bin) and how many bins have each; full pieces are bins of their own."""
     full = counts.get(capacity, 0)
     rest = {s: n for s, n in counts.items() if 0 < s < capacity and n}
     out = [((capacity,), full)] if full else []
-    return out + (Completion(rest, capacity, seconds).solve() if rest else [])
+    return out + (Completion(rest, capacity, steps).solve() if rest else [])
 
 
 def slots(patterns: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
@@ -329,7 +353,8 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     rows = stash(pieces(docs, tokenizer, capacity=capacity), "pieces")
-    rows = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(CELLS)).cast("int"))
+    several = max(CELLS, -(-rows.count() // CELL_PIECES))
+    rows = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(several)).cast("int"))
     cells = stash(rows.groupBy("length", "cell").agg(F.count("*").alias("n")), "piece-counts")
     counts = {r.length: r.n for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     table = slots(solve(counts, capacity))

@@ -465,9 +465,47 @@ def test_bin_completion_finds_the_optimum(counts, best):
     assert used == counts
 
 
-def test_completion_beats_best_fit():
-    counts = {57: 1, 43: 1, 40: 1, 36: 1, 33: 1, 31: 1, 30: 1, 30 - 1: 1}
-    assert sum(n for _, n in packing.solve(counts, 100)) <= sum(n for _, n in packing.best_fit_decreasing(counts, 100))
+def optimum(sizes, capacity):
+    """Fewest bins, by trying each piece in each different bin."""
+    best = [len(sizes)]
+
+    def go(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(rooms)
+            return
+        for room in {r for r in rooms if r >= sizes[i]}:
+            k = rooms.index(room)
+            go(i + 1, [*rooms[:k], room - sizes[i], *rooms[k + 1 :]])
+        go(i + 1, [*rooms, capacity - sizes[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_completion_finds_optima_that_best_fit_misses():
+    rng = random.Random(5)
+    better = 0
+    for _ in range(150):
+        sizes = sorted((rng.randint(12, 60) for _ in range(rng.randint(6, 11))), reverse=True)
+        counts = {s: sizes.count(s) for s in sizes}
+        got, fitted = packing.solve(counts, 100), packing.best_fit_decreasing(counts, 100)
+        assert sum(n for _, n in got) == optimum(sizes, 100)
+        better += sum(n for _, n in got) < sum(n for _, n in fitted)
+    assert better >= 3
+
+
+def test_completion_at_scale_is_near_the_bound_and_beats_best_fit():
+    rng = random.Random(6)
+    counts = {}
+    for _ in range(3000):
+        s = min(2047, max(1, int(rng.lognormvariate(6, 1))))
+        counts[s] = counts.get(s, 0) + 1000
+    out, low = packing.solve(counts), packing.lower_bound(counts, 2048)
+    got = sum(n for _, n in out)
+    assert low <= got < sum(n for _, n in packing.best_fit_decreasing(counts, 2048)) and got - low < 0.0002 * low
+    assert out == packing.solve(counts)
 
 
 # ---------------------------------------------------------------- toxicity
