@@ -2,14 +2,17 @@
 
 Inner product becomes distance by one more coordinate (the root of what a vector's norm lacks of the largest one).  Vectors
 are dealt to the lists of k-means centroids; a query probes its nearest lists, as many as gave RECALL on the fitting sample.
+There are about as many lists as the root of the number of vectors: beyond COARSE of them a list is a centroid plus one of
+several centroids of what vectors differ from their centroid by, so a bounded sample fits any number of lists.
 Within a list, rotated coordinates are read in blocks of BLOCK columns: after each block a hypothesis test on the partial
 distance drops candidates that are, almost surely, beyond the query's bound; the bound starts from a few seeds of the
 fitting sample (which are candidates too), tightens as the list goes by, and is that of the nearest lists for all others.  What is left is scored with the original vectors in double precision.
 
 Lists with many vectors or many queries are cut into chunks, so no task holds more than LIST_ROWS x LIST_QUERIES of them.
 
-Centroids and the number of probes are fitted on a bounded sample; every vector is indexed.  Null ids take no part.  Rows
-that share a query's id are its own row; equal rows of another id are one candidate.
+Centroids and the number of probes are fitted on a bounded sample; every vector is indexed.  Null ids take no part, nor do
+vectors of another dimension than most.  Rows that share a query's id are its own row; equal rows of another id are one
+candidate.  Tables of at most 8 * K rows have no seeds: their bound starts open, which changes no result.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ from plumbline.llm.common import stash
 from plumbline.llm.vectors import matrix, rotation, sample, usable
 
 K, RECALL, BLOCK, EPSILON = 20, 0.97, 16, 2.1
-MOST_LISTS, LIST_ROWS, LIST_QUERIES = 1024, 4096, 8192
+COARSE, LIST_ROWS, LIST_QUERIES = 1024, 4096, 8192
+#: Distances to lists that a task holds at a time.
+HELD = 1 << 22
 #: Sampled vectors that give a query its first bound: an eighth of all, at most so many.
 SEEDS = 2048
 #: One of so many probed lists, the nearest ones, is scanned ahead of the others.
@@ -41,14 +46,32 @@ class Index:
     ids: np.ndarray
     vectors: np.ndarray
     probes: int
+    inner: np.ndarray | None = None
+
+    def __post_init__(self) -> None:
+        if self.inner is None:
+            self.inner = np.zeros((1, self.centroids.shape[1]))
 
     def lift(self, x: np.ndarray, query: bool) -> np.ndarray:
         rest = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.top - (x**2).sum(axis=1), 0))
         return np.column_stack([x, rest])
 
+    def far(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        """Distances (up to a number for each row) of blocks of rows to all lists; list c * len(inner) + r is centroid c plus inner centroid r."""
+        lists = len(self.centroids) * len(self.inner)
+        size = (self.centroids**2).sum(axis=1)[:, None] + (self.inner**2).sum(axis=1)[None] + 2 * self.centroids @ self.inner.T
+        step = max(1, HELD // lists)
+        for low in range(0, len(x), step):
+            some = x[low : low + step]
+            yield (size[None] - 2 * ((some @ self.centroids.T)[:, :, None] + (some @ self.inner.T)[:, None, :])).reshape(len(some), lists)
+
     def nearest_lists(self, x: np.ndarray, k: int) -> np.ndarray:
-        far = (self.centroids**2).sum(axis=1)[None] - 2 * x @ self.centroids.T
-        return np.argsort(far, axis=1, kind="stable")[:, :k]
+        """The k nearest lists of each row, nearest first."""
+        if k == 1:
+            out = [far.argmin(axis=1)[:, None] for far in self.far(x)]
+        else:
+            out = [np.argsort(far, axis=1, kind="stable")[:, :k] for far in self.far(x)]
+        return np.concatenate(out) if out else np.zeros((0, k), np.int64)
 
     def seeds(self, q: np.ndarray, q_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Squared distance within which k seeds lie (infinite if there are fewer), and those seeds: query, seed, score."""
@@ -73,6 +96,19 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def k_means(x: np.ndarray, count: int, rounds: int = 12) -> np.ndarray:
+    """So many centroids of the rows; one that gets no rows stays where it was."""
+    centroids = x[np.random.default_rng(5).choice(len(x), count, replace=False)]
+    for _ in range(rounds):
+        size = (centroids**2).sum(axis=1)[None]
+        near = np.concatenate([(size - 2 * x[i : i + 4096] @ centroids.T).argmin(axis=1) for i in range(0, len(x), 4096)])
+        order = np.argsort(near, kind="stable")
+        filled, start = np.unique(near[order], return_index=True)
+        centroids = centroids.copy()
+        centroids[filled] = np.add.reduceat(x[order], start, axis=0) / np.diff(np.append(start, len(order)))[:, None]
+    return centroids
+
+
 def fit(rows: DataFrame, n: int, k: int = K) -> Index:
     top = rows.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).first()[0] or 0.0
     ids, x = sample(rows)
@@ -80,26 +116,24 @@ def fit(rows: DataFrame, n: int, k: int = K) -> Index:
     if not len(x):
         return index
     lifted = index.lift(x, False)
-    lists = int(np.clip(round(np.sqrt(n)), 1, min(MOST_LISTS, max(1, len(x) // 8))))
-    rng = np.random.default_rng(5)
-    centroids = lifted[rng.choice(len(lifted), lists, replace=False)]
-    for _ in range(12):
-        index.centroids = centroids
-        near = np.concatenate([index.nearest_lists(lifted[i : i + 4096], 1)[:, 0] for i in range(0, len(lifted), 4096)])
-        order = np.argsort(near, kind="stable")
-        filled, start = np.unique(near[order], return_index=True)
-        centroids = centroids.copy()
-        centroids[filled] = np.add.reduceat(lifted[order], start, axis=0) / np.diff(np.append(start, len(order)))[:, None]
-    index.centroids = centroids
-    near = np.concatenate([index.nearest_lists(lifted[i : i + 4096], 1)[:, 0] for i in range(0, len(lifted), 4096)])
+    wanted = max(1, round(np.sqrt(n)))
+    coarse = int(np.clip(wanted, 1, min(COARSE, max(1, len(x) // 8))))
+    index.centroids = k_means(lifted, coarse)
+    if wanted > 2 * coarse:
+        rest = lifted - index.centroids[index.nearest_lists(lifted, 1)[:, 0]]
+        index.inner = k_means(rest, int(min(-(-wanted // coarse), max(1, len(x) // 8))))
+    near = index.nearest_lists(lifted, 1)[:, 0]
     # Recall on the sample: at which probe each true neighbour's list comes.
     test = np.arange(min(len(x), 500))
     score = x[test] @ x.T
     score[ids[test][:, None] == ids[None]] = -np.inf
     true = np.argsort(-score, axis=1)[:, : min(k, max(1, len(x) - 1))]
-    places = index.nearest_lists(index.lift(x[test], True), lists)
-    turn = np.argsort(places, axis=1)
-    at = np.sort(np.take_along_axis(turn, near[true], axis=1).ravel())
+    at, low = [], 0
+    for far in index.far(index.lift(x[test], True)):
+        hit = np.take_along_axis(far, near[true[low : low + len(far)]], axis=1)
+        at += [np.searchsorted(np.sort(row), h) for row, h in zip(far, hit, strict=True)]
+        low += len(far)
+    at = np.sort(np.concatenate(at))
     keep = np.sort(np.argsort(ids, kind="stable")[:: max(8, -(-len(ids) // SEEDS))]) if n > 8 * k else np.arange(0)
     index.ids, index.vectors = ids[keep], x[keep]
     index.probes = int(at[min(len(at) - 1, int(np.ceil(RECALL * len(at))))]) + 1
@@ -158,7 +192,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     rows, queries = (usable(d.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")) for d in (rows, queries))
     n = rows.count()
     index = fit(rows, n, k)
-    shared = rows.sparkSession.sparkContext.broadcast(index)  # bounded by FIT_ROWS and MOST_LISTS
+    shared = rows.sparkSession.sparkContext.broadcast(index)  # bounded by FIT_ROWS and COARSE
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,9 +219,17 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     dealt = stash(rows.mapInArrow(deal, f"list int, vec_id long, embedding {kind}"), "ann-lists")
     asked = stash(queries.mapInArrow(probe, f"list int, turn int, query_id long, vector {kind}, bound double, vec_id long, score double"), "ann-probes")
     seeds, asked = asked.where("list is null").select("query_id", "vec_id", "score"), asked.where("list is not null").drop("vec_id", "score")
-    counts = [{r.list: -(-r["count"] // most) for r in d.groupBy("list").count().collect()} for d, most in ((dealt, LIST_ROWS), (asked, LIST_QUERIES))]  # MOST_LISTS rows at most
-    chunks = [F.coalesce(F.element_at(F.create_map(*(F.lit(v) for p in sorted(c.items()) for v in p)), F.col("list")), F.lit(1)) if c else F.lit(1) for c in counts]
-    left = dealt.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), chunks[0]).cast("int")).withColumn("q_chunk", F.explode(F.sequence(F.lit(0), chunks[1] - 1)))
+    # Lists with many vectors or queries are cut into chunks; the others (all, often) have no row in these tables.
+    cut_rows, cut_asks = (
+        stash(d.groupBy("list").agg(F.ceil(F.count("*") / most).cast("int").alias(name)).where(F.col(name) > 1), f"ann-{name}") for d, most, name in ((dealt, LIST_ROWS, "row_chunks"), (asked, LIST_QUERIES, "ask_chunks"))
+    )
+
+    def with_chunks(some: DataFrame) -> DataFrame:
+        some = some.join(cut_rows, "list", "left").join(cut_asks, "list", "left")
+        return some.withColumn("row_chunks", F.coalesce("row_chunks", F.lit(1))).withColumn("ask_chunks", F.coalesce("ask_chunks", F.lit(1)))
+
+    left = with_chunks(dealt).withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("row_chunks")).cast("int")).withColumn("q_chunk", F.explode(F.expr("sequence(0, ask_chunks - 1)"))).drop("row_chunks", "ask_chunks")
+
     def answer(x: pa.Table, q: pa.Table) -> pa.Table:
         out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if x.num_rows and q.num_rows:
@@ -202,7 +244,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         return pa.table({"query_id": out[0], "vec_id": out[1], "score": out[2]})
 
     def scan(some: DataFrame) -> DataFrame:
-        right = some.withColumn("q_chunk", F.pmod(F.xxhash64("query_id"), chunks[1]).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks[0] - 1)))
+        right = with_chunks(some).withColumn("q_chunk", F.pmod(F.xxhash64("query_id"), F.col("ask_chunks")).cast("int")).withColumn("chunk", F.explode(F.expr("sequence(0, row_chunks - 1)"))).drop("row_chunks", "ask_chunks")
         cells = ["list", "chunk", "q_chunk"]
         return left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInArrow(answer, "query_id long, vec_id long, score double")
 

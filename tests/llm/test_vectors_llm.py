@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from plumbline.llm import ann
 from plumbline.llm.ann import Index, scan_list, search
 from plumbline.llm.embedding_dedup import near_components, plan_tables, table_codes
 from plumbline.llm.vectors import rotation
@@ -44,6 +45,26 @@ def test_search_recall_ties_and_rows_that_take_no_part(spark):
     assert hits / total >= 0.9
 
 
+@pytest.mark.parametrize(("coarse", "held"), [(6, 1 << 22), (1024, 40), (6, 40)])
+def test_lists_grow_beyond_the_coarse_centroids(spark, monkeypatch, coarse, held):
+    monkeypatch.setattr(ann, "COARSE", coarse)
+    monkeypatch.setattr(ann, "HELD", held)
+    monkeypatch.setattr(ann, "LIST_ROWS", 16)
+    monkeypatch.setattr(ann, "LIST_QUERIES", 8)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((600, 12)) + 3 * rng.standard_normal((8, 12))[rng.integers(0, 8, 600)]
+    df = table(spark, [(i, v.tolist(), 0) for i, v in enumerate(x.astype(np.float32))])
+    x = x.astype(np.float32).astype(float)
+    index = ann.fit(df, 600)
+    assert len(index.centroids) * len(index.inner) >= 20 and (coarse > 6 or len(index.inner) > 1)
+    got = {}
+    for r in search(df, df.where("vec_id % 20 = 0"), 5).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    score = x @ x.T
+    np.fill_diagonal(score, -np.inf)
+    assert np.mean([len(set(got[q]) & set(np.argsort(-score[q])[:5].tolist())) / 5 for q in range(0, 600, 20)]) > 0.9
+
+
 def test_search_of_few_rows_returns_all_candidates(spark):
     df = table(spark, [(i, [float(i + 1), 1.0], 0) for i in range(5)])
     got = search(df, df.where("vec_id = 0")).orderBy("rank").collect()
