@@ -2,26 +2,31 @@
 
 Voters are lexicon entries (words and word beginnings that the fitting sample ties to a class) and patterns of style.
 The label model gives each voter a class-conditional vote distribution by expectation maximisation; voters that stay
-correlated within the classes share one weight.  The given labels enter as one more voter of fixed reliability.  A
+correlated within the classes share one weight.  The given labels are one more voter, as reliable as they turn out to be.  A
 logistic regression on the features is then trained on the posterior labels and scores every document.
 
-Fitting reads a bounded sample (FIT_ROWS labelled rows of each class, by hash order); scoring reads every text whole.
-A null or empty text is scored like a text without features.  Without labelled rows of both classes every score is 0.
+Fitting reads a bounded sample (FIT_ROWS labelled rows of each class by hash order, whole texts of at most FIT_LONGEST bytes,
+FIT_BYTES in all) in one task; scoring reads every text whole.  A null or empty text is scored like a text without features.
+Without labelled rows of both classes every score is 0.  Rows with one id are scored each by its text; the sample takes the
+first of their texts.  Columns of other names, whatever they are, are carried along unread.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import WordHasher, mix, text_blocks
 
-#: Labelled rows of each class that are fitted on, at most.
-FIT_ROWS = 2000
+#: Labelled rows of each class that are fitted on, at most; bytes of the longest text among them, and of all in order of hash.
+FIT_ROWS, FIT_LONGEST, FIT_BYTES = 2000, 1 << 20, 64 << 20
 #: Bytes of a word's beginning that count as features of their own.
 BEGINNINGS = (4, 5, 6)
 #: Features kept by evidence, and how many of them vote.
@@ -30,8 +35,8 @@ MOST_FEATURES, MOST_VOTERS = 2048, 64
 LEAST_EVIDENCE = 11.5
 #: Different words that a beginning needs among documents of class 1, and the share of them that one word may have.
 LEAST_WORDS, MOST_ONE_WORD = 3, 0.7
-#: How reliable the given labels are as a voter.
-LABEL_RELIABILITY = 0.95
+#: Where expectation maximisation starts: how far a row's label is believed.  It only tells which of the two classes is which.
+LABEL_START = 0.7
 
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") | frozenset(range(128, 256))
 _HASHER = WordHasher(bytes(sorted(set(range(256)) - _LETTERS)), seed=11)
@@ -143,14 +148,14 @@ def _broad(texts: pa.Array, keys: np.ndarray) -> np.ndarray:
 
 
 def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 3, steps: int = 20) -> tuple[np.ndarray, list[dict]]:
-    """Posterior of class 1 by row, and each voter's accuracy and shared weight.
+    """Posterior of class 1 by row, and the accuracy and shared weight of each voter but the labels.
 
     votes: rows x voters of -1 (abstains), 0, 1.  Votes are independent within a class up to the weights: voters whose
     votes stay correlated given the class form a group, and a group of g voters counts as one voter (weights 1/g).
     """
+    votes = np.column_stack([votes, labels])  # the given labels are one more voter
     n, m = votes.shape
-    weight, posterior = np.ones(m), np.where(labels == 1, LABEL_RELIABILITY, 1 - LABEL_RELIABILITY)
-    gold = np.log(LABEL_RELIABILITY / (1 - LABEL_RELIABILITY)) * np.where(labels == 1, 1, -1)
+    weight, posterior = np.ones(m), np.where(labels == 1, LABEL_START, 1 - LABEL_START)
     hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
     table = None
     for again in range(rounds):
@@ -159,7 +164,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 3, steps: i
             by = [posterior, 1 - posterior]
             table = np.stack([(np.einsum("n,nmv->mv", p, hot) + 0.5) / (p.sum() + 1.5) for p in by])  # class 1, class 0
             ratio = np.log(table[0]) - np.log(table[1])
-            score = np.einsum("nmv,mv,m->n", hot, ratio, weight) + np.log(share / (1 - share)) + gold
+            score = np.einsum("nmv,mv,m->n", hot, ratio, weight) + np.log(share / (1 - share))
             new = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
             if np.abs(new - posterior).max() < 1e-6:
                 break
@@ -178,7 +183,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 3, steps: i
                 break
             group = new
         weight = 1 / np.bincount(group, minlength=m)[group]
-    return posterior, [{"accuracy": float(table[0][j, 2] / (table[0][j, 2] + table[1][j, 2])), "weight": float(weight[j])} for j in range(m)]
+    return posterior, [{"accuracy": float(table[0][j, 2] / (table[0][j, 2] + table[1][j, 2])), "weight": float(weight[j])} for j in range(m - 1)]
 
 
 def _logistic(x: np.ndarray, target: np.ndarray, ridge: float = 0.05, steps: int = 400) -> np.ndarray:
@@ -195,22 +200,11 @@ def _logistic(x: np.ndarray, target: np.ndarray, ridge: float = 0.05, steps: int
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """The classifier, from rows whose crc32 of the id as text modulo 5 is not 0."""
-    learn = labels.where("toxic is not null and crc32(cast(doc_id as string)) % 5 != 0").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = F.xxhash64("doc_id")
-    picks = [learn.where(F.col("toxic") == v).orderBy(order, "doc_id").limit(FIT_ROWS) for v in (0, 1)]
-    picks = picks[0].unionByName(picks[1]).toArrow()  # 2 * FIT_ROWS ids at most
-    picked = docs.sparkSession.createDataFrame(picks, schema="doc_id long, toxic int") if picks.num_rows else None
+def learn(texts: pa.Array, y: np.ndarray) -> Model:
+    """The classifier from the texts and labels of the fitting sample."""
     none = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(len(STYLES)), -30.0, [])
-    if picked is None:
-        return none
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
-    rows = rows.where("text is not null and text != ''").dropDuplicates(["doc_id"]).orderBy(order, "doc_id").limit(2 * FIT_ROWS).select("text", "toxic").toArrow()
-    y = rows["toxic"].to_numpy().astype(np.int64)
     if len(set(y.tolist())) < 2:
         return none
-    texts = pa.concat_arrays(rows["text"].chunks).cast(pa.string())
     n = len(y)
     row, key, style = _matrix(texts)
     once = _distinct_documents(texts)
@@ -221,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     prior = np.clip(y[once].mean(), 0.02, 0.98)
     share = np.clip(hits / np.maximum(support, 1), 1e-9, 1 - 1e-9)
     evidence = support * (share * np.log(share / prior) + (1 - share) * np.log((1 - share) / (1 - prior)))
-    good = np.flatnonzero((support >= 3) & (share > prior) & (share > 0.9) & (evidence > LEAST_EVIDENCE))
+    good = np.flatnonzero((support >= 3) & (share > prior) & (evidence > LEAST_EVIDENCE))
     if len(good):
         good = good[_broad(texts.filter(pa.array(once & (y == 1))), keys[good])]
     good = good[np.argsort(-evidence[good], kind="stable")][:MOST_FEATURES]
@@ -238,6 +232,40 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(keys[good][order], w[: len(good)][order], w[len(good) : -1], float(w[-1]), voters)
 
 
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """The classifier, from rows whose crc32 of the id as text modulo 5 is not 0.
+
+    The sample is fitted in one task of an executor: only the model comes to the driver.
+    """
+    known = labels.where("toxic is not null and crc32(cast(doc_id as string)) % 5 != 0").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    order = F.xxhash64("doc_id")
+    picks = [known.where(F.col("toxic") == v).orderBy(order, "doc_id").limit(FIT_ROWS) for v in (0, 1)]
+    picks = picks[0].unionByName(picks[1]).toArrow()  # 2 * FIT_ROWS ids at most
+    none = learn(pa.array([], pa.string()), np.zeros(0, np.int64))
+    if not picks.num_rows:
+        return none
+    picked = docs.sparkSession.createDataFrame(picks, schema="doc_id long, toxic int")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where((F.octet_length(text) > 0) & (F.octet_length(text) <= FIT_LONGEST)).join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "toxic")).alias("r")).select("doc_id", "r.text", "r.toxic")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            ends = size + np.cumsum(pc.binary_length(batch.column(0).cast(pa.binary())).to_numpy(zero_copy_only=False))
+            keep = int(np.searchsorted(ends, FIT_BYTES, side="right"))
+            held.append(batch.slice(0, keep))
+            if keep < batch.num_rows:
+                break
+            size = int(ends[-1]) if len(ends) else size
+        whole = pa.Table.from_batches(held) if held else pa.table({"text": pa.array([], pa.string()), "toxic": pa.array([], pa.int32())})
+        texts = pa.concat_arrays([c.cast(pa.string()) for c in whole["text"].chunks]) if whole.num_rows else pa.array([], pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn(texts, whole["toxic"].to_numpy().astype(np.int64)))], pa.binary())], ["model"])
+
+    model = rows.repartition(1).sortWithinPartitions(order, "doc_id").select("text", "toxic").mapInArrow(run, "model binary").first()
+    return pickle.loads(bytes(model[0])) if model else none
+
+
 def score_texts(model: Model, texts: pa.Array) -> np.ndarray:
     """Scores from 0 to 1 of whole texts."""
     out, size = np.zeros(len(texts)), 1 << 20
