@@ -175,6 +175,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 3, steps: i
         rest = value - posterior[:, None] * ((posterior @ value) / max(posterior.sum(), 1e-9)) - (1 - posterior)[:, None] * (((1 - posterior) @ value) / max((1 - posterior).sum(), 1e-9))
         scale = np.sqrt((rest**2).mean(axis=0)) + 1e-9
         tied = np.abs(rest.T @ rest / n / scale[:, None] / scale) > 0.35
+        tied[-1] = tied[:, -1] = False  # labels are no copy of a voter
         np.fill_diagonal(tied, True)
         group = np.arange(m)
         for _ in range(m):
