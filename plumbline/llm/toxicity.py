@@ -2,7 +2,7 @@
 
 Voters are lexicon entries (words and word beginnings that the fitting sample ties to a class) and patterns of style.
 The label model gives each voter a class-conditional vote distribution by expectation maximisation; voters that stay
-correlated within the classes share one weight.  The given labels are one more voter, as reliable as they turn out to be.  A
+correlated within the classes share one weight.  The given labels enter as one more voter of fixed reliability.  A
 logistic regression on the features is then trained on the posterior labels and scores every document.
 
 Fitting reads a bounded sample (FIT_ROWS labelled rows of each class by hash order, whole texts of at most FIT_LONGEST bytes,
@@ -35,8 +35,8 @@ MOST_FEATURES, MOST_VOTERS = 2048, 64
 LEAST_EVIDENCE = 11.5
 #: Different words that a beginning needs among documents of class 1, and the share of them that one word may have.
 LEAST_WORDS, MOST_ONE_WORD = 3, 0.7
-#: Where expectation maximisation starts: how far a row's label is believed.  It only tells which of the two classes is which.
-LABEL_START = 0.7
+#: How reliable the given labels are as a voter.  Fixed: it keeps several copies of one voter from becoming the class.
+LABEL_RELIABILITY = 0.95
 
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") | frozenset(range(128, 256))
 _HASHER = WordHasher(bytes(sorted(set(range(256)) - _LETTERS)), seed=11)
@@ -148,14 +148,14 @@ def _broad(texts: pa.Array, keys: np.ndarray) -> np.ndarray:
 
 
 def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 3, steps: int = 20) -> tuple[np.ndarray, list[dict]]:
-    """Posterior of class 1 by row, and the accuracy and shared weight of each voter but the labels.
+    """Posterior of class 1 by row, and each voter's accuracy and shared weight.
 
     votes: rows x voters of -1 (abstains), 0, 1.  Votes are independent within a class up to the weights: voters whose
     votes stay correlated given the class form a group, and a group of g voters counts as one voter (weights 1/g).
     """
-    votes = np.column_stack([votes, labels])  # the given labels are one more voter
     n, m = votes.shape
-    weight, posterior = np.ones(m), np.where(labels == 1, LABEL_START, 1 - LABEL_START)
+    weight, posterior = np.ones(m), np.where(labels == 1, LABEL_RELIABILITY, 1 - LABEL_RELIABILITY)
+    gold = np.log(LABEL_RELIABILITY / (1 - LABEL_RELIABILITY)) * np.where(labels == 1, 1, -1)
     hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
     table = None
     for again in range(rounds):
@@ -164,7 +164,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 3, steps: i
             by = [posterior, 1 - posterior]
             table = np.stack([(np.einsum("n,nmv->mv", p, hot) + 0.5) / (p.sum() + 1.5) for p in by])  # class 1, class 0
             ratio = np.log(table[0]) - np.log(table[1])
-            score = np.einsum("nmv,mv,m->n", hot, ratio, weight) + np.log(share / (1 - share))
+            score = np.einsum("nmv,mv,m->n", hot, ratio, weight) + np.log(share / (1 - share)) + gold
             new = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
             if np.abs(new - posterior).max() < 1e-6:
                 break
@@ -175,7 +175,6 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 3, steps: i
         rest = value - posterior[:, None] * ((posterior @ value) / max(posterior.sum(), 1e-9)) - (1 - posterior)[:, None] * (((1 - posterior) @ value) / max((1 - posterior).sum(), 1e-9))
         scale = np.sqrt((rest**2).mean(axis=0)) + 1e-9
         tied = np.abs(rest.T @ rest / n / scale[:, None] / scale) > 0.35
-        tied[-1] = tied[:, -1] = False  # labels are no copy of a voter
         np.fill_diagonal(tied, True)
         group = np.arange(m)
         for _ in range(m):
@@ -184,7 +183,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 3, steps: i
                 break
             group = new
         weight = 1 / np.bincount(group, minlength=m)[group]
-    return posterior, [{"accuracy": float(table[0][j, 2] / (table[0][j, 2] + table[1][j, 2])), "weight": float(weight[j])} for j in range(m - 1)]
+    return posterior, [{"accuracy": float(table[0][j, 2] / (table[0][j, 2] + table[1][j, 2])), "weight": float(weight[j])} for j in range(m)]
 
 
 def _logistic(x: np.ndarray, target: np.ndarray, ridge: float = 0.05, steps: int = 400) -> np.ndarray:
