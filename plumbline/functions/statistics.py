@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,20 +23,39 @@ def wilson_lower(hits: Column, trials: Column, z: float = Z95) -> Column:
     return F.when(trials > 0, clip((p + z * z / (2 * n) - margin) / (1 + z * z / n), 0.0, 1.0)).otherwise(0.0)
 
 
+def log_gamma(x: Column) -> Column:
+    """ln Gamma of a positive number, by Stirling's series at x + 15."""
+    z = x + 15
+    series = 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
+    shift = reduce(lambda a, b: a + b, (F.log(x + i) for i in range(15)))
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - shift
+
+
 def binomial_tail(hits: Column, trials: Column, share: Column) -> Column:
-    """P(X >= hits) of a binomial; the share is kept within [1e-6, 1 - 1e-9], and without trials the answer is 1."""
+    """P(X >= hits) of a binomial; the share is kept within [1e-6, 1 - 1e-9], and without trials the answer is 1.
+
+    Terms are summed from hits on the side away from the mean, where they fall: as many as ten standard deviations and a
+    constant, so a row of any number of trials sums some tens of thousands of terms at most.
+    """
     p = clip(share.cast("double"), 1e-6, 1 - 1e-9)
-    k, n = hits.cast("int"), trials.cast("int")
-    first = F.aggregate(F.sequence(F.lit(1), k), n * F.log1p(-p), lambda s, i: s + F.log((n - k + i) / i) + F.log(p) - F.log1p(-p))
-    start = F.struct(F.lit(0.0).alias("total"), first.alias("term"))
+    k, n = hits.cast("double"), trials.cast("double")
     odds = F.log(p) - F.log1p(-p)
-
-    def add(s: Column, i: Column) -> Column:
-        more = F.when(i < n, s["term"] + F.log((n - i) / (i + 1)) + odds).otherwise(F.lit(float("-inf")))
-        return F.struct((s["total"] + F.exp(s["term"])).alias("total"), more.alias("term"))
-
-    tail = F.aggregate(F.sequence(k, n), start, add, lambda s: F.least(F.lit(1.0), s["total"]))
-    return F.when((n <= 0) | (k <= 0), 1.0).when(k > n, 0.0).otherwise(tail)
+    above = k >= n * p
+    from_ = F.when(above, k).otherwise(k - 1)
+    most = F.when(above, n - from_).otherwise(from_)
+    count = F.least(most, F.ceil(60 + 10 * F.sqrt(n * p * (1 - p)))).cast("int")
+    first = log_gamma(n + 1) - log_gamma(from_ + 1) - log_gamma(n - from_ + 1) + from_ * F.log(p) + (n - from_) * F.log1p(-p)
+    start = F.struct(F.lit(0.0).alias("total"), first.alias("term"), from_.alias("at"))
+
+    def add(s: Column, _: Column) -> Column:
+        at = s["at"]
+        up = s["term"] + F.log((n - at) / (at + 1)) + odds
+        down = s["term"] + F.log(at / (n - at + 1)) - odds
+        more = F.when(above, up).otherwise(down)
+        return F.struct((s["total"] + F.exp(s["term"])).alias("total"), F.coalesce(more, F.lit(float("-inf"))).alias("term"), (at + F.when(above, 1.0).otherwise(-1.0)).alias("at"))
+
+    part = F.aggregate(F.sequence(F.lit(0), F.greatest(count, F.lit(0))), start, add, lambda s: F.least(F.lit(1.0), s["total"]))
+    return F.when((n <= 0) | (k <= 0), 1.0).when(k > n, 0.0).when(above, part).otherwise(1 - part)
 
 
 def benjamini_hochberg(tests: DataFrame, p: str, order: list[str], out: str = "q") -> DataFrame:

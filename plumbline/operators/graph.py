@@ -13,14 +13,14 @@ def mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> node, component (smallest reachable node), by alternating large-star and small-star rounds.
 
-    Every round is written to the shared folder; a hub's neighbours are spread over their own keys.
+    Rounds go on until one changes nothing.  Every round is written to the shared folder; a hub's neighbours are spread over their own keys.
     """
     now = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     last = mark(now)
-    for _ in range(rounds):
+    while True:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.where("m < a").select("a", "m")).where("a != b").distinct()

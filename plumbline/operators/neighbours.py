@@ -14,7 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.statistics import dot, higher_quantile
+from plumbline.functions.statistics import dot
+from plumbline.operators.ranks import running_total
+from plumbline.sources.shared import written
 
 BLOCK_ROWS = 4096
 
@@ -109,12 +111,13 @@ def flag_by_reference(scores: DataFrame, rate: float) -> DataFrame:
 
     Ranks are counted over distinct reference scores.
     """
-    reference = scores.where("reference")
-    limit = reference.agg(higher_quantile(F.array_sort(F.collect_list("score")), 1 - rate).alias("threshold"), F.count("*").alias("n_reference"))
-    whole = Window.partitionBy(F.lit(0)).orderBy(F.desc("score"))
+    n = scores.agg(F.count_if(F.expr("reference")).alias("n_reference"))  # one row
     steps = scores.groupBy("score").agg(F.count_if(F.expr("reference")).alias("k"))
-    at_least = steps.select("score", F.sum("k").over(whole).alias("at_least"))
-    out = scores.join(at_least, "score").crossJoin(F.broadcast(limit))  # one row
+    at_least = written(running_total(steps, "score", "k", descending=True, out="at_least"), "score-ranks")
+    wanted = F.ceil((F.col("n_reference") - 1) * F.lit(1 - rate)) + 1
+    reached = (F.col("k") > 0) & (F.col("n_reference") - F.col("at_least") + F.col("k") >= wanted)
+    limit = at_least.crossJoin(F.broadcast(n)).agg(F.min(F.when(reached, F.col("score"))).alias("threshold"), F.max("n_reference").alias("n_reference"))
+    out = scores.join(at_least.drop("k"), "score").crossJoin(F.broadcast(limit))  # one row
     return out.withColumn("p", (F.col("at_least") + 1) / (F.col("n_reference") + 1)).withColumn("flagged", F.col("score") > F.col("threshold")).drop("at_least")
 
 
@@ -124,8 +127,8 @@ def ood_neighbour_scores(points: DataFrame, folds: int = 5, k: int = 5) -> DataF
     Fold = position in reference order modulo the number of folds.  A reference row is scored by the other folds' rows; a
     candidate by each fold's fitting rows, averaged.
     """
-    order = Window.partitionBy(F.lit(0)).orderBy("id")
-    reference = points.where("reference").select("id", "vector", F.pmod(F.row_number().over(order) - 1, F.lit(folds)).alias("fold"))
+    order = running_total(points.where("reference").select("id", "vector"), "id", out="place")
+    reference = written(order.select("id", "vector", F.pmod(F.col("place") - 1, F.lit(folds)).cast("int").alias("fold")), "folds")
     rest = points.where("not reference").select("id", "vector")
     parts = []
     for f in range(folds):

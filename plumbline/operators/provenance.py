@@ -108,7 +108,9 @@ def replay_verdicts(records: DataFrame, observed: DataFrame | None = None) -> Da
         rows = rows.unionByName(observed.select(*cols, F.lit(0).alias("turn")))
 
     def prior(*key: str) -> Column:
-        before = Window.partitionBy(*key).orderBy("turn", "seen").rowsBetween(Window.unboundedPreceding, -1)
+        # Rows without the key are partitions of their own, not one partition of nulls.
+        alone = F.when(reduce(lambda a, b: a | b, (F.col(k).isNull() for k in key)), F.xxhash64("seen", "turn"))
+        before = Window.partitionBy(*key, alone).orderBy("turn", "seen").rowsBetween(Window.unboundedPreceding, -1)
         return F.last("seen").over(before)
 
     keys = (("digest",), ("key_id", "nonce"), ("log_id", "sequence"), ("subject",))

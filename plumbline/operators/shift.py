@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.statistics import js_bits
 from plumbline.operators.neighbours import moments
+from plumbline.operators.ranks import quantiles
 from plumbline.sources.shared import written
 
 ALPHA, PERMUTATIONS, LEAST_PERMUTATIONS, LEAST_ROWS, MOST_ROWS, MOVED = 0.01, 999, 99, 20, 400, 0.15
@@ -28,7 +29,7 @@ def psi(rows: DataFrame, bins: int = 10) -> DataFrame:
     Edges are the reference's interpolated quantiles without repeats, open at both ends; shares have a floor of half a row.
     """
     sides = rows.where("value is not null and not isnan(value)")
-    cut = sides.where("side = 'reference'").groupBy("column").agg(F.percentile("value", F.array(*(F.lit(i / bins) for i in range(bins + 1)))).alias("q"))
+    cut = quantiles(sides.where("side = 'reference'").select("column", F.col("value").cast("double").alias("value")), "column", "value", [i / bins for i in range(bins + 1)])
     edges = cut.select("column", F.array_distinct("q").alias("edges")).where(F.size("edges") >= 3)
     inner = F.slice("edges", 2, F.size("edges") - 2)
     binned = sides.join(F.broadcast(edges), "column").withColumn("bin", F.size(F.filter(inner, lambda e: e <= F.col("value")))).withColumn("bins", F.size("edges") - 1)

@@ -136,9 +136,13 @@ def contributor_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A score of each labelled document (how much of its text is repeated words) against the truth that its quality is 0."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.split(F.lower("text"), r"\s+").alias("w"))
-    score = 1 - F.size(F.array_distinct("w")) / F.size("w")
-    return docs.where("w is not null").select("doc_id", F.round(score, 6).alias("score")).join(table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 0).cast("int").alias("truth")), "doc_id")
+    labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 0).cast("int").alias("truth"))
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    # The words are taken apart once: within a transform of one element they are not inlined again.
+    words = F.array(F.split(F.lower("text"), r"\s+"))
+    score = F.get(F.transform(words, lambda w: 1 - F.size(F.array_distinct(w)) / F.size(w)), F.lit(0))
+    scored = docs.join(labels.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.round(score, 6).alias("score"))
+    return written(scored, "quality-scores").join(labels, "doc_id")
 
 
 _QUALITY_SQL = r"s AS (SELECT round(1 - len(list_distinct(w)) / len(w), 6) AS score, (quality = 0)::INT AS truth, doc_id FROM (SELECT doc_id, regexp_split_to_array(lower(text), '\s+') AS w FROM documents WHERE text IS NOT NULL) JOIN labels USING (doc_id))"

@@ -233,3 +233,25 @@ def test_subspace_is_that_of_all_reference_rows(spark):
     got = np.array([r.residual for r in neighbours.ood_subspace_scores(rows, 2).orderBy("id").collect()])
     last = np.linalg.svd(x - x.mean(0), full_matrices=False)[2][2]
     assert np.allclose(got, np.abs((x - x.mean(0)) @ last), atol=1e-7)
+
+
+def test_hamming_pairs_equal_brute_force_and_have_no_hot_key(spark):
+    import random
+
+    rng = random.Random(2)
+    codes = []
+    for i in range(400):
+        code = rng.getrandbits(64)
+        codes.append((i, code))
+        for k in range(rng.choice([0, 0, 1, 3])):
+            other = code
+            for bit in rng.sample(range(64), rng.randint(0, 10)):
+                other ^= 1 << bit
+            codes.append((1000 + 10 * i + k, other))
+    want = {(min(a, b), max(a, b), (x ^ y).bit_count()) for n, (a, x) in enumerate(codes) for b, y in codes[:n] if (x ^ y).bit_count() <= 8}
+    df = spark.createDataFrame([(i, c >> 32, c & (2**32 - 1)) for i, c in codes], "id long, hi long, lo long")
+    assert {(r.a, r.b, r.distance) for r in duplicates.hamming_pairs(df).collect()} == want
+    word = F.shiftleft(F.col("hi"), 32).bitwiseOR(F.col("lo"))
+    some = spark.createDataFrame([(rng.getrandbits(32), rng.getrandbits(32)) for _ in range(2000)], "hi long, lo long")
+    keys = some.select(F.explode(duplicates.band_keys(word)).alias("key")).groupBy("key").count()
+    assert keys.agg(F.max("count")).first()[0] < 20
