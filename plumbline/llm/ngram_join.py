@@ -10,7 +10,8 @@ Pairs that share enough are cut by size and by what positions still allow, then
 in phases: first each document's best partners, then only pairs whose documents are not connected yet, because a pair
 inside a component changes nothing.  Posting lists longer than LONG_LIST (large groups of near copies) are not paired off:
 their members meet the list's first members, and then only members outside the component that most of the list belongs to
-meet the others.  So every link between different components is found, and none inside is needed.
+meet the others.  So every link between different components is found, and none inside is needed: the result is exact
+whatever LONG_LIST, HEADS and BEST are, and links within a component are not counted.
 
 A document without words is linked with nothing; one of fewer than five words is its whole sequence.  Rows with equal ids
 and texts are equal rows; null ids are kept and never name a component.
@@ -18,6 +19,7 @@ and texts are equal rows; null ids are kept and never name a component.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import chain
 
@@ -399,19 +401,30 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return left.join(again, left[id_col] == F.col("__again"), "left_anti").unionByName(repeated)
 
 
+#: Members of a long list that a task compares with others, about; sizes of one class are within a ratio of 100 / PERCENT.
+SALT_ROWS = 4096
+
+
+def size_class(n: F.Column) -> F.Column:
+    """Class of a set's size: sets that are similar enough are of one class or of neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / math.log(100 / PERCENT) + 1e-9).cast("int")
+
+
 def cross_pairs(lists: DataFrame) -> DataFrame:
     """Pairs of a long list's members in different components (token, name, n, pa, level, c), each a, b.
 
-    Members of a list's largest component do not meet each other: the others meet all members.  A pair meets at its first
-    common token, which stands in both prefixes of one match; what it shares beyond that need not be counted.
+    Members of a list's largest component do not meet each other: the others meet all members of a size that fits, in
+    parts of about SALT_ROWS, so that a token of very many documents is many keys.  A pair meets at its first common
+    token, which stands in both prefixes of one match; what it shares beyond that need not be counted.
     """
-    lists = lists.where("level = 1")
+    lists = lists.where("level = 1").withColumn("size", size_class(F.col("n")))
     count = lists.groupBy("token", "c").agg(F.count("*").alias("k"))
-    top = count.groupBy("token").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("token", F.col("top.c").alias("top"))
-    few = lists.join(top, "token").where("c != top").drop("top")
-    some = lists.join(top.select("token"), "token")
-    x, y = (d.withColumnsRenamed({c: f"{c}_{s}" for c in ("name", "n", "pa", "level", "c")}) for d, s in ((few, "x"), (some, "y")))
+    top = count.groupBy("token").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("parts"), F.sum("k").alias("all")).where("parts > 1")
+    top = top.select("token", F.col("top.c").alias("top"), F.ceil(F.col("all") / SALT_ROWS).cast("int").alias("salts"))
+    few = lists.join(top, "token").where("c != top").withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).withColumn("size", F.explode(F.array(*(F.col("size") + i for i in (-1, 0, 1)))))
+    some = lists.join(top, "token").withColumn("salt", F.pmod(F.xxhash64("name"), F.col("salts")).cast("int"))
+    x, y = (d.select("token", "salt", "size", *(F.col(c).alias(f"{c}_{s}") for c in ("name", "n", "pa", "c"))) for d, s in ((few, "x"), (some, "y")))
     least = F.ceil(PERCENT * (F.col("n_x") + F.col("n_y")) / (100 + PERCENT))
     fits = (F.col("pa_x") <= F.col("n_x") - least) & (F.col("pa_y") <= F.col("n_y") - least)
-    pairs = x.join(y, "token").where((F.col("c_x") != F.col("c_y")) & fits)
+    pairs = x.join(y, ["token", "salt", "size"]).where((F.col("c_x") != F.col("c_y")) & fits)
     return pairs.select(F.least("name_x", "name_y").alias("a"), F.greatest("name_x", "name_y").alias("b")).distinct()
