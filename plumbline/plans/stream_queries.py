@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.plans.assurance_queries import _LOG_SQL, event_log
+from plumbline.plans.assurance_queries import _LOG_SQL, _SHOWN_SQL, event_log, shown_records
 from plumbline.plans.dataset_queries import table
 from plumbline.plans.registry import register
 from plumbline.sources.shared import shared_folder, written
@@ -23,7 +23,7 @@ def drained(stream: DataFrame) -> DataFrame:
 
 
 def as_stream(df: DataFrame, name: str) -> DataFrame:
-    """df as files that a stream reads, in one file for order's sake within a log."""
+    """df as files that a stream reads."""
     path = written(df, name)
     folder = path.inputFiles()[0].rsplit("/", 1)[0]
     return df.sparkSession.readStream.schema(df.schema).parquet(folder)
@@ -31,8 +31,26 @@ def as_stream(df: DataFrame, name: str) -> DataFrame:
 
 @register("stream_chain", f"WITH {_LOG_SQL} SELECT log_id, sequence, digest, link, in_sequence, 'FIRST_OBSERVATION' AS verdict FROM c")
 def stream_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = event_log(spark, sf_dir).select("log_id", "line", "sequence", "digest", "previous").repartition(1)
-    return drained(monitors.verify_stream(as_stream(log, "log")))
+    log = event_log(spark, sf_dir).select("log_id", "line", "sequence", "digest", "previous")
+    links = drained(monitors.verify_stream(as_stream(log, "log")))
+    none = F.lit(None).cast("string")
+    claims = drained(monitors.replay_stream(as_stream(log.select(F.col("line").alias("seen"), "digest", none.alias("key_id"), none.alias("nonce"), "log_id", "sequence"), "claims")))
+    answers = monitors.replay_answers(claims).select(F.col("seen").alias("line"), "verdict")
+    return links.join(answers, "line").select("log_id", "sequence", "digest", "link", "in_sequence", "verdict")
+
+
+@register(
+    "stream_replay",
+    f"""
+    WITH {_SHOWN_SQL}, w AS (SELECT *, lag(seen) OVER (PARTITION BY digest ORDER BY seen) AS d, CASE WHEN key_id IS NOT NULL AND nonce IS NOT NULL THEN lag(seen) OVER (PARTITION BY key_id, nonce ORDER BY seen) END AS n,
+        CASE WHEN log_id IS NOT NULL THEN lag(seen) OVER (PARTITION BY log_id, sequence ORDER BY seen) END AS q FROM s)
+    SELECT seen, CASE WHEN d IS NOT NULL THEN 'REPLAY_EXACT' WHEN n IS NOT NULL THEN 'NONCE_REUSE' WHEN q IS NOT NULL THEN 'SEQUENCE_COLLISION' ELSE 'FIRST_OBSERVATION' END AS verdict, coalesce(d, n, q) AS prior FROM w
+    """,
+)
+def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of which some are shown again, as a stream."""
+    shown = shown_records(spark, sf_dir).select("seen", "digest", "key_id", "nonce", "log_id", "sequence")
+    return monitors.replay_answers(drained(monitors.replay_stream(as_stream(shown, "shown"))))
 
 
 @register(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,33 +12,74 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plumbline.functions.statistics import js_bits
 
-VERDICTS = "log_id string, sequence long, digest string, link string, in_sequence boolean, verdict string"
-#: Digests of a log that stay in its state.
-STATE_SLOTS = 10_000
+LINKS = "log_id string, line long, sequence long, digest string, link string, in_sequence boolean"
+CLAIMS = "seen long, kind string, prior long"
 
 
-def check_log(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Links and replays of one log in order of arrival; a late record breaks the chain and is not sorted away.
+def check_links(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Links of one log in order of arrival; a late record breaks the chain and is not sorted away.
 
-    State: digest of the last entry, next sequence number, and the slots and digests seen (the latest STATE_SLOTS).
+    State: digest of the last entry and the next sequence number, whatever the length of the log.
     """
-    last, expected, slots, digests = state.get if state.exists else (None, 0, [], [])
-    seen_slots, seen = dict.fromkeys(slots), dict.fromkeys(digests)
+    last, expected = state.get if state.exists else (None, 0)
     for batch in batches:
-        out = []
-        for row in batch.sort_values("line").itertuples():
-            link = ("GENESIS" if row.previous is None else "ORPHANED") if expected == 0 and last is None else "LINKED" if row.previous is not None and row.previous == last else "BROKEN"
-            verdict = "REPLAY_EXACT" if row.digest in seen else "SEQUENCE_COLLISION" if row.sequence in seen_slots else "FIRST_OBSERVATION"
-            out.append((key[0], row.sequence, row.digest, link, bool(row.sequence == expected), verdict))
-            last, expected = row.digest, expected + 1
-            seen_slots[row.sequence] = seen[row.digest] = None
-        yield pd.DataFrame(out, columns=["log_id", "sequence", "digest", "link", "in_sequence", "verdict"])
-    state.update((last, expected, list(seen_slots)[-STATE_SLOTS:], list(seen)[-STATE_SLOTS:]))
+        rows = batch.sort_values("line", ignore_index=True)
+        if not len(rows):
+            continue
+        before = rows["digest"].shift(1)
+        before[0] = last
+        none = rows["previous"].isna()
+        link = pd.Series("BROKEN", index=rows.index).mask(~none & (rows["previous"] == before), "LINKED")
+        if expected == 0:
+            link[0] = "GENESIS" if none[0] else "ORPHANED"
+        position = pd.Series(range(expected, expected + len(rows)), index=rows.index)
+        last, expected = rows["digest"].iloc[-1], expected + len(rows)
+        yield pd.DataFrame({"log_id": key[0], "line": rows["line"], "sequence": rows["sequence"], "digest": rows["digest"], "link": link, "in_sequence": rows["sequence"] == position})
+    state.update((last, expected))
 
 
 def verify_stream(records: DataFrame) -> DataFrame:
-    """A stream of records (log_id, line, sequence, digest, previous) -> verdicts as they arrive, one state for each log."""
-    return records.groupBy("log_id").applyInPandasWithState(check_log, VERDICTS, "last string, expected long, slots array<long>, digests array<string>", "append", GroupStateTimeout.NoTimeout)
+    """A stream of records (log_id, line, sequence, digest, previous) -> links as they arrive, one small state for each log."""
+    return records.groupBy("log_id").applyInPandasWithState(check_links, LINKS, "last string, expected long", "append", GroupStateTimeout.NoTimeout)
+
+
+def claims_of(records: DataFrame) -> DataFrame:
+    """records (seen, digest, key_id, nonce, log_id, sequence) -> a row (kind, claim, seen) for each thing that a record may be the only one to have."""
+    sure = lambda kind, *parts: F.when(reduce(lambda a, b: a & b, (F.col(p).isNotNull() for p in parts)), F.struct(F.lit(kind).alias("kind"), F.to_json(F.struct(*parts)).alias("claim")))
+    kinds = F.array(sure("REPLAY_EXACT", "digest"), sure("NONCE_REUSE", "key_id", "nonce"), sure("SEQUENCE_COLLISION", "log_id", "sequence"))
+    return records.select("seen", F.explode(F.array_compact(kinds)).alias("c")).select("seen", "c.kind", "c.claim")
+
+
+def replay_stream(records: DataFrame, keep_ms: int | None = None) -> DataFrame:
+    """A stream of records -> for each of its claims, the last record before it that made the same one (prior), or null.
+
+    State: one number for each digest, nonce and slot, so logs share no list and none is cut.  It is kept for good, or for
+    keep_ms of processing time after the last use where a retention is declared.
+    """
+
+    def remember(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen = pd.concat([b["seen"] for b in batches]).sort_values(ignore_index=True).astype("Int64")
+        prior = seen.shift(1)
+        if state.exists:
+            prior[0] = state.get[0]
+        state.update((int(seen.iloc[-1]),))
+        if keep_ms is not None:
+            state.setTimeoutDuration(keep_ms)
+        yield pd.DataFrame({"seen": seen, "kind": key[0], "prior": prior})
+
+    timeout = GroupStateTimeout.NoTimeout if keep_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return claims_of(records).groupBy("kind", "claim").applyInPandasWithState(remember, CLAIMS, "last long", "append", timeout)
+
+
+def replay_answers(claims: DataFrame) -> DataFrame:
+    """What replay_stream() has written -> seen, verdict, prior: the first kind of claim that was made before decides."""
+    kinds = ("REPLAY_EXACT", "NONCE_REUSE", "SEQUENCE_COLLISION")
+    priors = [F.max(F.when(F.col("kind") == k, F.col("prior"))).alias(k) for k in kinds]
+    verdict = F.coalesce(*(F.when(F.col(k).isNotNull(), k) for k in kinds), F.lit("FIRST_OBSERVATION"))
+    return claims.groupBy("seen").agg(*priors).select("seen", verdict.alias("verdict"), F.coalesce(*kinds).alias("prior"))
 
 
 def distinct_records(records: DataFrame, time: str = "ts", delay: str = "1 day") -> DataFrame:
