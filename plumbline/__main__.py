@@ -1,4 +1,8 @@
-"""Command line: python -m plumbline version | queries | query NAME DIR | dataset scan PATH | provenance verify-log PATH."""
+"""Command line: python -m plumbline WHAT …
+
+version, queries, query NAME DIR; dataset scan | manifest | verify; provenance verify-log | anchors; trust apply; shift psi.
+Tables are Parquet folders; results are shown, or written where --out names a folder.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +16,11 @@ def _session():
     return SparkSession.builder.appName("plumbline").getOrCreate()
 
 
-def _show(report) -> int:
+def _show(report, out: str | None = None) -> int:
+    if out:
+        from plumbline.sources.logs import write_report
+
+        write_report(report.findings, report.coverage, out)
     report.coverage.orderBy("attack_class").show(truncate=False)
     report.findings.orderBy("severity", "finding_id").show(50, truncate=False)
     worst = {r.disposition for r in report.findings.select("disposition").distinct().collect()}
@@ -29,11 +37,24 @@ def main(args: list[str] | None = None) -> int:
     query.add_argument("directory")
     query.add_argument("--out")
     dataset = sub.add_parser("dataset")
-    dataset.add_argument("action", choices=["scan"])
-    dataset.add_argument("path", help="Parquet table with id, content, contributor")
+    dataset.add_argument("action", choices=["scan", "manifest", "verify"])
+    dataset.add_argument("path", help="table with id, content, contributor")
+    dataset.add_argument("--vectors", help="table with id, label, vector")
+    dataset.add_argument("--reference", help="JSON list of the ids of a trusted reference")
+    dataset.add_argument("--manifest", help="table that dataset manifest has written")
     log = sub.add_parser("provenance")
-    log.add_argument("action", choices=["verify-log"])
+    log.add_argument("action", choices=["verify-log", "anchors"])
     log.add_argument("path")
+    log.add_argument("--trust", help="table of keys that trust apply has written")
+    log.add_argument("--anchors", help="table that provenance anchors has written")
+    trust = sub.add_parser("trust")
+    trust.add_argument("action", choices=["apply"])
+    trust.add_argument("path", help="table of decisions")
+    shift = sub.add_parser("shift")
+    shift.add_argument("action", choices=["psi"])
+    shift.add_argument("path", help="table with column, side, value")
+    for command in (dataset, log, trust, shift):
+        command.add_argument("--out")
     got = parser.parse_args(args)
     if got.what == "version":
         from plumbline import __version__
@@ -50,9 +71,42 @@ def main(args: list[str] | None = None) -> int:
         df = registry.queries()[got.name](spark, got.directory)
         df.write.mode("overwrite").parquet(got.out) if got.out else df.show(50, truncate=False)
         return 0
+    def read(path: str | None):
+        return None if path is None else spark.read.parquet(path)
+
+    def give(df) -> int:
+        df.write.parquet(got.out) if got.out else df.show(50, truncate=False)
+        return 0
+
+    if got.what == "shift":
+        from plumbline.operators.shift import psi
+
+        return give(psi(read(got.path)))
+    if got.what == "trust":
+        from plumbline.operators.records import apply_decisions
+
+        store, refused = apply_decisions(read(got.path))
+        give(store)
+        return 1 if refused.count() else 0
     if got.what == "dataset":
-        return _show(pipelines.scan_dataset(spark.read.parquet(got.path)))
-    return _show(pipelines.verify_log(spark, got.path))
+        from plumbline.operators import integrity
+        from plumbline.sources.logs import read_reference_ids
+
+        rows = read(got.path)
+        if got.action == "scan":
+            return _show(pipelines.scan_dataset(rows, read(got.vectors), None, read_reference_ids(spark, got.reference) if got.reference else None), got.out)
+        now = integrity.manifest(rows, "id", "contributor", rows["content"])
+        if got.action == "manifest":
+            return give(now)
+        changed = integrity.verify_manifest(read(got.manifest), now)
+        give(changed)
+        return 1 if changed.count() else 0
+    if got.action == "anchors":
+        from plumbline.operators import provenance
+        from plumbline.sources import logs
+
+        return give(provenance.build_anchors(provenance.chain_links(logs.flat(logs.read_log(spark, got.path)[0]))))
+    return _show(pipelines.verify_log(spark, got.path, read(got.trust), read(got.anchors)), got.out)
 
 
 if __name__ == "__main__":

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import findings as fi
-from plumbline.operators import assessment, contributors, duplicates, fusion, integrity, neighbours, provenance
+from plumbline.operators import assessment, contributors, duplicates, fusion, integrity, neighbours, populations, provenance
 from plumbline.sources import logs
 from plumbline.sources.shared import written
 
@@ -40,7 +40,8 @@ def _finding(rows: DataFrame, detector: str, attack_class: str, asset: F.Column,
 def scan_dataset(samples: DataFrame, vectors: DataFrame | None = None, issues: DataFrame | None = None, reference: DataFrame | None = None) -> Report:
     """samples (id, content, contributor), vectors (id, label, vector), issues (code, locator, sample_id), reference (id).
 
-    Detectors run in a fixed order; each that lacks its input leaves its class NOT_ASSESSED with a row that says so.
+    Detectors run in a fixed order; each that lacks its input leaves its class NOT_ASSESSED with a row that says so.  Without
+    a declared reference the rows themselves are the (weaker) reference; a label finding of an outlier is qualified.
     """
     spark, none = samples.sparkSession, F.lit(None).cast("string")
     groups = written(duplicates.exact_groups(samples, "id", F.col("content"), "contributor"), "exact")
@@ -56,16 +57,23 @@ def scan_dataset(samples: DataFrame, vectors: DataFrame | None = None, issues: D
         parts.append(_finding(found, "integrity", "metadata_inconsistency", F.col("sample_id"), none, F.col("severity"), F.lit(1.0), "DETERMINISTIC"))
         done.append("metadata_inconsistency")
     if vectors is not None:
+        points, chosen = populations.select_reference(vectors, reference)
+        tables["reference"] = chosen
+        outliers = None
+        if chosen.first().status == "ASSESSED":
+            scores = written(neighbours.ood_neighbour_scores(points), "ood")
+            flagged = neighbours.flag_by_reference(scores, populations.corrected_rate(0.01, 1)).where("flagged")
+            outliers = written(flagged if reference is None else flagged.where("not reference"), "outliers")
+            graded = populations.outlier_severity(outliers.select("id", F.lit(1).alias("exceeded"), F.col("p").alias("min_p")), 1, reference is not None)
+            parts.append(_finding(graded, "ood", "ood_insertion", F.col("id"), none, F.col("severity"), F.lit(0.40), "HEURISTIC_UNCALIBRATED"))
+            done.append("ood_insertion")
         labels = written(neighbours.label_consistency(vectors, duplicates.duplicate_members(samples, "id", "content", pairs)), "labels")
         tables["labels"] = labels
         flips = labels.where("flagged").join(samples.select("id", "contributor"), "id", "left")
+        if outliers is not None:
+            flips = populations.qualify_by_outliers(flips, outliers)
         parts.append(_finding(flips, "label_consistency", "label_flip", F.col("id"), F.col("contributor"), F.col("severity"), F.lit(0.45), "HEURISTIC_UNCALIBRATED"))
         done.append("label_flip")
-        if reference is not None:
-            points = vectors.join(reference.select("id").distinct().withColumn("reference", F.lit(True)), "id", "left").withColumn("reference", F.coalesce("reference", F.lit(False)))
-            flagged = neighbours.flag_by_reference(written(neighbours.ood_neighbour_scores(points), "ood"), 0.01).where("flagged and not reference")
-            parts.append(_finding(flagged, "ood", "ood_insertion", F.col("id"), none, F.when(F.col("p") <= 0.005, "MEDIUM").otherwise("LOW"), F.lit(0.40), "HEURISTIC_UNCALIBRATED"))
-            done.append("ood_insertion")
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)

@@ -83,3 +83,20 @@ def markdown(findings: list[dict], title: str) -> str:
     rows = sorted(findings, key=lambda f: (order[f["severity"]], -f["confidence"], f["finding_id"]))
     lines = [f"# {title}", "", "| finding | severity | confidence | disposition |", "|-|-|-|-|"]
     return "\n".join(lines + [f"| {f['finding_id']} | {f['severity']} | {f['confidence']:.2f} | {f['disposition']} |" for f in rows]) + "\n"
+
+
+def write_report(findings: DataFrame, coverage: DataFrame, path: str) -> None:
+    """A report as JSON lines in two folders, findings and coverage, most severe findings first within their files."""
+    order = F.array_position(F.array(*map(F.lit, ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"))), F.col("severity"))
+    findings.sortWithinPartitions(order, F.desc("confidence"), "finding_id").write.mode("errorifexists").option("ignoreNullFields", False).json(f"{path}/findings")
+    coverage.write.mode("errorifexists").json(f"{path}/coverage")
+
+
+def read_reference_ids(spark: SparkSession, path: str) -> DataFrame:
+    """id: the ids of a reference, from a JSON list or an object with a list `samples`; anything else is an error."""
+    text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"))
+    ids = F.when(F.col("value").startswith("["), F.from_json("value", "array<string>")).otherwise(F.from_json("value", "samples array<string>")["samples"])
+    read = text.select(ids.alias("ids"))
+    if not read.where("ids is null").isEmpty():
+        raise ValueError(f"{path} holds no list of ids")
+    return read.select(F.explode("ids").alias("id")).distinct()
