@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.statistics import js_bits
 from plumbline.operators.neighbours import moments
-from plumbline.operators.ranks import quantiles
+from plumbline.operators.ranks import quantiles, running_total
 from plumbline.sources.shared import written
 
 ALPHA, PERMUTATIONS, LEAST_PERMUTATIONS, LEAST_ROWS, MOST_ROWS, MOVED = 0.01, 999, 99, 20, 400, 0.15
@@ -46,20 +46,97 @@ def psi_band(value: Column) -> Column:
     return F.when(value < 0.1, "stable").when(value < 0.25, "moderate").otherwise("major")
 
 
-def psi_permutation_test(rows: DataFrame, bins: int = 10, count: int = 199, seed: str = "psi") -> DataFrame:
+#: Pooled rows that a task of the permutation test draws for at a time, about, and the most rows that can be drawn exactly.
+DRAWN_ROWS, MOST_DRAWN = 50_000, 1_000_000_000
+
+
+def drawn_counts(totals: np.ndarray, take: int, *seed: int) -> np.ndarray:
+    """How many of `take` rows, drawn without replacement, fall on each of groups of so many rows."""
+    return np.random.default_rng(seed).multivariate_hypergeometric(totals, take, method="marginals")
+
+
+def psi_permutation_test(rows: DataFrame, bins: int = 10, count: int = 199, seed: int = 20260917) -> DataFrame:
     """rows (column, id, side, value) -> column, psi, as_large, p, q, significant.
 
-    All columns share a replicate's order of ids, so their null draws belong together; the tests are corrected as one family.
-    All rows take part, and each replicate's edges are its own.
+    A random relabelling of the pooled rows is a draw of the reference's number of rows without replacement, so a replicate
+    is drawn from counts: first how many fall on each block of neighbouring values, the same in every task, then how many
+    on each value of a block.  Nothing is sorted or copied for a replicate; each has its own edges.  Columns are corrected as
+    one family.  A column of more than MOST_DRAWN rows, or of fewer than LEAST_ROWS on a side, is left out.
     """
+    import pyarrow as pa
+
     from plumbline.functions.statistics import benjamini_hochberg
 
-    rows = rows.where("value is not null and not isnan(value)")
+    rows = rows.where("value is not null and not isnan(value)").select("column", "side", F.col("value").cast("double").alias("value"))
+    sizes = rows.groupBy("column").agg(F.count_if(F.expr("side = 'reference'")).alias("n"), F.count("*").alias("all"))
+    sizes = {r.column: (r.n, r["all"]) for r in sizes.collect() if min(r.n, r["all"] - r.n) >= LEAST_ROWS and r["all"] <= MOST_DRAWN}  # a row for each column
+    rows = rows.where(F.col("column").isin(list(sizes)))
     observed = psi(rows, bins).select("column", F.col("psi").alias("observed"))
-    n = rows.where("side = 'reference'").select("id").distinct().count()
-    whole = rows.groupBy("id").agg(F.collect_list(F.struct("column", "value")).alias("cells"))  # one cell for each column
-    drawn = permuted_sides(whole, n, count, seed).select("replicate", "side", F.inline("cells")).withColumn("column", F.concat_ws("\u0001", F.col("replicate").cast("string"), "column"))
-    null = psi(drawn, bins).select(F.substring_index("column", "\u0001", -1).alias("column"), "psi")
+    values = running_total(rows.groupBy("column", "value").agg(F.count("*").alias("k")), "value", "k", within="column")
+    values = written(values.withColumn("block", F.floor((F.col("upto") - F.col("k")) / DRAWN_ROWS).cast("int")).select("column", "block", "value", "k"), "blocks")
+    totals: dict[str, dict[int, int]] = {c: {} for c in sizes}
+    for r in values.groupBy("column", "block").agg(F.sum("k").alias("k")).collect():  # a row for each DRAWN_ROWS rows
+        totals[r.column][r.block] = r.k
+    names = {c: i for i, c in enumerate(sorted(sizes))}
+    places = {c: sorted(t) for c, t in totals.items()}
+    shared = rows.sparkSession.sparkContext.broadcast({c: np.array([totals[c][b] for b in places[c]]) for c in names})
+
+    def draws(table: pa.Table):
+        """column, values in order, their counts, and for each replicate the drawn rows before the block and on each value."""
+        column, block = table["column"][0].as_py(), table["block"][0].as_py()
+        order = np.argsort(table["value"].to_numpy(), kind="stable")
+        value, k = table["value"].to_numpy()[order], table["k"].to_numpy()[order]
+        at, take = places[column].index(block), sizes[column][0]
+
+        def each():
+            for b in range(count):
+                whole = drawn_counts(shared.value[column], take, seed, names[column], b)
+                yield b, int(whole[:at].sum()), drawn_counts(k, int(whole[at]), seed, names[column], b, block + 1)
+
+        return column, value, k, each()
+
+    def quantile_values(table: pa.Table) -> pa.Table:
+        column, value, _, each = draws(table)
+        at = np.arange(bins + 1) / bins * (sizes[column][0] - 1)
+        wanted = np.stack([np.floor(at), np.ceil(at)]).astype(np.int64)
+        out: list[list] = [[], [], []]
+        for b, before, drawn in each:
+            upto = before + np.cumsum(drawn)
+            inside = (wanted >= before) & (wanted < (upto[-1] if len(upto) else before))
+            out[0] += [b] * int(inside.sum())
+            out[1] += np.flatnonzero(inside.ravel()).tolist()
+            out[2] += value[np.searchsorted(upto, wanted[inside], side="right")].tolist()
+        return pa.table({"column": pa.array([column] * len(out[0]), pa.string()), "replicate": pa.array(out[0], pa.int32()), "place": pa.array(out[1], pa.int32()), "value": pa.array(out[2], pa.float64())})
+
+    found = values.groupBy("column", "block").applyInArrow(quantile_values, "column string, replicate int, place int, value double")
+    ends = {c: np.zeros((count, 2, bins + 1)) for c in names}
+    for r in found.collect():  # a few numbers for each replicate
+        ends[r.column][r.replicate, r.place // (bins + 1), r.place % (bins + 1)] = r.value
+    inner = {}
+    for c, (low, high) in ((c, (e[:, 0], e[:, 1])) for c, e in ends.items()):
+        at = np.arange(bins + 1) / bins * (sizes[c][0] - 1)
+        inner[c] = np.where(low == high, low, (np.ceil(at) - at) * low + (at - np.floor(at)) * high)
+    edges = rows.sparkSession.sparkContext.broadcast({c: [np.unique(q) for q in e] for c, e in inner.items()})
+
+    def bin_counts(table: pa.Table) -> pa.Table:
+        column, value, k, each = draws(table)
+        out: list[list] = [[], [], [], []]
+        for b, _, drawn in each:
+            own = edges.value[column][b]
+            if len(own) < 3:
+                continue
+            bin_ = np.searchsorted(own[1:-1], value, side="right")
+            for column_, part in ((2, drawn), (3, k - drawn)):
+                out[column_] += np.bincount(bin_, weights=part, minlength=len(own) - 1).astype(np.int64).tolist()
+            out[0] += [b] * (len(own) - 1)
+            out[1] += range(len(own) - 1)
+        return pa.table({"column": pa.array([column] * len(out[0]), pa.string()), **{n: pa.array(x, pa.int64()) for n, x in zip(("replicate", "bin", "r", "c"), out, strict=True)}})
+
+    parts = values.groupBy("column", "block").applyInArrow(bin_counts, "column string, replicate long, bin long, r long, c long")
+    total = Window.partitionBy("column", "replicate")
+    full = parts.groupBy("column", "replicate", "bin").agg(F.sum("r").alias("r"), F.sum("c").alias("c")).withColumn("nr", F.sum("r").over(total)).withColumn("nc", F.sum("c").over(total))
+    p, q = (F.greatest(F.col(k) / F.col(n), 1 / (2 * F.col(n))) for k, n in (("r", "nr"), ("c", "nc")))
+    null = full.groupBy("column", "replicate").agg(F.round(F.sum((q - p) * F.log(q / p)), 9).alias("psi"))
     tests = null.join(observed, "column").groupBy("column", F.col("observed").alias("psi")).agg(F.count_if(F.col("psi") >= F.col("observed")).alias("as_large"), F.count("*").alias("replicates"))
     tests = benjamini_hochberg(tests.withColumn("p", (F.col("as_large") + 1) / (F.col("replicates") + 1)), "p", ["column"])
     return tests.withColumn("significant", F.col("q") <= ALPHA)

@@ -121,3 +121,25 @@ def test_commands_for_manifests_keys_and_shift(spark, tmp_path):
     sides.write.parquet(f"{tmp_path}/v")
     assert main(["shift", "psi", f"{tmp_path}/v", "--out", f"{tmp_path}/w"]) == 0
     assert spark.read.parquet(f"{tmp_path}/w").first().psi == shift.psi(sides).first().psi > 1
+
+
+def test_permutations_drawn_from_counts_are_draws_without_replacement(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(shift, "DRAWN_ROWS", 40)
+    rng = np.random.default_rng(3)
+    same, moved = rng.integers(0, 60, 700).astype(float), np.concatenate([rng.normal(0, 1, 350), rng.normal(1, 1, 350)])
+    rows = [(c, int(i), "reference" if i < 350 else "current", float(v)) for c, x in (("same", same), ("moved", moved)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "column string, id long, side string, value double")
+    got = {r.column: r for r in shift.psi_permutation_test(df.repartition(5), count=199).collect()}
+    assert got["moved"].p == 1 / 200 and got["same"].p > 0.02 and got["moved"].replicates == 199
+    # The null is that of relabelling rows: its middle agrees with relabelling done row by row.
+    null = []
+    for b in range(199):
+        side = rng.permutation(np.repeat(["reference", "current"], 350))
+        edges = np.unique(np.quantile(same[side == "reference"], np.arange(11) / 10))
+        p, q = (np.maximum(np.bincount(np.searchsorted(edges[1:-1], same[side == s], side="right"), minlength=len(edges) - 1), 0.5) / 350 for s in ("reference", "current"))
+        null.append(((q - p) * np.log(q / p)).sum())
+    assert abs(np.mean(np.array(null) >= got["same"].psi) - got["same"].p) < 0.12
+    again = {r.column: r for r in shift.psi_permutation_test(df.repartition(2), count=199).collect()}
+    assert again == got
