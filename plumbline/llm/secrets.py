@@ -350,7 +350,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             counts, digests, spans, found = np.zeros((base, n), np.int64), [none] * n, [""] * n, [[] for _ in range(n)]
             for row, text, hits in scanner.scan(batch.column(1)):
                 if not text.isascii():
-                    hits = [(len(text[:a].decode()), len(text[:a].decode()) + b - a, k) for a, b, k in hits]  # matches are ASCII
+                    # Matches are ASCII; what precedes one is what precedes the last, and the code points between.
+                    lead = np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)
+                    places = [int(lead[a - 1]) if a else 0 for a, _, _ in hits]
+                    hits = [(at, at + b - a, k) for at, (a, b, k) in zip(places, hits, strict=True)]
                 whole = text.decode()
                 own = [x for x in hits if x[2] < base]
                 for _, _, k in own:
