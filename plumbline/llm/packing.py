@@ -258,10 +258,9 @@ class Completion:
 
     def fillings(self) -> Iterator[tuple[tuple[int, ...], int]]:
         """Undominated fillings of the bin of the largest piece, least waste first, each with falling multiplicities."""
-        whole = self.count.copy()
-        top = int(np.flatnonzero(whole)[-1])
-        left = whole.copy()
-        left[top] -= 1
+        top = int(np.flatnonzero(self.count)[-1])
+        left = np.minimum(self.count, self.capacity).astype(np.int16)  # a bin holds no more of one length
+        left[top] = min(int(self.count[top]) - 1, self.capacity)
         room = self.capacity - top
         sums = reachable(np.flatnonzero(left[: room + 1]).tolist(), room)
         for waste in range(room + 1):
@@ -269,9 +268,11 @@ class Completion:
                 continue
             for contents in self._exactly(room - waste, room - waste, left, sums):
                 if undominated(contents, waste, left):
-                    need = np.bincount((top, *contents), minlength=self.capacity + 1)
-                    some = np.flatnonzero(need)
-                    for n in range(int((whole[some] // need[some]).min()), 0, -1):
+                    need: dict[int, int] = {}
+                    for s in (top, *contents):
+                        need[s] = need.get(s, 0) + 1
+                    # Whoever took fillings beyond this one has put them back.
+                    for n in range(min(int(self.count[s]) // k for s, k in need.items()), 0, -1):
                         yield (top, *contents), n
                 if self.steps <= 0:
                     return
@@ -285,8 +286,9 @@ class Completion:
             yield ()
             return
         high = min(most, total)
-        fits = np.flatnonzero((left[1 : high + 1] > 0) & sums[total - high : total][::-1]) + 1
-        for piece in fits[::-1].tolist():
+        fits = (np.flatnonzero((left[1 : high + 1] > 0) & sums[total - high : total][::-1]) + 1).astype(np.int16)
+        for at in range(len(fits) - 1, -1, -1):
+            piece = int(fits[at])
             left[piece] -= 1
             try:
                 if piece == total:
