@@ -31,20 +31,20 @@ from plumbline.llm.components import connected_components
 from plumbline.llm.vectors import matrix, rotation, sample, usable
 
 COSINE, MEET, CELL_ROWS = 0.93, 0.97, 1024
-#: Sampled vectors that rotations are learned on, pairs that the plan is measured on, bits that the plan may use at first.
-LEARN_ROWS, PLAN_PAIRS, CODE_BITS = 4096, 2000, 768
+#: Sampled vectors that rotations are learned on, and pairs that the plan is measured on.
+LEARN_ROWS, PLAN_PAIRS = 2048, 2000
 #: Parts that the lookup of a component's name is cut into.
 SALTS = 16
 
 
-def learn_rotations(v: np.ndarray, bits: int, rounds: int = 30) -> np.ndarray:
+def learn_rotations(v: np.ndarray, bits: int, rounds: int = 12) -> np.ndarray:
     """So many columns of rotations side by side: each alternates between the nearest corners and the best turn to them."""
     d, out = v.shape[1], []
     basis = np.linalg.svd(v.T @ v)[0] if len(v) else np.eye(d)
     for k in range(-(-bits // d)):
         turn = rotation(d, 100 + k)
         z = v @ basis
-        for _ in range((rounds if d <= 128 else rounds // 6) if len(v) else 0):
+        for _ in range((rounds if d <= 128 else rounds // 3) if len(v) else 0):
             u, _, w = np.linalg.svd(np.where(z @ turn >= 0, 1.0, -1.0).T @ z)
             turn = (u @ w).T
         out.append(basis @ turn)
@@ -71,23 +71,27 @@ def plan_tables(x: np.ndarray, most: int, threshold: float) -> tuple[np.ndarray,
     other = rng.standard_normal(one.shape)
     other -= (other * one).sum(axis=1, keepdims=True) * one
     other = threshold * one + np.sqrt(1 - threshold**2) * other / np.maximum(np.linalg.norm(other, axis=1, keepdims=True), 1e-300)
-    left, right = x[rng.integers(0, len(x), 4 * PLAN_PAIRS)], x[rng.integers(0, len(x), 4 * PLAN_PAIRS)]
-    wide = CODE_BITS
+    left, right = x[rng.integers(0, len(x), 2 * PLAN_PAIRS)], x[rng.integers(0, len(x), 2 * PLAN_PAIRS)]
+    sizes = sorted({full, max(4, full - 2), max(4, full - 4), max(4, full - 6)}, reverse=True)
+    agree = 1 - np.arccos(threshold) / np.pi
+    wide = int(max(1.3 * b * np.log(1 - MEET) / np.log(1 - agree**b) for b in sizes)) + 2 * full
     while True:
         plans = []
         for mean in (learn.mean(axis=0), np.zeros(d)):
             turn = learn_rotations(learn - mean, wide)
-            for bits in sorted({full, max(4, full - 2), max(4, full - 4), max(4, full - 6)}, reverse=True):
-                met = np.logical_or.accumulate(table_codes(one - mean, turn, bits) == table_codes(other - mean, turn, bits), axis=1).mean(axis=0)
+            signs = [(v - mean) @ turn >= 0 for v in (one, other, left, right)]
+            for bits in sizes:
+                some = wide // bits
+                x_, y_, l_, r_ = (s[:, : some * bits].reshape(len(s), some, bits) for s in signs)
+                met = np.logical_or.accumulate((x_ == y_).all(axis=2), axis=1).mean(axis=0)
                 if met[-1] >= MEET:
                     tables = max(2, int(np.argmax(met >= MEET)) + 1)
-                    turned = turn[:, : tables * bits]
-                    chance = (table_codes(left - mean, turned, bits) == table_codes(right - mean, turned, bits)).mean()
-                    plans.append((tables * (1 + most * chance / 64), tables, mean, turned, bits))
+                    chance = (l_[:, :tables] == r_[:, :tables]).all(axis=2).mean()
+                    plans.append((tables * (1 + most * chance / 64), tables, mean, turn[:, : tables * bits], bits))
         if plans:
             _, tables, mean, turned, bits = min(plans, key=lambda p: p[:2])
             return mean, turned, bits, tables
-        wide *= 2
+        wide = wide * 3 // 2
 
 
 def near_components(rows: DataFrame, threshold: float = COSINE) -> DataFrame:
