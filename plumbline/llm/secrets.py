@@ -321,7 +321,7 @@ class Scanner:
 
     def scan(self, texts: pa.Array) -> Iterator[tuple[int, bytes, list[tuple[int, int, int]]]]:
         """(row, text in UTF-8, spans) of the rows that have spans."""
-        for first, data, offsets in text_blocks(texts):
+        for first, data, offsets in text_blocks(texts, 1 << 20):
             where, masks = self.stops(data, offsets)
             rows = np.searchsorted(offsets, where, side="right") - 1
             for row in np.unique(rows).tolist():

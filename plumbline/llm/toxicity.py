@@ -85,19 +85,31 @@ def features(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray | None) ->
     return np.concatenate(found_rows), np.concatenate(found_keys), np.minimum(style, 1.0)
 
 
-def _matrix(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (row, key) pairs and style values of all texts."""
-    rows, keys, styles = [], [], []
+def _pairs(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Distinct (row, key) pairs and style values of texts, by blocks: memory follows a block, not the sample."""
     for first, data, offsets in text_blocks(texts):
         r, k, s = features(data, offsets, None)
         order = np.lexsort((k, r))
         r, k = r[order], k[order]
         new = np.ones(len(r), bool)
         new[1:] = (r[1:] != r[:-1]) | (k[1:] != k[:-1])
-        rows.append(r[new] + first)
-        keys.append(k[new])
-        styles.append(s)
-    return np.concatenate(rows), np.concatenate(keys), np.concatenate(styles)
+        yield r[new] + first, k[new], s
+
+
+def _counts(texts: pa.Array, use: np.ndarray, keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """In how many of the marked texts each key occurs: of the given sorted keys, or of all keys that occur in three or more."""
+    if keys is not None:
+        count = np.zeros(len(keys))
+        for row, key, _ in _pairs(texts):
+            key = key[use[row]]
+            at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+            if len(keys):
+                np.add.at(count, at[keys[at] == key], 1)
+        return keys, count
+    found = np.sort(np.concatenate([key[use[row]] for row, key, _ in _pairs(texts)] or [np.zeros(0, np.uint64)]))
+    starts = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
+    count = np.diff(np.append(starts, len(found)))
+    return found[starts[count >= 3]], count[count >= 3].astype(float)
 
 
 def _distinct_documents(texts: pa.Array) -> np.ndarray:
@@ -206,24 +218,27 @@ def learn(texts: pa.Array, y: np.ndarray) -> Model:
     if len(set(y.tolist())) < 2:
         return none
     n = len(y)
-    row, key, style = _matrix(texts)
     once = _distinct_documents(texts)
-    keys, number = np.unique(key, return_inverse=True)
-    use = once[row]
-    hits = np.bincount(number[use & (y[row] == 1)], minlength=len(keys)).astype(float)
-    support = np.bincount(number[use], minlength=len(keys)).astype(float)
+    # A feature of fewer than three texts of class 1 cannot reach the evidence, whatever the share of the class.
+    keys, hits = _counts(texts, once & (y == 1), None)
+    support = hits + _counts(texts, once & (y == 0), keys)[1]
     prior = np.clip(y[once].mean(), 0.02, 0.98)
     share = np.clip(hits / np.maximum(support, 1), 1e-9, 1 - 1e-9)
     evidence = support * (share * np.log(share / prior) + (1 - share) * np.log((1 - share) / (1 - prior)))
-    good = np.flatnonzero((support >= 3) & (share > prior) & (evidence > LEAST_EVIDENCE))
+    good = np.flatnonzero((share > prior) & (evidence > LEAST_EVIDENCE))
     if len(good):
         good = good[_broad(texts.filter(pa.array(once & (y == 1))), keys[good])]
     good = good[np.argsort(-evidence[good], kind="stable")][:MOST_FEATURES]
     column = np.full(len(keys), -1)
     column[good] = np.arange(len(good))
-    x = np.zeros((n, len(good)), np.float32)
-    at = column[number]
-    x[row[at >= 0], at[at >= 0]] = 1
+    x, styles = np.zeros((n, len(good)), np.float32), []
+    for row, key, some in _pairs(texts):
+        styles.append(some)
+        at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+        if len(keys):
+            at = np.where(keys[at] == key, column[at], -1)
+            x[row[at >= 0], at[at >= 0]] = 1
+    style = np.concatenate(styles)
     high = np.quantile(style, 0.9, axis=0)
     votes = np.column_stack([np.where(x[:, :MOST_VOTERS] > 0, 1, -1), np.where(style > high + 1e-12, 1, -1), np.where(x.any(axis=1), -1, 0)])
     posterior, voters = label_model(votes[once], y[once])
@@ -260,7 +275,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             size = int(ends[-1]) if len(ends) else size
         whole = pa.Table.from_batches(held) if held else pa.table({"text": pa.array([], pa.string()), "toxic": pa.array([], pa.int32())})
         texts = pa.concat_arrays([c.cast(pa.string()) for c in whole["text"].chunks]) if whole.num_rows else pa.array([], pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn(texts, whole["toxic"].to_numpy().astype(np.int64)))], pa.binary())], ["model"])
+        model = pickle.dumps(learn(texts, whole["toxic"].to_numpy().astype(np.int64)))
+        del held, whole, texts
+        pa.default_memory_pool().release_unused()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
     model = rows.repartition(1).sortWithinPartitions(order, "doc_id").select("text", "toxic").mapInArrow(run, "model binary").first()
     return pickle.loads(bytes(model[0])) if model else none
