@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs.  All but the last return the columns of documents; n_chars follows the text.
+
+A null text passes as it is (it is not toxic, has no lines, is near nothing, has size 0, and is packed as its end mark); so
+does an empty one.  Null ids, sources and other columns are carried along.  Equal rows are one document to the n-gram
+join; rows of one id with other texts stay or go together.  Further columns, whatever their names, stay with their rows until
+packing.  Empty tables give no rows.
 """
 
 from __future__ import annotations
