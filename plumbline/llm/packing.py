@@ -36,8 +36,10 @@ CAPACITY, END = 2048, 0
 CELL_PIECES, CELLS = 500_000, 256
 #: Nodes of the enumeration of fillings that the search visits at most.
 STEPS = 200_000
+#: Bytes of text that are tokenised at a time: each block adds its new words to the memory once.
+WORD_BLOCK = 1 << 20
 #: Words whose ids a worker remembers, before it starts over.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 
 
 # ---------------------------------------------------------------- tokens
@@ -145,7 +147,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokens_of(path)
         for batch in batches:
-            for first, data, offsets in text_blocks(batch.column(1)):
+            for first, data, offsets in text_blocks(batch.column(1), WORD_BLOCK):
                 out = [[] for _ in range(5)]
                 for row, got in enumerate(tokens.encode(data, offsets)):
                     whole = np.append(got, np.uint32(END)).astype("<u4")
