@@ -70,6 +70,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.conversations import damage, repair
+
+    return repair(damage(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann_search": op1_ann_search,
     "op2_html_main_text": op2_html_main_text,
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 SQL: dict[str, str] = {
     "op10_line_dedup": line_dedup.REPORT_SQL,
