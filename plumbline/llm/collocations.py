@@ -30,7 +30,11 @@ from plumbline.llm.count_automata import DEPTH, Automaton, Union, assemble, buil
 
 LEAST_COUNT, CONTAINED_PERCENT, SCALE, MOST = 10, 50, 1_000_000, 2000
 #: Bytes of text of one automaton, and of text for each prefix range.
-BLOCK_BYTES, RANGE_BYTES = 8 << 20, 8 << 20
+BLOCK_BYTES, RANGE_BYTES = 4 << 20, 4 << 20
+#: Ranges into which a task cuts its automata at a time, and arcs that it unites before it cuts them again.
+FAN, REGROUPED_ARCS = 256, 1_500_000
+#: Arcs (about) of a range in which parts of candidates are looked up; frequent phrases are few.
+LOOKUP_ARCS = 50_000
 #: Phrases (about) that are sampled to place the bounds of the ranges, for each range.
 SAMPLED = 200
 BUCKETS = 64
@@ -93,6 +97,10 @@ class Ranges:
     def __init__(self, bounds: list[tuple]):
         self.bounds = sorted(set(bounds))
 
+    def coarser(self, times: int) -> Ranges:
+        """Ranges that hold so many of these each: range k lies in k // times."""
+        return Ranges(self.bounds[times - 1 :: times])
+
     def sections(self, lang: str, a: Automaton) -> Iterator[tuple[int, Automaton]]:
         low = bisect_left(self.bounds, (lang,))
         high = bisect_left(self.bounds, (lang + "\0",))
@@ -140,6 +148,7 @@ def find_ranges(texts: DataFrame) -> Ranges:
     return Ranges([phrases[int(k * step)] for k in range(1, int(ranges)) if int(k * step) < len(phrases)])
 
 
+#: sender: the range that asks or answers; of counts, the number of arcs.
 PARTS = "lang string, range int, kind int, sender int, words long, blob binary"
 
 
@@ -161,6 +170,12 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int,
             last = row[0], row[1]
 
 
+def _counts(ranges: Ranges, lang: str, a: Automaton) -> Iterator[pa.RecordBatch]:
+    rows = [(lang, k, COUNTS, part.arcs, int(part.weights[0].sum()), pack(part)) for k, part in ranges.sections(lang, a)]
+    if rows:
+        yield _batch(rows)
+
+
 def count_parts(texts: DataFrame, ranges: Ranges) -> DataFrame:
     """PARTS of kind COUNTS: the automata of all blocks, cut at the bounds."""
 
@@ -174,9 +189,10 @@ def count_parts(texts: DataFrame, ranges: Ranges) -> DataFrame:
             sizes.pop(lang)
             for block, own in blocks(data):
                 counted = count_block(block, own)
-                rows = [(lang, k, COUNTS, k, int(part.weights[0].sum()), pack(part)) for k, part in ranges.sections(lang, counted)]
-                if rows:
-                    yield _batch(rows)
+                del block
+                yield from _counts(ranges, lang, counted)
+                del counted
+                pa.default_memory_pool().release_unused()
 
         for batch in batches:
             for lang, data in _by_lang(batch):
@@ -197,20 +213,39 @@ def _meet(parts: DataFrame) -> DataFrame:
     return parts.repartition("lang", "range").sortWithinPartitions("lang", "range", "kind")
 
 
+def regroup(parts: DataFrame, ranges: Ranges) -> DataFrame:
+    """The parts of wider ranges, united as far as memory goes and cut at the bounds of narrower ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        union, last = Union(), None
+        for lang, _, _, _, _, blob, new in _groups(batches):
+            if last is not None and (new or union.size >= REGROUPED_ARCS):
+                yield from _counts(ranges, last, union.result())
+                union = Union()
+            union.add(unpack(blob))
+            last = lang
+        if last is not None:
+            yield from _counts(ranges, last, union.result())
+
+    return _meet(parts).mapInArrow(run, PARTS)
+
+
 def unite_parts(parts: DataFrame) -> DataFrame:
-    """One automaton for each language and range, with the words counted there; rare phrases are gone."""
+    """One automaton for each language and range, with its arcs and the words counted there; rare phrases are gone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         union, words, key = Union(), 0, None
 
         def close() -> pa.RecordBatch:
-            return _batch([(*key, COUNTS, key[1], words, pack(prune(union.result(), LEAST_COUNT)))])
+            a = prune(union.result(), LEAST_COUNT)
+            return _batch([(*key, COUNTS, a.arcs, words, pack(a))])
 
         for lang, number, _, _, more, blob, new in _groups(batches):
             if new and key:
                 yield close()
             if new:
                 union, words, key = Union(), 0, (lang, number)
+                pa.default_memory_pool().release_unused()
             words += more
             union.add(unpack(blob))
         if key:
@@ -219,6 +254,28 @@ def unite_parts(parts: DataFrame) -> DataFrame:
     return _meet(parts).mapInArrow(run, PARTS)
 
 
+def count_phrases(texts: DataFrame) -> tuple[DataFrame, Ranges]:
+    """The automata of all frequent phrases, one for each language and lookup range, and these ranges.
+
+    A task cuts what it has into FAN ranges or so; where more are needed, parts go through wider ranges first, so that the
+    number of parts grows with the text, not with its square.
+    """
+    ranges = find_ranges(texts)
+    levels = [1]
+    while len(ranges.bounds) // levels[-1] > FAN:
+        levels.append(levels[-1] * FAN)
+    parts = count_parts(texts, ranges.coarser(levels[-1]))
+    for times in levels[-2::-1]:
+        parts = regroup(parts, ranges.coarser(times))
+    counted = stash(unite_parts(parts), "collocation-counts")
+    arcs = counted.agg(F.sum("sender")).first()[0] or 0
+    wider = max(1, (len(ranges.bounds) + 1) * LOOKUP_ARCS // max(arcs, 1))
+    wider = min(wider, len(ranges.bounds) + 1)
+    if wider > 1:
+        counted = stash(unite_parts(counted.withColumn("range", F.floor(F.col("range") / wider).cast("int"))), "collocation-lookups")
+    return counted, ranges.coarser(wider)
+
+
 def candidates(counts: Automaton) -> list[np.ndarray]:
     """Arcs of each level that end candidates (none for single words)."""
     return [np.zeros(0, np.int64)] + [np.flatnonzero(w >= LEAST_COUNT) for w in counts.weights[1:]]
@@ -336,9 +393,7 @@ def score_candidates(counted: DataFrame, answers: DataFrame) -> DataFrame:
 
 def mine_collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's MOST best phrases of two and three words."""
-    texts = _texts(docs, text_col, lang_col)
-    ranges = find_ranges(texts)
-    counted = stash(unite_parts(count_parts(texts, ranges)), "collocation-counts")
+    counted, ranges = count_phrases(_texts(docs, text_col, lang_col))
     found = score_candidates(counted, answer(counted, ask(counted, ranges)))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     few = Window.partitionBy("lang", "bucket").orderBy(*order)

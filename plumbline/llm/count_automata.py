@@ -267,9 +267,9 @@ def phrase_labels(a: Automaton, depth: int, arcs: np.ndarray) -> np.ndarray:
 
 
 class Union:
-    """A running union that is worked out whenever what waits exceeds what is there (or a million arcs)."""
+    """A running union that is worked out whenever what waits exceeds what is there (or LEAST arcs)."""
 
-    LEAST = 1_000_000
+    LEAST = 400_000
 
     def __init__(self, join: Callable[[list[Automaton]], Automaton] = unite):
         self.join, self.whole, self.waiting, self.arcs = join, None, [], 0
@@ -280,6 +280,11 @@ class Union:
         if self.arcs > max(self.LEAST, self.whole.arcs if self.whole else 0):
             self.result()
 
+    @property
+    def size(self) -> int:
+        """Arcs held, equal ones of parts that wait counted more than once."""
+        return self.arcs + (self.whole.arcs if self.whole else 0)
+
     def result(self) -> Automaton:
         parts = ([self.whole] if self.whole else []) + self.waiting
         self.whole = self.join(parts) if parts else empty()

@@ -133,6 +133,9 @@ def test_many_small_ranges_give_the_same(spark, monkeypatch):
     texts = collocations._texts(df, "text", "lang")
     monkeypatch.setattr(collocations, "RANGE_BYTES", 4096)
     monkeypatch.setattr(collocations, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(collocations, "FAN", 3)
+    monkeypatch.setattr(collocations, "REGROUPED_ARCS", 500)
+    monkeypatch.setattr(collocations, "LOOKUP_ARCS", 300)
     ranges = collocations.find_ranges(texts)
     assert len(ranges.bounds) > 8
     same(collocations.mine_collocations(df).collect(), expected(rows))
