@@ -146,7 +146,7 @@ def _loss(model: dict, x: np.ndarray, gold: np.ndarray, may: np.ndarray) -> tupl
     return float((total - right).mean()), grads
 
 
-def train(x: np.ndarray, gold: np.ndarray, kinds: int, epochs: int = 12, batch: int = 96, rate: float = 0.03) -> dict[str, np.ndarray]:
+def train(x: np.ndarray, gold: np.ndarray, kinds: int, epochs: int = 16, batch: int = 96, rate: float = 0.03) -> dict[str, np.ndarray]:
     """Parameters fitted to windows x (shapes) and their tags by Adam; the order of windows is fixed by a seed."""
     model, may, rng = start_values(kinds), allowed(kinds), np.random.default_rng(9)
     first = {k: np.zeros_like(v) for k, v in model.items()}

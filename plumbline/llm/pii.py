@@ -32,8 +32,8 @@ KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
 #: Documents of the sample that the tagger learns from, the longest that is taken, and windows learned from.
 FIT_ROWS, FIT_LONGEST, FIT_WINDOWS = 1500, 20_000, 2400
-#: Characters around an anchor that a window must show; how sure each place of an added span must be.
-MARGIN, CONFIDENT = 24, 0.95
+#: Characters around an anchor that a window must show; how sure the places of an added span must be on average.
+MARGIN, CONFIDENT = 24, 0.8
 
 LOCAL = string.ascii_letters + string.digits + "._%+-"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -60,8 +60,8 @@ def _small(parts: list[str]) -> bool:
     return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in parts)
 
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, kind) of the base rules, by start and kind.
+def base_spans(text: str, values: bool = True) -> list[tuple[int, int, int]]:
+    """(start, end, kind) of the base rules, by start and kind; without the tests of Luhn and 255 if values is false.
 
     Each rule is leftmost and non-overlapping.  The rules are written so that a long run is read once: an address is looked for
     from its at sign, an ip from the begin of a run of digits (from inside of one it cannot match if it does not from there).
@@ -79,12 +79,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         seen = at + 1
         at = text.find("@", seen)
     for m in _IP.finditer(text):
-        if _small(m[0].split(".")):
+        if not values or _small(m[0].split(".")):
             out.append((m.start(), m.end(), IP))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12:
             digits = _digits(m[0])
-            if 12 <= len(digits) <= 19 and luhn(digits):
+            if 12 <= len(digits) <= 19 and (not values or luhn(digits)):
                 out.append((m.start(), m.end(), CARD))
     for m in _PHONE.finditer(text):
         if 9 <= len(_digits(m[0])) <= 15:
@@ -183,7 +183,7 @@ def tag_texts(model: dict, texts: list[str]) -> list[list[tuple[int, int, int]]]
         for (row, start, before, after), tag, certain in zip(queue, tags, sure, strict=True):
             if tag.any():
                 for a, b, kind in tagger.pieces(tag):
-                    found[row].append((start + a, start + b, kind, float(certain[a:b].min()), before and a == 0, after and b == tagger.WIDTH))
+                    found[row].append((start + a, start + b, kind, float(certain[a:b].mean()), before and a == 0, after and b == tagger.WIDTH))
         queue.clear()
 
     for row, text in enumerate(texts):
@@ -238,13 +238,17 @@ def plain_number(rng: np.random.Generator) -> str:
     forms = (
         lambda: f"{n(1900, 2100)}-{n(1, 13):02d}-{n(1, 29):02d}", lambda: f"{n(0, 24):02d}:{n(0, 60):02d}:{n(0, 60):02d}", lambda: f"v{n(0, 20)}.{n(0, 20)}.{n(0, 100)}", lambda: f"{n(1, 100)},{n(0, 1000):03d},{n(0, 1000):03d}",
         lambda: str(n(0, 10**9)), lambda: f"({n(1, 2100)})", lambda: f"{n(0, 10**6) / 1000}", lambda: f"{n(1, 30)}/{n(1, 13)}/{n(1900, 2100)}", lambda: bytes(rng.integers(0, 256, 16, dtype=np.uint8)).hex(), lambda: f"{n(1, 100)}%",
-        lambda: f"{n(1900, 2100)}-{n(1900, 2100)}", lambda: f"[{n(1, 100)}]", lambda: f"@user{n(1, 1000)}", lambda: f"{n(10**11, 10**12)}", lambda: f"{n(1, 10)} {n(1, 10)} {n(1, 10)}", lambda: f"ISO-{n(1000, 100000)}:{n(1900, 2100)}",
+        lambda: f"{n(1900, 2100)}-{n(1900, 2100)}", lambda: f"[{n(1, 100)}]", lambda: f"@user{n(1, 1000)}", lambda: f"{n(1, 10)} {n(1, 10)} {n(1, 10)}", lambda: f"ISO-{n(1000, 100000)}:{n(1900, 2100)}",
     )
     return forms[n(0, len(forms))]()
 
 
 def examples(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and tags from texts: base spans, other writings of them, digits that are none, and plain numbers put in."""
+    """Windows and tags from texts: base spans, other writings of them, digits that are none, and plain numbers put in.
+
+    A check digit is beyond a reader of shapes, so spans that fail only the test of values are spans here; added ones are
+    tested later.
+    """
     rng = np.random.default_rng(3)
     windows, tags = [], []
 
@@ -262,7 +266,7 @@ def examples(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     for text in texts:
         spans: list[tuple[int, int, int]] = []
-        for span in sorted(base_spans(text), key=lambda s: (s[0], s[2] == CARD)):
+        for span in sorted(base_spans(text, False), key=lambda s: (s[0], s[2] == CARD)):
             if not spans or span[0] >= spans[-1][1]:
                 spans.append(span)
         for a, b, kind in [spans[k] for k in rng.permutation(len(spans))[:3]]:

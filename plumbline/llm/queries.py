@@ -82,6 +82,13 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damage(table(spark, sf_dir, "conversations")))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.pii import fit, scan_pii
+
+    docs = table(spark, sf_dir, "documents")
+    return scan_pii(docs, model=fit(docs)).drop("found").withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann_search": op1_ann_search,
     "op2_html_main_text": op2_html_main_text,
@@ -95,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_phrase_collocations": op11_phrase_collocations,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_personal_data": op13_personal_data,
 }
 SQL: dict[str, str] = {
     "op11_phrase_collocations": collocations.REPORT_SQL,
