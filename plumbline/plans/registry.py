@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from plumbline.plans import assurance_queries, dataset_queries, forensic_queries, record_queries, stream_queries  # noqa: F401
+    from plumbline.plans import assurance_queries, dataset_queries, forensic_queries, model_queries, record_queries, stream_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
