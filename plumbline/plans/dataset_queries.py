@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import findings as fi
 from plumbline.operators import contributors, duplicates, integrity, neighbours
+from plumbline.operators.outliers import combined_outliers
 from plumbline.plans.registry import register
 from plumbline.sources.shared import written
 
@@ -260,6 +261,12 @@ def ood_subspace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.ood_subspace_scores(points)
 
 
+@register("ood_combined")
+def ood_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _points(spark, sf_dir).where("label is not null").withColumn("reference", F.col("label") < 8)
+    return combined_outliers(points, True)
+
+
 @register(
     "metadata_integrity",
     """

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import findings as fi
 from plumbline.operators import assessment, contributors, duplicates, fusion, integrity, neighbours, populations, provenance
+from plumbline.operators.outliers import combined_outliers
 from plumbline.sources import logs
 from plumbline.sources.shared import written
 
@@ -61,11 +62,11 @@ def scan_dataset(samples: DataFrame, vectors: DataFrame | None = None, issues: D
         tables["reference"] = chosen
         outliers = None
         if chosen.first().status == "ASSESSED":
-            scores = written(neighbours.ood_neighbour_scores(points), "ood")
-            flagged = neighbours.flag_by_reference(scores, populations.corrected_rate(0.01, 1)).where("flagged")
+            scores = combined_outliers(points, reference is not None)
+            tables["outliers"] = scores
+            flagged = scores.where("flagged")
             outliers = written(flagged if reference is None else flagged.where("not reference"), "outliers")
-            graded = populations.outlier_severity(outliers.select("id", F.lit(1).alias("exceeded"), F.col("p").alias("min_p")), 1, reference is not None)
-            parts.append(_finding(graded, "ood", "ood_insertion", F.col("id"), none, F.col("severity"), F.lit(0.40), "HEURISTIC_UNCALIBRATED"))
+            parts.append(_finding(outliers, "ood", "ood_insertion", F.col("id"), none, F.col("severity"), F.lit(0.40), "HEURISTIC_UNCALIBRATED"))
             done.append("ood_insertion")
         labels = written(neighbours.label_consistency(vectors, duplicates.duplicate_members(samples, "id", "content", pairs)), "labels")
         tables["labels"] = labels
