@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import findings as fi
+from plumbline.sources.shared import written
 
 #: Failure code -> attack class, severity.
 FAILURES = {
@@ -58,12 +59,24 @@ def record_digest(*fields: Column) -> Column:
 
 
 def chain_links(records: DataFrame) -> DataFrame:
-    """records with position, link (GENESIS, LINKED, BROKEN, ORPHANED) and in_sequence; every record is judged."""
-    order = Window.partitionBy("log_id").orderBy("line")
-    placed = records.withColumn("position", F.row_number().over(order) - 1).withColumn("before", F.lag("digest").over(order))
+    """records with position, link (GENESIS, LINKED, BROKEN, ORPHANED) and in_sequence; every record is judged.
+
+    Records are dealt by ranges of (log_id, line), so that one log may be many segments.  A segment numbers and links its own
+    records; its length and last digest, a row for each segment of a log, tell the next one where it stands.
+    """
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(records.repartitionByRange(parts, "log_id", "line").withColumn("__segment", F.spark_partition_id()), "chain-segments")
+    edges = dealt.groupBy("__segment", F.col("log_id").alias("__log")).agg(F.count("*").alias("__n"), F.max(F.struct("line", "digest"))["digest"].alias("__end"))
+    before = Window.partitionBy("__log").orderBy("__segment")  # a row for each segment of the log
+    ahead = edges.select("__segment", "__log", F.coalesce(F.sum("__n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"), F.lag("__end").over(before).alias("__last"))
+    own = Window.partitionBy("__segment", "log_id").orderBy("line", "digest")
+    placed = dealt.withColumn("__own", F.row_number().over(own) - 1).withColumn("__before", F.lag("digest").over(own)).withColumnRenamed("__segment", "__part")
+    placed = placed.join(ahead, (F.col("__part") == F.col("__segment")) & F.col("log_id").eqNullSafe(F.col("__log")))
+    placed = placed.withColumn("position", (F.col("__own") + F.col("__ahead")).cast("long")).withColumn("__before", F.when(F.col("__own") == 0, F.col("__last")).otherwise(F.col("__before")))
     first = F.when(F.col("previous").isNull(), "GENESIS").otherwise("ORPHANED")
-    link = F.when(F.col("position") == 0, first).when(F.col("previous").isNull(), "BROKEN").when(F.col("previous") == F.col("before"), "LINKED").otherwise("BROKEN")
-    return placed.withColumn("link", link).withColumn("in_sequence", F.coalesce(F.col("sequence") == F.col("position"), F.lit(False))).drop("before")
+    link = F.when(F.col("position") == 0, first).when(F.col("previous").isNull(), "BROKEN").when(F.col("previous") == F.col("__before"), "LINKED").otherwise("BROKEN")
+    in_sequence = F.coalesce(F.col("sequence") == F.col("position"), F.lit(False))
+    return placed.select(*records.columns, "position", link.alias("link"), in_sequence.alias("in_sequence"))
 
 
 def chain_summary(links: DataFrame, anchors: DataFrame | None) -> DataFrame:

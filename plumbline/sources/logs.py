@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.sources.shared import written
+
 # Fields of a signed record, and the schema versions that are understood.
 RECORD = (
     "record struct<schema_version:string,record_id:string,hash_algorithm:string,"
@@ -18,17 +20,33 @@ SUPPORTED_VERSIONS = ("1.0",)
 FINDING = "finding_id string, attack_class string, severity string, confidence double, confidence_basis string, method string, coverage string, disposition string, disposition_rule string"
 
 
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """lines (value, of a text source) -> file, line (from 1), raw, whatever the number of splits of a file.
+
+    A split's rows come in the order of the file; it counts them from the number of lines of the splits before it.  Blank lines
+    count.  Batches of a stream may be numbered alike (foreachBatch), a new file from 1.
+    """
+    place = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))
+    held = written(place, "log-lines")
+    splits = held.groupBy("file", "split").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split of the file
+    ahead = splits.select("file", "split", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    return held.join(ahead, ["file", "split"]).select("file", (F.col("at") + F.col("shift")).alias("line"), "raw")
+
+
+def parsed_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """file, line, raw -> (entries with record and signature, malformed lines with their start); blank ones are skipped."""
+    lines = lines.where(F.trim("raw") != "").withColumn("j", F.from_json("raw", RECORD + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    bad = F.col("j").isNull() | F.col("j._bad").isNotNull() | F.col("j.record").isNull()
+    return lines.where(~bad).select("file", "line", "raw", "j.record", "j.signature"), lines.where(bad).select("file", "line", F.substring("raw", 1, 2000).alias("raw"))
+
+
 def read_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """A JSONL log -> (entries with line and raw, malformed lines with their number and start).
 
-    Order is data: a file is read as one text and its lines are numbered, so a log is one row's array and logs spread over
-    files.  Blank lines are skipped.
+    Order is data: lines keep their numbers, though a file is read in as many splits as its size gives.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("at", "raw"))
-    lines = files.where(F.trim("raw") != "").select("file", (F.col("at") + 1).alias("line"), "raw", F.from_json("raw", RECORD + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("j"))
-    bad = F.col("j").isNull() | F.col("j._bad").isNotNull() | F.col("j.record").isNull()
-    entries = lines.where(~bad).select("file", "line", "raw", "j.record", "j.signature")
-    return entries, lines.where(bad).select("file", "line", F.substring("raw", 1, 2000).alias("raw"))
+    return parsed_lines(numbered_lines(spark.read.text(path)))
 
 
 def flat(entries: DataFrame) -> DataFrame:
