@@ -1,15 +1,18 @@
 """Features of decoded images: perceptual hashes and a block descriptor, over grey or RGB arrays, by Arrow batches.
 
-Decoding is the caller's (no image library is assumed): rows hold height, width and bytes of 8-bit RGB.
+Decoding is Spark's or the caller's (no image library is assumed): rows hold height, width and bytes of 8-bit RGB, or the data
+and channels of Spark's image source.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BLOCKS = (("structure", 256), ("colour", 128), ("gradient", 144), ("dct", 63), ("acquisition", 23))
 
@@ -104,25 +107,66 @@ def descriptor(rgb: np.ndarray) -> np.ndarray:
 FEATURES = "sample_id string, valid boolean, ahash long, dhash long, phash long, embedding array<float>, acquisition array<double>, pixel_sha256 string"
 
 
+def rgb_array(height: int | None, width: int | None, data: bytes | None, channels: int | None = None) -> np.ndarray | None:
+    """Rows of 8-bit RGB as an array; None if the bytes do not fit.  channels: of the image source (blue first; grey; alpha last)."""
+    planes = channels or 3
+    if not height or not width or height < 0 or planes not in (1, 3, 4) or data is None or len(data) != height * width * planes:
+        return None
+    whole = np.frombuffer(data, np.uint8).reshape(height, width, planes)
+    if channels is None:
+        return whole
+    return np.repeat(whole, 3, axis=2) if planes == 1 else whole[:, :, 2::-1]
+
+
+def measure(whole: np.ndarray) -> tuple:
+    """The values of FEATURES from valid on."""
+    rgb = whole / 255.0
+    grey = rgb @ np.array([0.299, 0.587, 0.114])
+    digest = hashlib.sha256(f"RGB|uint8|{whole.shape[0]},{whole.shape[1]},3|".encode() + np.ascontiguousarray(whole).tobytes()).hexdigest()
+    return True, average_hash(grey), difference_hash(grey), dct_hash(grey), descriptor(rgb).tolist(), acquisition(rgb).tolist(), digest
+
+
+_KINDS = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float32()), pa.list_(pa.float64()), pa.string()]
+_NAMES = [f.split()[0] for f in FEATURES.split(", ")]
+
+
+def _with_channels(images: DataFrame) -> DataFrame:
+    if "data" in images.columns:
+        return images.select("sample_id", "height", "width", F.col("data").alias("rgb"), "channels")
+    return images.select("sample_id", "height", "width", "rgb", F.lit(None).cast("int").alias("channels"))
+
+
 def image_features(images: DataFrame) -> DataFrame:
-    """images (sample_id, height, width, rgb binary) -> FEATURES, one pass; bytes that do not fit the size are not valid."""
-    import hashlib
+    """images (sample_id, height, width, and rgb or data and channels) -> FEATURES, one pass; bytes that do not fit are not valid."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                name, height, width, data, channels = (c[k].as_py() for c in batch.columns)
+                whole = rgb_array(height, width, data, channels)
+                values = (False, *[None] * 6) if whole is None else measure(whole)
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((name, *values), (pa.string(), *_KINDS), strict=True)], _NAMES)
+
+    return _with_channels(images).mapInArrow(run, FEATURES)
+
+
+def object_features(images: DataFrame, crops: DataFrame) -> DataFrame:
+    """images as for image_features(), crops (sample_id, annotation, label, x1, y1, x2, y2) -> sample_id, annotation, label, embedding.
 
-    kinds = [pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float32()), pa.list_(pa.float64()), pa.string()]
-    names = [f.split()[0] for f in FEATURES.split(", ")]
+    An image meets the list of its own crops, and only their descriptors leave the task.
+    """
+    lists = crops.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("annotation", "label", "x1", "y1", "x2", "y2"))).alias("crops"))
+    rows = _with_channels(images).join(lists, "sample_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                h, w, data = row["height"] or 0, row["width"] or 0, row["rgb"] or b""
-                if not h or not w or len(data) != h * w * 3:
-                    out.append((row["sample_id"], False, None, None, None, None, None, None))
+            for k in range(batch.num_rows):
+                name, height, width, data, channels, cuts = (c[k].as_py() for c in batch.columns)
+                whole = rgb_array(height, width, data, channels)
+                if whole is None:
                     continue
-                rgb = np.frombuffer(data, np.uint8).reshape(h, w, 3) / 255.0
-                grey = rgb @ np.array([0.299, 0.587, 0.114])
-                digest = hashlib.sha256(f"RGB|uint8|{h},{w},3|".encode() + data).hexdigest()
-                out.append((row["sample_id"], True, average_hash(grey), difference_hash(grey), dct_hash(grey), descriptor(rgb).tolist(), acquisition(rgb).tolist(), digest))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds], names)
+                out = [(name, c["annotation"], c["label"], descriptor(whole[c["y1"] : c["y2"], c["x1"] : c["x2"]] / 255.0).tolist()) for c in cuts]
+                kinds = (pa.string(), pa.int64(), pa.string(), pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["sample_id", "annotation", "label", "embedding"])
 
-    return images.select("sample_id", "height", "width", "rgb").mapInArrow(run, FEATURES)
+    return rows.select("sample_id", "height", "width", "rgb", "channels", "crops").mapInArrow(run, "sample_id string, annotation long, label string, embedding array<float>")

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import findings as fi
 from plumbline.operators import assessment, contributors, duplicates, fusion, integrity, neighbours, populations, provenance
+from plumbline.functions.statistics import dot
+from plumbline.operators.features import image_features, object_features
 from plumbline.operators.outliers import combined_outliers
-from plumbline.sources import logs
+from plumbline.operators.ranks import running_total
+from plumbline.sources import datasets, images, logs
 from plumbline.sources.shared import written
 
 FINDING = ("finding_id", "attack_class", "asset", "contributor", "severity", "confidence", "basis", "detector", "coverage", "disposition", "disposition_rule")
@@ -38,9 +41,11 @@ def _finding(rows: DataFrame, detector: str, attack_class: str, asset: F.Column,
     )
 
 
-def scan_dataset(samples: DataFrame, vectors: DataFrame | None = None, issues: DataFrame | None = None, reference: DataFrame | None = None) -> Report:
+def scan_dataset(samples: DataFrame, vectors: DataFrame | None = None, issues: DataFrame | None = None, reference: DataFrame | None = None, pairs: DataFrame | None = None) -> Report:
     """samples (id, content, contributor), vectors (id, label, vector), issues (code, locator, sample_id), reference (id).
 
+    pairs (a, b, distance, cosine): near duplicates of samples that are no texts; those of texts are found here.
+
     Detectors run in a fixed order; each that lacks its input leaves its class NOT_ASSESSED with a row that says so.  Without
     a declared reference the rows themselves are the (weaker) reference; a label finding of an outlier is qualified.
     """
@@ -48,8 +53,9 @@ def scan_dataset(samples: DataFrame, vectors: DataFrame | None = None, issues: D
     groups = written(duplicates.exact_groups(samples, "id", F.col("content"), "contributor"), "exact")
     parts = [_finding(groups, "exact_duplicate", "duplicate_flood", F.col("representative"), F.col("contributor"), F.col("severity"), F.lit(1.0), "DETERMINISTIC")]
     done, tables = ["duplicate_flood", "near_duplicate_flood"], {"exact": groups}
-    codes, tokens = duplicates.text_codes(samples, "id", "content")
-    pairs = written(duplicates.confirmed_pairs(duplicates.hamming_pairs(codes), tokens), "pairs")
+    if pairs is None:
+        codes, tokens = duplicates.text_codes(samples, "id", "content")
+        pairs = written(duplicates.confirmed_pairs(duplicates.hamming_pairs(codes), tokens), "pairs")
     clusters = written(duplicates.near_clusters(pairs), "near")
     tables["near"] = clusters
     parts.append(_finding(clusters, "near_duplicate", "near_duplicate_flood", F.col("component"), none, F.col("severity"), F.col("confidence"), "HEURISTIC_UNCALIBRATED"))
@@ -87,6 +93,59 @@ def scan_dataset(samples: DataFrame, vectors: DataFrame | None = None, issues: D
     return Report(found, fusion.merge_coverage(registry, spark.createDataFrame([(c, "SUPPORTED") for c in done], "attack_class string, coverage string")), tables)
 
 
+def image_pairs(features: DataFrame) -> DataFrame:
+    """features (id, phash, embedding) -> near pairs a, b, distance, cosine: hashes that meet, descriptors that confirm them."""
+    codes = features.select("id", F.shiftrightunsigned("phash", 32).alias("hi"), F.col("phash").bitwiseAND(F.lit(0xFFFFFFFF)).alias("lo"))
+    vector = F.transform("embedding", lambda x: x.cast("double"))
+    left, right = (features.select(F.col("id").alias(i), vector.alias(v)) for i, v in (("a", "va"), ("b", "vb")))
+    met = duplicates.hamming_pairs(codes).join(left, "a").join(right, "b")
+    cosine = dot(F.col("va"), F.col("vb")) / F.sqrt(dot(F.col("va"), F.col("va")) * dot(F.col("vb"), F.col("vb")))
+    return met.select("a", "b", "distance", cosine.alias("cosine")).where(F.col("cosine") >= duplicates.MIN_COSINE)
+
+
+def scan_images(spark: SparkSession, path: str, root: str | None = None, adapter: str | None = None, contributors: DataFrame | None = None, reference: DataFrame | None = None) -> Report:
+    """A scan of an annotated image collection from its files; root holds the images (else path), contributors (sample_id, contributor).
+
+    Files are measured and decoded; faults of files, declared sizes and boxes are issues; hashes and descriptors of whole
+    images give duplicates and outliers, and those of annotated objects are what labels are judged by, where there are any.
+    Asset names of findings are numbers; table `names` tells the samples.
+    """
+    adapter = adapter or datasets.choose_adapter(spark, path)
+    root = (root or path).rstrip("/") + ("/images" if adapter == "yolo" and root is None else "")
+    samples, issues = datasets.load(spark, path, adapter)
+    samples = written(running_total(samples, "sample_id", out="id"), "image-samples")
+    facts, faults = images.image_facts(spark, samples, root)
+    facts = written(facts, "image-facts")
+    sizes = facts.select(F.col("sample_id"), "width", "height").where("width IS NOT NULL")
+    declared = samples.select(F.col("sample_id").alias("id"), F.col("width").alias("declared_width"), F.col("height").alias("declared_height"))
+    wrong = populations.dimension_mismatches(declared, facts.withColumnRenamed("sample_id", "id"))
+    boxes = samples.select("sample_id", F.posexplode("boxes").alias("at", "b")).join(sizes, "sample_id").select("sample_id", "at", F.col("b.category").alias("label"), F.col("b.box").alias("box"), "width", "height")
+    if adapter == "yolo":
+        x1, y1, x2, y2 = (F.get("box", F.lit(i)) for i in range(4))
+        boxes = boxes.withColumn("box", F.array(x1 * F.col("width"), y1 * F.col("height"), x2 * F.col("width"), y2 * F.col("height")))
+    outside = boxes.withColumn("code", integrity.bbox_issue(F.col("box"), F.col("width"), F.col("height"))).where("code IS NOT NULL")
+    issues = issues.unionByName(faults).unionByName(wrong.select(F.lit("dimension_mismatch").alias("code"), F.col("id").alias("locator"), F.col("id").alias("sample_id")))
+    issues = issues.unionByName(outside.select("code", F.concat_ws(":", "sample_id", "at").alias("locator"), "sample_id"))
+    whole = images.pixels(spark, facts, root)
+    features = written(image_features(whole).where("valid").join(samples.select("sample_id", "id"), "sample_id"), "image-features")
+    crops = populations.object_crops(boxes.select(F.col("sample_id").alias("id"), F.col("at").cast("long").alias("annotation"), "label", "box", "width", "height")).withColumnRenamed("id", "sample_id")
+    objects = written(object_features(whole, crops), "image-objects")
+    who = contributors if contributors is not None else spark.createDataFrame([], "sample_id string, contributor string")
+    rows = samples.select("id", "sample_id").join(facts.select("sample_id", "file_sha256"), "sample_id").join(who.select("sample_id", "contributor"), "sample_id", "left").select("id", F.col("file_sha256").alias("content"), "contributor")
+    labels = samples.where(F.size("labels") > 0).select("id", F.col("labels")[0].alias("label"))
+    vector = F.transform("embedding", lambda x: x.cast("double")).alias("vector")
+    vectors = features.select("id", vector).join(labels, "id")
+    known = None if reference is None else samples.join(reference.select("sample_id"), "sample_id", "left_semi").select("id")
+    named = issues.withColumn("sample_id", F.col("sample_id").cast("string"))
+    report = scan_dataset(rows, vectors, named, known, written(image_pairs(features), "image-pairs"))
+    report.tables |= {"names": samples.select("id", "sample_id"), "facts": facts, "features": features, "issues": named, "objects": objects}
+    if not objects.isEmpty():
+        numbered = written(running_total(objects.withColumn("name", F.concat_ws(":", "sample_id", F.lpad(F.col("annotation").cast("string"), 12, "0"))), "name", out="id"), "image-units")
+        apart = numbered.join(samples.select("sample_id", F.col("id").alias("group")), "sample_id").select("id", "group")
+        report.tables["object_labels"] = neighbours.label_consistency(numbered.select("id", "label", vector), apart).join(numbered.select("id", "sample_id", "annotation"), "id")
+    return report
+
+
 def verify_log(spark: SparkSession, path: str, trust: DataFrame | None = None, anchors: DataFrame | None = None, observed: DataFrame | None = None, expected: DataFrame | None = None) -> Report:
     """Checks every record of a JSONL log: chain, replay, keys and expectations (by digest), with findings by failure code."""
     entries, bad = logs.read_log(spark, path)

@@ -138,14 +138,17 @@ def register_adapter(adapter: Adapter) -> None:
     ADAPTERS[adapter.name] = adapter
 
 
+def choose_adapter(spark: SparkSession, path: str) -> str:
+    """The only adapter that matches; none or several is an error."""
+    found = [a.name for _, a in sorted(ADAPTERS.items()) if a.matches(spark, path)]
+    if len(found) != 1:
+        raise ValueError(f"{path}: {'no adapter matches' if not found else 'several adapters match: ' + ', '.join(found)}")
+    return found[0]
+
+
 def load(spark: SparkSession, path: str, adapter: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Reads by the named adapter, or by the only one that matches; none or several is an error."""
-    if adapter is None:
-        found = [a.name for _, a in sorted(ADAPTERS.items()) if a.matches(spark, path)]
-        if len(found) != 1:
-            raise ValueError(f"{path}: {'no adapter matches' if not found else 'several adapters match: ' + ', '.join(found)}")
-        adapter = found[0]
-    return ADAPTERS[adapter].load(spark, path)
+    """Reads by the named adapter, or by the only one that matches."""
+    return ADAPTERS[adapter or choose_adapter(spark, path)].load(spark, path)
 
 
 def read_sidecar(spark: SparkSession, path: str) -> DataFrame:
