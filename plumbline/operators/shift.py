@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.statistics import js_bits
 from plumbline.operators.neighbours import moments
 from plumbline.operators.ranks import quantiles, running_total
+from plumbline.operators.relabelling import drawn_counts, relabelled_sums
 from plumbline.sources.shared import written
 
 ALPHA, PERMUTATIONS, LEAST_PERMUTATIONS, LEAST_ROWS, MOST_ROWS, MOVED = 0.01, 999, 99, 20, 400, 0.15
@@ -46,22 +47,17 @@ def psi_band(value: Column) -> Column:
     return F.when(value < 0.1, "stable").when(value < 0.25, "moderate").otherwise("major")
 
 
-#: Pooled rows that a task of the permutation test draws for at a time, about, and the most rows that can be drawn exactly.
-DRAWN_ROWS, MOST_DRAWN = 50_000, 1_000_000_000
-
-
-def drawn_counts(totals: np.ndarray, take: int, *seed: int) -> np.ndarray:
-    """How many of `take` rows, drawn without replacement, fall on each of groups of so many rows."""
-    return np.random.default_rng(seed).multivariate_hypergeometric(totals, take, method="marginals")
+#: Pooled rows that a task of the permutation test draws for at a time, about.
+DRAWN_ROWS = 50_000
 
 
 def psi_permutation_test(rows: DataFrame, bins: int = 10, count: int = 199, seed: int = 20260917) -> DataFrame:
     """rows (column, id, side, value) -> column, psi, as_large, p, q, significant.
 
     A random relabelling of the pooled rows is a draw of the reference's number of rows without replacement, so a replicate
-    is drawn from counts: first how many fall on each block of neighbouring values, the same in every task, then how many
+    is drawn from counts: first, once, how many fall on each block of neighbouring values, then in the block's task how many
     on each value of a block.  Nothing is sorted or copied for a replicate; each has its own edges.  Columns are corrected as
-    one family.  A column of more than MOST_DRAWN rows, or of fewer than LEAST_ROWS on a side, is left out.
+    one family.  A column of fewer than LEAST_ROWS on a side is left out; there is no upper bound.
     """
     import pyarrow as pa
 
@@ -69,7 +65,7 @@ def psi_permutation_test(rows: DataFrame, bins: int = 10, count: int = 199, seed
 
     rows = rows.where("value is not null and not isnan(value)").select("column", "side", F.col("value").cast("double").alias("value"))
     sizes = rows.groupBy("column").agg(F.count_if(F.expr("side = 'reference'")).alias("n"), F.count("*").alias("all"))
-    sizes = {r.column: (r.n, r["all"]) for r in sizes.collect() if min(r.n, r["all"] - r.n) >= LEAST_ROWS and r["all"] <= MOST_DRAWN}  # a row for each column
+    sizes = {r.column: (r.n, r["all"]) for r in sizes.collect() if min(r.n, r["all"] - r.n) >= LEAST_ROWS}  # a row for each column
     rows = rows.where(F.col("column").isin(list(sizes)))
     observed = psi(rows, bins).select("column", F.col("psi").alias("observed"))
     values = running_total(rows.groupBy("column", "value").agg(F.count("*").alias("k")), "value", "k", within="column")
@@ -78,25 +74,34 @@ def psi_permutation_test(rows: DataFrame, bins: int = 10, count: int = 199, seed
     for r in values.groupBy("column", "block").agg(F.sum("k").alias("k")).collect():  # a row for each DRAWN_ROWS rows
         totals[r.column][r.block] = r.k
     names = {c: i for i, c in enumerate(sorted(sizes))}
-    places = {c: sorted(t) for c, t in totals.items()}
-    shared = rows.sparkSession.sparkContext.broadcast({c: np.array([totals[c][b] for b in places[c]]) for c in names})
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast({c: (names[c], sizes[c][0], sorted(totals[c]), np.array([totals[c][b] for b in sorted(totals[c])])) for c in names})
+
+    def by_block(batches):
+        for batch in batches:
+            for column, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                name, take, blocks, sums = shared.value[column]
+                whole = drawn_counts(sums, take, seed, name, b)
+                before = np.cumsum(whole) - whole
+                yield pa.RecordBatch.from_arrays([pa.array([column] * len(blocks), pa.string()), pa.array(blocks, pa.int32()), pa.array([b] * len(blocks), pa.int32()), pa.array(before, pa.int64()), pa.array(whole, pa.int64())], ["column", "block", "replicate", "before", "take"])
+
+    tasks = spark.createDataFrame([(c,) for c in names], "column string").crossJoin(spark.range(count).select(F.col("id").cast("int").alias("replicate"))).repartition(spark.sparkContext.defaultParallelism, "column", "replicate")
+    shares = written(tasks.mapInArrow(by_block, "column string, block int, replicate int, before long, take long"), "block-shares")  # replicates rows for each DRAWN_ROWS rows
 
-    def draws(table: pa.Table):
+    def draws(table: pa.Table, share: pa.Table):
         """column, values in order, their counts, and for each replicate the drawn rows before the block and on each value."""
         column, block = table["column"][0].as_py(), table["block"][0].as_py()
         order = np.argsort(table["value"].to_numpy(), kind="stable")
         value, k = table["value"].to_numpy()[order], table["k"].to_numpy()[order]
-        at, take = places[column].index(block), sizes[column][0]
 
         def each():
-            for b in range(count):
-                whole = drawn_counts(shared.value[column], take, seed, names[column], b)
-                yield b, int(whole[:at].sum()), drawn_counts(k, int(whole[at]), seed, names[column], b, block + 1)
+            for b, before, take in zip(*(share[c].to_pylist() for c in ("replicate", "before", "take")), strict=True):
+                yield b, before, drawn_counts(k, take, seed, names[column], b, block + 1)
 
         return column, value, k, each()
 
-    def quantile_values(table: pa.Table) -> pa.Table:
-        column, value, _, each = draws(table)
+    def quantile_values(table: pa.Table, share: pa.Table) -> pa.Table:
+        column, value, _, each = draws(table, share)
         at = np.arange(bins + 1) / bins * (sizes[column][0] - 1)
         wanted = np.stack([np.floor(at), np.ceil(at)]).astype(np.int64)
         out: list[list] = [[], [], []]
@@ -108,7 +113,8 @@ def psi_permutation_test(rows: DataFrame, bins: int = 10, count: int = 199, seed
             out[2] += value[np.searchsorted(upto, wanted[inside], side="right")].tolist()
         return pa.table({"column": pa.array([column] * len(out[0]), pa.string()), "replicate": pa.array(out[0], pa.int32()), "place": pa.array(out[1], pa.int32()), "value": pa.array(out[2], pa.float64())})
 
-    found = values.groupBy("column", "block").applyInArrow(quantile_values, "column string, replicate int, place int, value double")
+    dealt = values.groupBy("column", "block").cogroup(shares.groupBy("column", "block"))
+    found = dealt.applyInArrow(quantile_values, "column string, replicate int, place int, value double")
     ends = {c: np.zeros((count, 2, bins + 1)) for c in names}
     for r in found.collect():  # a few numbers for each replicate
         ends[r.column][r.replicate, r.place // (bins + 1), r.place % (bins + 1)] = r.value
@@ -118,8 +124,8 @@ def psi_permutation_test(rows: DataFrame, bins: int = 10, count: int = 199, seed
         inner[c] = np.where(low == high, low, (np.ceil(at) - at) * low + (at - np.floor(at)) * high)
     edges = rows.sparkSession.sparkContext.broadcast({c: [np.unique(q) for q in e] for c, e in inner.items()})
 
-    def bin_counts(table: pa.Table) -> pa.Table:
-        column, value, k, each = draws(table)
+    def bin_counts(table: pa.Table, share: pa.Table) -> pa.Table:
+        column, value, k, each = draws(table, share)
         out: list[list] = [[], [], [], []]
         for b, _, drawn in each:
             own = edges.value[column][b]
@@ -132,7 +138,7 @@ def psi_permutation_test(rows: DataFrame, bins: int = 10, count: int = 199, seed
             out[1] += range(len(own) - 1)
         return pa.table({"column": pa.array([column] * len(out[0]), pa.string()), **{n: pa.array(x, pa.int64()) for n, x in zip(("replicate", "bin", "r", "c"), out, strict=True)}})
 
-    parts = values.groupBy("column", "block").applyInArrow(bin_counts, "column string, replicate long, bin long, r long, c long")
+    parts = dealt.applyInArrow(bin_counts, "column string, replicate long, bin long, r long, c long")
     total = Window.partitionBy("column", "replicate")
     full = parts.groupBy("column", "replicate", "bin").agg(F.sum("r").alias("r"), F.sum("c").alias("c")).withColumn("nr", F.sum("r").over(total)).withColumn("nc", F.sum("c").over(total))
     p, q = (F.greatest(F.col(k) / F.col(n), 1 / (2 * F.col(n))) for k, n in (("r", "nr"), ("c", "nc")))
@@ -169,11 +175,19 @@ def permuted_sides(ids: DataFrame, n: int, count: int, seed: str) -> DataFrame:
 
 
 def categorical_permutation_test(rows: DataFrame, count: int = 199, seed: str = "shift") -> DataFrame:
-    """rows (id, side, category) -> the observed divergence, and p = (replicates as large + 1) / (count + 1)."""
-    observed = categorical_js(rows)
-    n = observed.select("n_reference").first()[0]
-    moved = permuted_sides(rows.select("id", "category"), n, count, seed)
-    counts = moved.groupBy("replicate", "category").agg(F.count_if(F.expr("side = 'reference'")).alias("r"), F.count_if(F.expr("side = 'current'")).alias("c"))
+    """rows (id, side, category) -> the observed divergence, and p = (replicates as large + 1) / (count + 1).
+
+    Replicates come from relabelled_sums(): rows are counted by category for all of them in one pass.
+    """
+    observed = written(categorical_js(rows), "js")
+    sizes = observed.select("n_reference", "n_current").first()
+    n = sizes.n_reference if sizes else 0
+    pool = rows.select("id", F.col("category").cast("string").alias("label"), F.array().cast("array<double>").alias("x"))
+    drawn = relabelled_sums(pool, n, n + (sizes.n_current if sizes else 0), count, seed).where("at = 0").select("replicate", F.col("label").alias("category"), F.col("value").cast("long").alias("r"))
+    whole = rows.groupBy(F.col("category").cast("string").alias("category")).agg(F.count("*").alias("k"))
+    every = whole.crossJoin(rows.sparkSession.range(1, count + 1).select(F.col("id").cast("int").alias("replicate")))  # categories and replicates
+    same = (every.replicate == drawn.replicate) & every.category.eqNullSafe(drawn.category)
+    counts = every.join(drawn, same, "left").select(every.replicate, every.category, F.coalesce("r", F.lit(0)).alias("r"), (F.col("k") - F.coalesce("r", F.lit(0))).alias("c"))
     total = Window.partitionBy("replicate")
     parts = counts.withColumn("nr", F.sum("r").over(total)).withColumn("nc", F.sum("c").over(total))
     null = parts.groupBy("replicate").agg(F.round(F.sum(js_bits(F.col("r") / F.col("nr"), F.col("c") / F.col("nc"))), 9).alias("null_js"))
@@ -272,11 +286,14 @@ def covariance_shift(rows: DataFrame, components: int = 8, count: int = 199, see
 
     pool = written(pool.mapInArrow(project, f"id {rows.schema['id'].dataType.simpleString()}, held boolean, z array<double>"), "pool")
     z = [F.get("z", F.lit(i)) for i in range(components)]
-    sums = [F.sum(x) for x in (F.lit(1.0), *z, *(z[i] * z[j] for i in range(components) for j in range(i, components)))]
+    terms = [F.lit(1.0), *z, *(z[i] * z[j] for i in range(components) for j in range(i, components))]
     held = n - n // 2
-    drawn = permuted_sides(pool, held, count, f"covariance {seed}").where("side = 'reference'").select("replicate", "z")
-    drawn = drawn.union(pool.where("held").select(F.lit(0), "z")).union(pool.select(F.lit(-1), "z"))
-    got = {r[0]: np.array(r[1:], float) for r in drawn.groupBy("replicate").agg(*sums).collect()}
+    drawn = relabelled_sums(pool.select("id", F.lit(None).cast("string").alias("label"), F.array(*terms).alias("x")), held, held + m, count, f"covariance {seed}")
+    got = {b: np.zeros(len(terms)) for b in range(1, count + 1)}
+    for r in drawn.where(F.col("at") < len(terms)).collect():  # sums for each replicate
+        got[r.replicate][r.at] = r.value
+    for b, part in ((0, pool.where("held")), (-1, pool)):
+        got[b] = np.array(part.agg(*(F.sum(x) for x in terms)).first(), float)
 
     def log_det(s: np.ndarray) -> float:
         cov = np.zeros((components, components))
