@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import findings as fi
-from plumbline.operators import assessment, contributors, duplicates, fusion, integrity, neighbours, populations, provenance
+from plumbline.functions import signatures
+from plumbline.operators import assessment, contributors, duplicates, fusion, integrity, neighbours, populations, provenance, records
 from plumbline.functions.statistics import dot
 from plumbline.operators.features import image_features, object_features
 from plumbline.operators.outliers import combined_outliers
@@ -146,18 +147,32 @@ def scan_images(spark: SparkSession, path: str, root: str | None = None, adapter
     return report
 
 
-def verify_log(spark: SparkSession, path: str, trust: DataFrame | None = None, anchors: DataFrame | None = None, observed: DataFrame | None = None, expected: DataFrame | None = None) -> Report:
-    """Checks every record of a JSONL log: chain, replay, keys and expectations (by digest), with findings by failure code."""
+def verify_log(spark: SparkSession, path: str, trust: DataFrame | None = None, anchors: DataFrame | None = None, observed: DataFrame | None = None, expected: DataFrame | None = None, whole: bool = False) -> Report:
+    """Checks every record of a JSONL log: chain, replay, keys and expectations (by digest), with findings by failure code.
+
+    whole: records are sealed, that is, entries point to the canonical digest of the one before, ids follow from contents, and
+    signatures are over the canonical record; then identity, self-consistency, required fields, signatures and the authority
+    of keys are checked besides.
+    """
     entries, bad = logs.read_log(spark, path)
-    rows = written(logs.flat(entries), "records")
+    rows = written(logs.sealed(entries) if whole else logs.flat(entries), "records")
     links = written(provenance.chain_links(rows), "links")
     key = "digest"
-    checks = provenance.chain_checks(links, key).unionByName(provenance.key_checks(rows, trust, key))
+    checks = provenance.chain_checks(links, key)
+    if whole:
+        sound = rows.where("fault IS NULL")
+        for more in (records.record_checks(sound, key), records.authority_checks(sound, trust, key), signatures.signature_checks(sound, key, F.col("payload"))):
+            checks = checks.unionByName(more)
+        broken_form = rows.where("fault IS NOT NULL").select(key, F.lit("canonical_form").alias("check"), F.lit("FAIL").alias("outcome"), F.lit("MALFORMED_RECORD").alias("failure"))
+        checks = checks.unionByName(broken_form)
+    else:
+        checks = checks.unionByName(provenance.key_checks(rows, trust, key))
     checks = checks.unionByName(provenance.replay_checks(provenance.replay_verdicts(rows.withColumn("seen", F.col("line")), observed), key))
     if expected is not None:
         checks = checks.unionByName(provenance.expectation_checks(rows, expected, key))
     unread = F.when(~F.col("schema_supported"), "UNSUPPORTED_SCHEMA")
-    checks = checks.unionByName(rows.select(key, F.lit("schema_supported").alias("check"), F.when(F.col("schema_supported"), "PASS").otherwise("FAIL").alias("outcome"), unread.alias("failure")))
+    if not whole:
+        checks = checks.unionByName(rows.select(key, F.lit("schema_supported").alias("check"), F.when(F.col("schema_supported"), "PASS").otherwise("FAIL").alias("outcome"), unread.alias("failure")))
     checks = written(checks, "checks")
     failures = provenance.failure_findings(checks, key, trust is not None)
     found = failures.select(

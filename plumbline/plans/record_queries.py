@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import findings as fi
+from plumbline.functions.canonical import canonical
 from plumbline.operators import evaluation, model_files, models, populations, records
 from plumbline.plans.assurance_queries import _STATS_SQL, tensors
 from plumbline.plans.dataset_queries import _QUALITY_SQL, _quality_scores, disposition_sql, table
@@ -326,3 +327,28 @@ def scenario_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def pooled_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.pooled_calibration(_quality_scores(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("attack_class")), "doc_id"))
+
+
+# ---------------------------------------------------------------- canonical forms
+
+
+@register(
+    "canonical_digests",
+    """
+    WITH e AS (
+        SELECT event_id, event_id % 10 = 3 AS as_float, event_id % 17 = 4 AS twice, CAST(round_even(value * 100, 0) AS BIGINT) AS cents,
+               '{"cents":' || CAST(CAST(round_even(value * 100, 0) AS BIGINT) AS VARCHAR) || ',"id":' || event_id || ',"who":{"kind":"' || event_type || '","user":' || user_id || '}}' AS text
+        FROM events WHERE event_id IS NOT NULL AND user_id IS NOT NULL AND event_type IS NOT NULL AND value IS NOT NULL
+    )
+    SELECT event_id, CASE WHEN as_float THEN 'FLOAT' WHEN twice THEN 'REPEATED_KEY' END AS fault, CASE WHEN NOT as_float AND NOT twice THEN sha256(text) END AS digest FROM e
+    """,
+)
+def canonical_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON in another order and with spaces: digests of their canonical texts, or why there is none."""
+    e = table(spark, sf_dir, "events").where("event_id IS NOT NULL AND user_id IS NOT NULL AND event_type IS NOT NULL AND value IS NOT NULL")
+    cents = F.bround(F.col("value") * 100).cast("long").cast("string")
+    amount = F.when(F.col("event_id") % 10 == 3, F.lit("1.5")).otherwise(cents)
+    again = F.when(F.col("event_id") % 17 == 4, F.lit(', "cents": 1')).otherwise(F.lit(""))
+    raw = F.concat(F.lit('{ "who": {"user": '), F.col("user_id"), F.lit(', "kind": "'), F.col("event_type"), F.lit('"}, "id": '), F.col("event_id"), F.lit(', "cents": '), amount, again, F.lit(" }"))
+    rows = e.select("event_id", canonical(raw).alias("c"))
+    return rows.select("event_id", "c.fault", fi.sha256(F.col("c.text")).alias("digest"))

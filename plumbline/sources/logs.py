@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.canonical import canonical_parts
+from plumbline.functions.findings import sha256
 from plumbline.sources.shared import written
 
 # Fields of a signed record, and the schema versions that are understood.
@@ -49,8 +51,8 @@ def read_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return parsed_lines(numbered_lines(spark.read.text(path)))
 
 
-def flat(entries: DataFrame) -> DataFrame:
-    """Entries as rows for verification; the digest is worked out from the line's content, never read from it."""
+def flat(entries: DataFrame, *more: Column) -> DataFrame:
+    """Entries as rows for verification, and more columns; the digest is worked out from the line's content, never read from it."""
     r = "record."
     return entries.select(
         F.col(r + "sequence.log_id").alias("log_id"), F.col("line").cast("long").alias("line"), F.col(r + "sequence.sequence_number").alias("sequence"), F.sha2(F.col("raw").cast("binary"), 256).alias("digest"), F.col(r + "sequence.previous_record_digest").alias("previous"),
@@ -58,10 +60,33 @@ def flat(entries: DataFrame) -> DataFrame:
         F.sha2(F.concat_ws("|", r + "input.raw_input_digest", r + "model.file_sha256", r + "preprocessing.digest", r + "inference.digest").cast("binary"), 256).alias("subject"),
         F.col(r + "schema_version").isin(*SUPPORTED_VERSIONS).alias("schema_supported"), F.col(r + "record_id").alias("record_id"), F.col(r + "timestamp").alias("timestamp"),
         F.col(r + "input.raw_input_digest").alias("raw_input_digest"), F.col(r + "input.normalized_input_digest").alias("normalized_input_digest"), F.col(r + "model.file_sha256").alias("model_file_sha256"), F.col(r + "model.graph_digest").alias("model_graph_digest"),
-        F.col(r + "model.parameter_digest").alias("model_parameter_digest"), F.col(r + "model.model_id").alias("model_id"), F.col(r + "preprocessing.digest").alias("preprocessing_digest"), F.col(r + "inference.digest").alias("inference_digest"), F.col(r + "output.digest").alias("output_digest"),
+        F.col(r + "model.parameter_digest").alias("model_parameter_digest"), F.col(r + "model.model_id").alias("model_id"), F.col(r + "preprocessing.digest").alias("preprocessing_digest"), F.col(r + "inference.digest").alias("inference_digest"), F.col(r + "output.digest").alias("output_digest"), *more,
     )
 
 
+#: Parts of an entry whose canonical texts are digested.
+SEALED = {
+    "payload": "record", "unsigned": ("record", "record_id"), "entry": "", "preprocessing_content": "record.preprocessing.config", "inference_content": "record.inference.config", "output_content": "record.output.output",
+}
+
+
+def sealed(entries: DataFrame) -> DataFrame:
+    """flat() with the digest of the canonical entry, and what checks of records, signatures and keys read.
+
+    An entry without a canonical form has a fault, and a digest of its bytes, which no pointer names.
+    """
+    c = canonical_parts(F.col("raw"), SEALED)
+    marked = entries.withColumn("c", c)
+    hex_key = F.unhex(F.col("public_key"))
+    rows = flat(
+        marked,
+        F.col("c.*"), F.col("record.schema_version").alias("schema_version"), F.col("signature.algorithm").alias("algorithm"), F.col("signature.public_key").alias("public_key"), F.col("signature.signature").alias("signature"),
+    )
+    short = F.concat(F.lit("PR-"), F.substring(sha256(F.col("unsigned")), 1, 16))
+    rows = rows.withColumn("content_digest", short).withColumn("digest", F.when(F.col("fault").isNull(), sha256(F.col("entry"))).otherwise(F.col("digest")))
+    return rows.withColumn("key_id_consistent", F.coalesce(F.sha2(hex_key, 256) == F.col("key_id"), F.lit(False))).drop("unsigned", "entry")
+
+
 def append(entries: DataFrame, head: DataFrame | None, path: str) -> None:
     """Appends raw lines (line, raw, log_id, sequence, previous, digest) to a log; refuses a wrong number or back-pointer.
 
