@@ -299,21 +299,31 @@ def learn(texts: list[str]) -> dict | None:
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> dict | None:
-    """The tagger, from FIT_ROWS texts with digits or at signs, half of them with more signs of personal data, in hash order.
+    """The tagger, from FIT_ROWS texts with digits or at signs, half of them with more signs of personal data, in hash order; copies count once.
 
     It is fitted in one task of an executor; only its parameters (some 60 KB) come to the driver.
     """
     text = docs[text_col].cast("string")
     rows = docs.select(text.alias("text")).where((F.octet_length("text") <= FIT_LONGEST) & F.col("text").rlike("[0-9@]"))
-    marked = F.col("text").rlike(r"[A-Za-z0-9]@[A-Za-z0-9-]+\.|[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]|[0-9]{12}|\+[0-9]").alias("marked")
-    order = [F.xxhash64("text"), F.col("text")]
-    parts = [rows.select("text", marked).where(F.col("marked") if m else ~F.col("marked")).orderBy(*order).limit(FIT_ROWS // 2) for m in (True, False)]
+    marked = F.col("text").rlike(r"[A-Za-z0-9]@[A-Za-z0-9-]+\.|[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]|[0-9]{12}|\+[0-9]")
+    rows = rows.select("text", marked.alias("marked"), F.xxhash64("text").alias("hash"))
+    kinds = rows.groupBy("marked").agg(F.approx_count_distinct("hash").alias("n")).collect()  # two rows
+    order = [F.col("hash"), F.col("text")]
+    picked = None
+    for kind in kinds:
+        # Few more than are taken pass by their hash, and copies are one, so that tasks have little to send.
+        share = min(1.0, 2 * FIT_ROWS / max(kind.n, 1))
+        some = rows.where((F.col("marked") == kind.marked) & (F.pmod("hash", F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))).groupBy("hash", "text").agg(F.count("*").alias("copies"))
+        some = some.orderBy(*order).limit(FIT_ROWS // 2).select("hash", "text")
+        picked = some if picked is None else picked.unionByName(some)
+    if picked is None:
+        return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [t for batch in batches for t in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn(texts))], pa.binary())], ["model"])
 
-    found = parts[0].unionByName(parts[1]).repartition(1).sortWithinPartitions(*order).select("text").mapInArrow(run, "model binary").first()
+    found = picked.repartition(1).sortWithinPartitions(*order).select("text").mapInArrow(run, "model binary").first()
     return pickle.loads(bytes(found[0])) if found else None
 
 
