@@ -1,6 +1,7 @@
 """Command line: python -m plumbline WHAT …
 
-version, queries, query NAME DIR; dataset scan | manifest | verify; provenance verify-log | anchors; trust apply; shift psi.
+version, queries, query NAME DIR; dataset scan | images | manifest | verify; model assess | digests; provenance verify-log | anchors;
+trust apply; shift psi.
 Tables are Parquet folders; results are shown, or written where --out names a folder.
 """
 
@@ -37,23 +38,30 @@ def main(args: list[str] | None = None) -> int:
     query.add_argument("directory")
     query.add_argument("--out")
     dataset = sub.add_parser("dataset")
-    dataset.add_argument("action", choices=["scan", "manifest", "verify"])
-    dataset.add_argument("path", help="table with id, content, contributor")
+    dataset.add_argument("action", choices=["scan", "images", "manifest", "verify"])
+    dataset.add_argument("path", help="table with id, content, contributor; of images, their annotations or folder")
+    dataset.add_argument("--root", help="folder of the images, where it is not the path")
     dataset.add_argument("--vectors", help="table with id, label, vector")
     dataset.add_argument("--reference", help="JSON list of the ids of a trusted reference")
     dataset.add_argument("--manifest", help="table that dataset manifest has written")
+    model = sub.add_parser("model")
+    model.add_argument("action", choices=["assess", "digests"])
+    model.add_argument("path", help="a stored model, or for digests a folder of them")
+    model.add_argument("--reference", help="a stored model that is trusted")
+    model.add_argument("--black-box", action="store_true", help="look at nothing but the file's bytes and its behaviour")
     log = sub.add_parser("provenance")
     log.add_argument("action", choices=["verify-log", "anchors"])
     log.add_argument("path")
     log.add_argument("--trust", help="table of keys that trust apply has written")
     log.add_argument("--anchors", help="table that provenance anchors has written")
+    log.add_argument("--whole", action="store_true", help="records are sealed: check their identity, digests and signatures too")
     trust = sub.add_parser("trust")
     trust.add_argument("action", choices=["apply"])
     trust.add_argument("path", help="table of decisions")
     shift = sub.add_parser("shift")
     shift.add_argument("action", choices=["psi"])
     shift.add_argument("path", help="table with column, side, value")
-    for command in (dataset, log, trust, shift):
+    for command in (dataset, model, log, trust, shift):
         command.add_argument("--out")
     got = parser.parse_args(args)
     if got.what == "version":
@@ -71,6 +79,7 @@ def main(args: list[str] | None = None) -> int:
         df = registry.queries()[got.name](spark, got.directory)
         df.write.mode("overwrite").parquet(got.out) if got.out else df.show(50, truncate=False)
         return 0
+
     def read(path: str | None):
         return None if path is None else spark.read.parquet(path)
 
@@ -82,6 +91,14 @@ def main(args: list[str] | None = None) -> int:
         from plumbline.operators.shift import psi
 
         return give(psi(read(got.path)))
+    if got.what == "model":
+        from plumbline.plans import model_pipeline
+
+        if got.action == "digests":
+            return give(model_pipeline.measure(spark, got.path)["digests"])
+        return _show(model_pipeline.assess_model(spark, got.path, got.reference, white_box=not got.black_box), got.out)
+    if got.what == "dataset" and got.action == "images":
+        return _show(pipelines.scan_images(spark, got.path, got.root), got.out)
     if got.what == "trust":
         from plumbline.operators.records import apply_decisions
 
@@ -106,7 +123,7 @@ def main(args: list[str] | None = None) -> int:
         from plumbline.sources import logs
 
         return give(provenance.build_anchors(provenance.chain_links(logs.flat(logs.read_log(spark, got.path)[0]))))
-    return _show(pipelines.verify_log(spark, got.path, read(got.trust), read(got.anchors)), got.out)
+    return _show(pipelines.verify_log(spark, got.path, read(got.trust), read(got.anchors), whole=got.whole), got.out)
 
 
 if __name__ == "__main__":

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from plumbline.__main__ import main
 from plumbline.plans import pipelines
 from plumbline.plans.model_pipeline import assess_model
 from plumbline.sources import model_files
@@ -92,3 +93,12 @@ def test_a_path_without_a_model_is_an_error(spark, tmp_path):
     (tmp_path / "x.txt").write_text("")
     with pytest.raises(ValueError, match="no model"):
         assess_model(spark, str(tmp_path))
+
+
+def test_commands(spark, tmp_path, capsys):
+    path = write(spark, tmp_path / "a")
+    session = spark.conf.get("spark.checkpoint.dir")
+    assert main(["model", "digests", path]) == 0 and "READ" in capsys.readouterr().out
+    assert main(["model", "assess", path, "--reference", path, "--out", str(tmp_path / "report")]) == 0
+    assert spark.read.json(str(tmp_path / "report" / "coverage")).count() == 3
+    assert spark.conf.get("spark.checkpoint.dir") == session
