@@ -245,6 +245,26 @@ def test_mix_repeats_rows(spark):
     assert mixing.mix_report(docs(spark, [])).collect() == []
 
 
+def test_mix_does_not_depend_on_the_order_of_rows(spark):
+    rng = random.Random(12)
+    rows = [(None, prose(rng, 100 + i % 3), "a") for i in range(41)] + [(7, prose(rng, 60 + i % 2), "a") for i in range(20)] + [(i, prose(rng, 80), "b") for i in range(60)]
+    takes = []
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        frame = docs(spark, rows).repartition(seed + 1)
+        takes.append((sorted(map(tuple, mixing.mix_report(frame).collect()), key=repr), sorted(map(tuple, mixing.mix(frame).collect()), key=repr)))
+    assert takes[0] == takes[1] == takes[2]
+
+
+def test_mix_cells_split_ids_of_one_remainder_and_null_ids(spark):
+    frame = spark.range(4000).select((F.col("id") * 4096).alias("doc_id"), F.lit("s").alias("source"), F.col("id").cast("string").alias("text"))
+    for rows in (frame, frame.withColumn("doc_id", F.lit(None).cast("long"))):
+        cells = mixing.with_cells(rows, F.lit(1), mixing.digest("text"), 2).groupBy(*mixing.CELL).count()
+        assert cells.count() == 256 and cells.agg(F.max("count")).first()[0] < 60
+    assert mixing.cell_digits(10**5) == 2 and mixing.cell_digits(10**11) == 3
+
+
+
 # ---------------------------------------------------------------- lines
 
 
