@@ -1,9 +1,8 @@
-"""Structured Streaming forms: replay and chain checks with state, and drift of windows against a reference."""
+"""Structured Streaming forms: chain checks with state, and drift of windows against a reference (replay: replay.py)."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,7 +12,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from plumbline.functions.statistics import js_bits
 
 LINKS = "log_id string, line long, sequence long, digest string, link string, in_sequence boolean"
-CLAIMS = "seen long, kind string, prior long"
 
 
 def check_links(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -43,45 +41,6 @@ def verify_stream(records: DataFrame) -> DataFrame:
     return records.groupBy("log_id").applyInPandasWithState(check_links, LINKS, "last string, expected long", "append", GroupStateTimeout.NoTimeout)
 
 
-def claims_of(records: DataFrame) -> DataFrame:
-    """records (seen, digest, key_id, nonce, log_id, sequence) -> a row (kind, claim, seen) for each thing that a record may be the only one to have."""
-    sure = lambda kind, *parts: F.when(reduce(lambda a, b: a & b, (F.col(p).isNotNull() for p in parts)), F.struct(F.lit(kind).alias("kind"), F.to_json(F.struct(*parts)).alias("claim")))
-    kinds = F.array(sure("REPLAY_EXACT", "digest"), sure("NONCE_REUSE", "key_id", "nonce"), sure("SEQUENCE_COLLISION", "log_id", "sequence"))
-    return records.select("seen", F.explode(F.array_compact(kinds)).alias("c")).select("seen", "c.kind", "c.claim")
-
-
-def replay_stream(records: DataFrame, keep_ms: int | None = None) -> DataFrame:
-    """A stream of records -> for each of its claims, the last record before it that made the same one (prior), or null.
-
-    State: one number for each digest, nonce and slot, so logs share no list and none is cut.  It is kept for good, or for
-    keep_ms of processing time after the last use where a retention is declared.
-    """
-
-    def remember(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        seen = pd.concat([b["seen"] for b in batches]).sort_values(ignore_index=True).astype("Int64")
-        prior = seen.shift(1)
-        if state.exists:
-            prior[0] = state.get[0]
-        state.update((int(seen.iloc[-1]),))
-        if keep_ms is not None:
-            state.setTimeoutDuration(keep_ms)
-        yield pd.DataFrame({"seen": seen, "kind": key[0], "prior": prior})
-
-    timeout = GroupStateTimeout.NoTimeout if keep_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return claims_of(records).groupBy("kind", "claim").applyInPandasWithState(remember, CLAIMS, "last long", "append", timeout)
-
-
-def replay_answers(claims: DataFrame) -> DataFrame:
-    """What replay_stream() has written -> seen, verdict, prior: the first kind of claim that was made before decides."""
-    kinds = ("REPLAY_EXACT", "NONCE_REUSE", "SEQUENCE_COLLISION")
-    priors = [F.max(F.when(F.col("kind") == k, F.col("prior"))).alias(k) for k in kinds]
-    verdict = F.coalesce(*(F.when(F.col(k).isNotNull(), k) for k in kinds), F.lit("FIRST_OBSERVATION"))
-    return claims.groupBy("seen").agg(*priors).select("seen", verdict.alias("verdict"), F.coalesce(*kinds).alias("prior"))
-
-
 def distinct_records(records: DataFrame, time: str = "ts", delay: str = "1 day") -> DataFrame:
     """Drops exact repeats within a watermark: the retention that is declared for replays."""
     return records.withWatermark(time, delay).dropDuplicatesWithinWatermark(["log_id", "digest"])

@@ -9,7 +9,7 @@ from plumbline.__main__ import main
 from plumbline.functions.statistics import binomial_tail
 from plumbline.operators import evaluation, model_files, populations, ranks, records, shift
 from plumbline.sources import logs
-from plumbline.streaming import monitors
+from plumbline.streaming import replay
 
 DECISION = "seq long, operation string, key_id string, fingerprint string, reason string, at string, valid_from string, valid_until string, purpose string"
 
@@ -91,7 +91,7 @@ def test_binomial_tails_of_very_many_trials(spark):
 
 def test_claims_tell_nulls_apart(spark):
     rows = spark.createDataFrame([(1, "d", None, "n", "l", 0)], "seen long, digest string, key_id string, nonce string, log_id string, sequence long")
-    assert {r.kind for r in monitors.claims_of(rows).collect()} == {"REPLAY_EXACT", "SEQUENCE_COLLISION"}
+    assert {r.kind for r in replay.claims_of(rows).collect()} == {"REPLAY_EXACT", "SEQUENCE_COLLISION"}
 
 
 def test_reports_and_reference_lists(spark, tmp_path):
