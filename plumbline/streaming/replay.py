@@ -2,8 +2,9 @@
 
 A record claims its digest, its nonce under a key, its slot of a log and its subject.  Claims are dealt by hash to buckets; a
 bucket is one state group with a map from claim to the record that made it last, so a micro-batch calls Python once
-for each bucket instead of once for each claim, and the state store holds and expires entries one by one.  With a retention an
-entry goes that long after its last use; an answer of "not seen before" then holds only within the retention.
+for each bucket instead of once for each claim, and the state store reads and writes entries one by one.  With a retention an
+entry counts that long (processing time) after its last use; a bucket that gets rows drops what is older once a retention.
+An answer of "not seen before" then holds only within the retention.
 
 A micro-batch's rows of one bucket are in memory together: bound them by the source's rate (maxFilesPerTrigger and the like)
 and the number of buckets.  Null parts make no claim; rows of one `seen` are answered in any order.
@@ -11,6 +12,7 @@ and the number of buckets.  Null parts make no claim; rows of one `seen` are ans
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import reduce
@@ -46,19 +48,34 @@ class Memory(StatefulProcessor):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getMapState("last", "kind string, claim string", "seen long", self.keep_ms)
+        self.last = handle.getMapState("last", "kind string, claim string", "seen long, used long")
+        self.swept = handle.getValueState("swept", "at long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now = time.time_ns() // 1_000_000
+        if self.keep_ms is not None:
+            self.sweep(now)
         shown = pd.concat(list(rows), ignore_index=True).sort_values("seen", ignore_index=True, kind="stable")
         claims = ["kind", "claim"]
         shown["prior"] = shown.groupby(claims)["seen"].shift(1).astype("Int64")
         heads, tails = ~shown.duplicated(claims), ~shown.duplicated(claims, keep="last")
         priors = [self.last.getValue(claim) for claim in shown.loc[heads, claims].itertuples(index=False, name=None)]
-        shown.loc[heads, "prior"] = pd.array([p[0] if p is not None else None for p in priors], dtype="Int64")
+        shown.loc[heads, "prior"] = pd.array([p[0] if p is not None and self.lives(p[1], now) else None for p in priors], dtype="Int64")
         for kind, claim, seen in shown.loc[tails, [*claims, "seen"]].itertuples(index=False, name=None):
-            self.last.updateValue((kind, claim), (int(seen),))
+            self.last.updateValue((kind, claim), (int(seen), now))
         yield shown[["seen", "kind", "prior"]]
 
+    def sweep(self, now: int) -> None:
+        """Once a retention, drops the entries that are older."""
+        before = self.swept.get()
+        if before is None or now - before[0] >= self.keep_ms:
+            for claim in [claim for claim, (_, used) in self.last.iterator() if not self.lives(used, now)]:
+                self.last.removeKey(claim)
+            self.swept.update((now,))
+
+    def lives(self, used: int, now: int) -> bool:
+        return self.keep_ms is None or now - used < self.keep_ms
+
     def close(self) -> None:
         pass
 
@@ -82,8 +99,7 @@ def replay_stream(records: DataFrame, keep_ms: int | None = None, buckets: int =
     """
     bucket = F.pmod(F.xxhash64("kind", "claim"), F.lit(buckets)).cast("int").alias("bucket")
     claims = claims_of(records).select(bucket, "seen", "kind", "claim")
-    mode = "None" if keep_ms is None else "ProcessingTime"
-    return claims.groupBy("bucket").transformWithStateInPandas(Memory(keep_ms), ANSWERS, "Append", mode)
+    return claims.groupBy("bucket").transformWithStateInPandas(Memory(keep_ms), ANSWERS, "Append", "None")
 
 
 def replay_answers(claims: DataFrame) -> DataFrame:
