@@ -56,7 +56,7 @@ def scan_dataset(samples: DataFrame, vectors: DataFrame | None = None, issues: D
     done, tables = ["duplicate_flood", "near_duplicate_flood"], {"exact": groups}
     if pairs is None:
         codes, tokens = duplicates.text_codes(samples, "id", "content")
-        pairs = written(duplicates.confirmed_pairs(duplicates.hamming_pairs(codes), tokens), "pairs")
+        pairs = written(duplicates.near_pairs(codes, tokens), "pairs")
     clusters = written(duplicates.near_clusters(pairs), "near")
     tables["near"] = clusters
     parts.append(_finding(clusters, "near_duplicate", "near_duplicate_flood", F.col("component"), none, F.col("severity"), F.col("confidence"), "HEURISTIC_UNCALIBRATED"))
