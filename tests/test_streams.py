@@ -5,6 +5,7 @@ import math
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +145,55 @@ def test_windows_without_values(spark, moved):
     inside = some.select(F.kll_sketch_get_rank_double("value", F.lit(2.0))).first()[0]
     want = (inside - 1) * math.log(inside) + (1 - inside - 1 / 18) * math.log((1 - inside) * 18)  # one distinct value is one edge
     assert windows.sketch_drift(some, one, ["value"]).first().psi == pytest.approx(want, abs=1e-8)
+
+
+def test_replay_touches_slots_not_claims_and_widens_them(spark, tmp_path, monkeypatch):
+    class Map(dict):
+        calls = 0
+
+        def getValue(self, key):
+            Map.calls += 1
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            Map.calls += 1
+            self[key] = value
+
+        def iterator(self):
+            return iter(list(self.items()))
+
+        def removeKey(self, key):
+            del self[key]
+
+    class Value:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    class Handle:
+        def getMapState(self, *_):
+            return Map()
+
+        def getValueState(self, *_):
+            return Value()
+
+    memory, rng, last, size = replay.Memory(), random.Random(9), {}, 0
+    memory.init(Handle())
+    for batch in range(6):
+        rows = [(1_000_000 * batch + i, "REPLAY_EXACT", rng.randint(0, 60_000).to_bytes(2, "little") * 8) for i in range(20_000)]
+        want = {}
+        for seen, _, mark in rows:
+            want[seen] = last.get(mark)
+            last[mark] = seen
+        rng.shuffle(rows)
+        Map.calls = 0
+        parts = [pd.DataFrame(rows[i : i + 7000], columns=["seen", "kind", "mark"]) for i in range(0, len(rows), 7000)]
+        got = pd.concat(memory.handleInputRows((0,), iter(parts), None))
+        assert {r.seen: None if pd.isna(r.prior) else r.prior for r in got.itertuples()} == want
+        assert Map.calls < 2000
+        assert memory.shape.get()[1] == len(last) == sum(len(v[0]) // replay.CLAIM.itemsize for _, v in memory.slots.iterator())
+    assert memory.shape.get()[0] > 64
