@@ -18,7 +18,8 @@ from plumbline.functions.statistics import dot
 from plumbline.operators.ranks import running_total
 from plumbline.sources.shared import written
 
-BLOCK_ROWS = 4096
+#: Points that meet a tile of queries at a time, queries of a tile, and numbers of a block of either side.
+BLOCK_ROWS, TILE_ROWS, CELL_NUMBERS = 4096, 512, 4_000_000
 
 
 def _rows(table: pa.Table, id_col: str, vector: str) -> tuple[np.ndarray, np.ndarray]:
@@ -34,47 +35,83 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, metric: str = "cosine
     not neighbours, and leave their places to others.
     """
     queries, points = (d if "apart" in d.columns else d.withColumn("apart", F.array().cast("array<long>")) for d in (queries, points))
-    counts = [max(1, math.ceil(d.count() / BLOCK_ROWS)) for d in (queries, points)]
+    counts = blocks_of(queries, points)
     left = queries.select(F.col("id").alias("query"), F.col("vector").alias("q"), F.col("apart").alias("qa"), F.pmod(F.xxhash64("id"), F.lit(counts[0])).cast("int").alias("bq"), F.explode(F.sequence(F.lit(0), F.lit(counts[1] - 1))).alias("bp"))
     right = points.select(F.col("id").alias("point"), F.col("vector").alias("p"), F.col("apart").alias("pa"), F.pmod(F.xxhash64("id"), F.lit(counts[1])).cast("int").alias("bp"), F.explode(F.sequence(F.lit(0), F.lit(counts[0] - 1))).alias("bq"))
-    sign = -1.0 if metric == "cosine" else 1.0
+    cosine = metric == "cosine"
 
     def best(q: pa.Table, p: pa.Table) -> pa.Table:
-        out = [[], [], []]
+        out = [[np.zeros(0, t)] for t in (np.int64, np.int64, np.float64)]
         if q.num_rows and p.num_rows:
             qi, qv = _rows(q, "query", "q")
             pi, pv = _rows(p, "point", "p")
             order = np.argsort(pi, kind="stable")
             pi, pv = pi[order], pv[order]
-            mates: dict[int, list[int]] = {}
-            lists = p["pa"].to_pylist()
+            lists, own = p["pa"].to_pylist(), q["qa"].to_pylist()
+            mates: list[dict[int, list[int]]] = [{} for _ in range(0, len(pi), BLOCK_ROWS)]
             for i, j in enumerate(order.tolist()):
                 for g in lists[j] or ():
-                    mates.setdefault(g, []).append(i)
-            own = q["qa"].to_pylist()
-            if metric == "cosine":
+                    mates[i // BLOCK_ROWS].setdefault(g, []).append(i % BLOCK_ROWS)
+            if cosine:
                 qv, pv = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) for v in (qv, pv))
-            for low in range(0, len(qi), 512):
-                part = qv[low : low + 512]
-                value = -(part @ pv.T) if metric == "cosine" else np.sqrt(np.maximum((part**2).sum(1)[:, None] + (pv**2).sum(1)[None] - 2 * part @ pv.T, 0))
-                value[qi[low : low + 512][:, None] == pi[None]] = np.inf
-                for i, groups in enumerate(own[low : low + 512]):
-                    for g in groups or ():
-                        value[i, mates.get(g, [])] = np.inf
-                at = np.argsort(value, axis=1, kind="stable")[:, :k]
-                got = np.take_along_axis(value, at, axis=1)
-                good = np.isfinite(got)
-                out[0].append(np.repeat(qi[low : low + 512], at.shape[1])[good.ravel()])
-                out[1].append(pi[at][good])
-                out[2].append(sign * got[good])
-        names, kinds = ("query", "point", "value"), (np.int64, np.int64, np.float64)
-        return pa.table({n: np.concatenate(x) if x else np.zeros(0, t) for n, x, t in zip(names, out, kinds, strict=True)})
+            square = (pv**2).sum(axis=1)
+            for low in range(0, len(qi), TILE_ROWS):
+                ids, part, groups = qi[low : low + TILE_ROWS], qv[low : low + TILE_ROWS], own[low : low + TILE_ROWS]
+                size = (part**2).sum(axis=1)[:, None]
+                row, at, value = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)  # the nearest so far, in order
+                limit = np.full(len(ids), np.inf)
+                for n, start in enumerate(range(0, len(pi), BLOCK_ROWS)):
+                    some = slice(start, start + BLOCK_ROWS)
+                    rough = part @ pv[some].T
+                    np.multiply(rough, -1 if cosine else -2, out=rough)
+                    slack = 1e-12 if cosine else 1e-12 * (size + square[some].max())
+                    if not cosine:
+                        rough += size + square[some]
+                    rough[ids[:, None] == pi[some]] = np.inf
+                    for i, mine in enumerate(groups):
+                        for g in mine or ():
+                            rough[i, mates[n].get(g, [])] = np.inf
+                    if np.isinf(limit).any() and rough.shape[1] >= k:
+                        limit = np.minimum(limit, np.partition(rough, k - 1, axis=1)[:, k - 1])
+                    r, c = np.nonzero((rough <= limit[:, None] + slack) & np.isfinite(rough))
+                    if not len(r):
+                        continue
+                    # Values proper are worked out pair by pair, so that equal vectors are equally near.
+                    exact = np.concatenate([_pairwise(part[r[e : e + 8192]], pv[start + c[e : e + 8192]], cosine) for e in range(0, len(r), 8192)])
+                    row, at, value = np.concatenate([row, r]), np.concatenate([at, start + c]), np.concatenate([value, exact])
+                    order = np.lexsort((at, value, row))
+                    row, at, value = row[order], at[order], value[order]
+                    first = np.searchsorted(row, np.arange(len(ids)))
+                    kept = np.arange(len(row)) - first[row] < k
+                    row, at, value = row[kept], at[kept], value[kept]
+                    full = np.flatnonzero(np.bincount(row, minlength=len(ids)) == k)
+                    last = np.searchsorted(row, full, side="right") - 1
+                    limit[full] = value[last]
+                out[0].append(ids[row])
+                out[1].append(pi[at])
+                out[2].append(-value if cosine else np.sqrt(value))
+        return pa.table({n: np.concatenate(x) for n, x in zip(("query", "point", "value"), out, strict=True)})
 
     cells = left.groupBy("bq", "bp").cogroup(right.groupBy("bq", "bp")).applyInArrow(best, "query long, point long, value double")
-    by = F.desc("value") if metric == "cosine" else F.asc("value")
+    by = F.desc("value") if cosine else F.asc("value")
     return cells.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(by, "point"))).where(F.col("place") <= k)
 
 
+def _pairwise(a: np.ndarray, b: np.ndarray, cosine: bool) -> np.ndarray:
+    """Minus the products, or the squared distances, of rows."""
+    return -np.einsum("ij,ij->i", a, b) if cosine else ((a - b) ** 2).sum(axis=1)
+
+
+def blocks_of(queries: DataFrame, points: DataFrame) -> tuple[int, int]:
+    """Numbers of blocks: as few as hold CELL_NUMBERS numbers each, since rows travel once for each block of the other side and
+    leave k rows for each block of points; and so many that all cores have cells where there is work."""
+    sizes = [d.agg(F.count("*"), F.max(F.size("vector"))).first() for d in (queries, points)]
+    least = [max(1, math.ceil(n * (width or 1) / CELL_NUMBERS)) for n, width in sizes]
+    cells = 4 * queries.sparkSession.sparkContext.defaultParallelism
+    wanted = math.ceil(cells / least[1])
+    return max(least[0], min(wanted, math.ceil(sizes[0][0] / TILE_ROWS))), least[1]
+
+
 def label_consistency(points: DataFrame, groups: DataFrame | None = None, k: int = 10, least: float = 0.70, support: int = 8) -> DataFrame:
     """points (id, label, vector) -> id, label, disagreement, suggested, margin, severity, flagged.
 
