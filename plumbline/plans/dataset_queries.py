@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from plumbline.operators.outliers import combined_outliers
 from plumbline.plans.registry import register
 from plumbline.sources.shared import written
 
+#: Rows of a partition of lines and orders, about.
+PART_ROWS = 1_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -278,18 +283,20 @@ def ood_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def metadata_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    again = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice"))
+    # Rows of one order are together in partitions of bounded size, narrow, for all checks: a task holds no more of a larger table.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((lines.count() + orders.count()) / PART_ROWS))
+    placed, owners = lines.select("l_orderkey", "l_linenumber").repartition(parts, "l_orderkey"), orders.select("o_orderkey").repartition(parts, "o_orderkey")
+    keys = placed.select("l_orderkey")
+    again = placed.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1").select("l_orderkey", F.explode(F.sequence(F.lit(2), F.col("n"))))
 
     def issue(code: str, rows: DataFrame, key: str) -> DataFrame:
         return rows.select(F.lit(code).alias("code"), F.lit("").alias("locator"), F.col(key).alias("sample_id"))
 
-    issues = issue("orphan_annotation", lines.join(orders, lines.l_orderkey == orders.o_orderkey, "left_anti"), "l_orderkey")
-    issues = issues.unionByName(issue("duplicate_id", lines.withColumn("rn", again).where("rn > 1"), "l_orderkey"))
+    issues = issue("orphan_annotation", keys.join(owners.hint("merge"), keys.l_orderkey == owners.o_orderkey, "left_anti"), "l_orderkey")
+    issues = issues.unionByName(issue("duplicate_id", again, "l_orderkey"))
     issues = issues.unionByName(issue("invalid_bbox", lines.where("l_quantity <= 0"), "l_orderkey"))
-    issues = issues.unionByName(issue("unlabelled_sample", orders.join(lines, lines.l_orderkey == orders.o_orderkey, "left_anti"), "o_orderkey"))
+    issues = issues.unionByName(issue("unlabelled_sample", owners.join(keys.hint("merge"), keys.l_orderkey == owners.o_orderkey, "left_anti"), "o_orderkey"))
     return integrity.integrity_findings(issues)
 
 
