@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.neighbours import BLOCK_ROWS, _rows, shrunk_covariance
+from plumbline.operators.neighbours import _rows, blocks_of, shrunk_covariance
 from plumbline.operators.populations import corrected_rate, outlier_severity
 from plumbline.operators.ranks import running_total
 from plumbline.sources.shared import written
 
 FOLDS, NEIGHBOURS, COMPONENTS, FALSE_ALARMS = 5, 5, 48, 0.01
 METHODS = ("mahalanobis", "knn", "residual")
+#: Rows of the reference that meet a tile of rows at a time, and rows of a tile.
+BLOCK_ROWS, TILE_ROWS = 1024, 1024
 
 
 class FoldModel(NamedTuple):
@@ -122,13 +124,64 @@ def subspace_scores(points: DataFrame, models: list[FoldModel]) -> DataFrame:
     return points.select("id", "vector", "fold").mapInArrow(run, "id long, mahalanobis double, residual double")
 
 
+def _nearest_distances(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+    """Distances of each row of a to its k nearest rows of b (all, if fewer), in order.
+
+    A product in single precision gives every square, less more than its error can be; only pairs below the nearest so far
+    are worked out, from their differences.
+    """
+    d, few = a.shape[1], min(k, len(b))
+    scale = max(np.abs(a).max(), np.abs(b).max()) or 1.0
+    less = 1 - 2 * (d + 4) * np.finfo(np.float32).eps
+    left, right = np.ones((len(a), d + 2), np.float32), np.ones((len(b), d + 2), np.float32)
+    left[:, :d], right[:, :d] = a / (-scale / 2), b / scale
+    left[:, d], right[:, d + 1] = ((a / scale) ** 2).sum(axis=1) * less, ((b / scale) ** 2).sum(axis=1) * less
+    width = max(BLOCK_ROWS, few)
+    space = np.empty(TILE_ROWS * width, np.float32)
+    best = np.empty((len(a), few))
+    for low in range(0, len(a), TILE_ROWS):
+        part, near = a[low : low + TILE_ROWS], best[low : low + TILE_ROWS]
+        for start in range(0, len(b), width):
+            some = b[start : start + width]
+            rough = np.matmul(left[low : low + TILE_ROWS], right[start : start + width].T, out=space[: len(part) * len(some)].reshape(len(part), -1))
+            if not start:
+                first = np.argpartition(rough, few - 1, axis=1)[:, :few]
+                near[:] = np.sort(_squares(part, some, np.repeat(np.arange(len(part)), few), first.ravel()).reshape(-1, few), axis=1)
+                np.put_along_axis(rough, first, np.inf, axis=1)
+                limit = _limits(near, scale)
+            hit = np.flatnonzero(rough.min(axis=1) < limit)
+            if not len(hit):
+                continue
+            r, c = np.divmod(np.flatnonzero(rough[hit] < limit[hit, None]), len(some))
+            row = np.concatenate([np.repeat(np.arange(len(hit)), few), r])
+            square = np.concatenate([near[hit].ravel(), _squares(part, some, hit[r], c)])
+            order = np.lexsort((square, row))
+            near[hit] = square[order][np.searchsorted(row[order], np.arange(len(hit)))[:, None] + np.arange(few)]
+            limit[hit] = _limits(near[hit], scale)
+    return np.sqrt(best)
+
+
+def _squares(a: np.ndarray, b: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Squared distances of pairs of rows."""
+    return np.concatenate([np.zeros(0), *(((a[row[e : e + 8192]] - b[at[e : e + 8192]]) ** 2).sum(axis=1) for e in range(0, len(row), 8192))])
+
+
+def _limits(near: np.ndarray, scale: float) -> np.ndarray:
+    """What a pair's rough square must be below to come among the nearest; nothing is nearer than a distance of zero."""
+    last = near[:, -1]
+    return np.where(last > 0, np.nextafter((last / scale / scale + 1e-36).astype(np.float32), np.float32(np.inf)), np.float32(-np.inf))
+
+
 def neighbour_scores(points: DataFrame, models: list[FoldModel], k: int = NEIGHBOURS) -> DataFrame:
     """id, knn: mean distance to the k nearest rows that a model was fitted on, in its axes, cross-fitted.
 
-    A cell holds a block of all rows and a block of the reference; both are projected there for every fold, and k distances of
-    each row and fold leave it.
+    A cell holds a block of all rows and a block of the reference, as large as blocks_of() lets them be; both are projected
+    there for every fold, and k distances of each row and fold leave it.
     """
-    counts = [max(1, math.ceil(d.count() / BLOCK_ROWS)) for d in (points, points.where("reference"))]
+    counts = blocks_of(points, points.where("reference"))
+    session, cells = points.sparkSession, counts[0] * counts[1]
+    # More partitions than cells, so that no task gets many of them while others get none.
+    parts = min(4 * cells, max(32 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions"))))
     block = [F.pmod(F.xxhash64("id"), F.lit(n)).cast("int") for n in counts]
     left = points.select(F.col("id").alias("query"), F.col("vector").alias("q"), F.col("fold").alias("qf"), block[0].alias("bq"), F.explode(F.sequence(F.lit(0), F.lit(counts[1] - 1))).alias("bp"))
     right = points.where("reference").select(F.col("id").alias("point"), F.col("vector").alias("p"), F.col("fold").alias("pf"), block[1].alias("bp"), F.explode(F.sequence(F.lit(0), F.lit(counts[0] - 1))).alias("bq"))
@@ -143,23 +196,17 @@ def neighbour_scores(points: DataFrame, models: list[FoldModel], k: int = NEIGHB
                 ask, fitted = np.flatnonzero((qf == m.fold) | (qf < 0)), pv[pf != m.fold]
                 if not len(ask) or not len(fitted):
                     continue
-                b = (fitted - m.mean) @ m.axes.T
-                square = (b * b).sum(axis=1)
-                for low in range(0, len(ask), 512):
-                    part = ask[low : low + 512]
-                    a = (qv[part] - m.mean) @ m.axes.T
-                    distance = np.maximum((a * a).sum(axis=1)[:, None] - 2 * a @ b.T + square, 0)
-                    few = min(k, distance.shape[1])
-                    best = np.sqrt(np.partition(distance, few - 1, axis=1)[:, :few])
-                    out[0].append(np.repeat(ids[part], few))
-                    out[1].append(np.full(best.size, m.fold, np.int32))
-                    out[2].append(best.ravel())
+                best = _nearest_distances((qv[ask] - m.mean) @ m.axes.T, (fitted - m.mean) @ m.axes.T, k)
+                out[0].append(np.repeat(ids[ask], best.shape[1]))
+                out[1].append(np.full(best.size, m.fold, np.int32))
+                out[2].append(best.ravel())
         kinds = (np.int64, np.int32, np.float64)
         return pa.table({n: np.concatenate(x) if x else np.zeros(0, t) for n, x, t in zip(("query", "model", "distance"), out, kinds, strict=True)})
 
-    cells = left.groupBy("bq", "bp").cogroup(right.groupBy("bq", "bp")).applyInArrow(near, "query long, model int, distance double")
+    left, right = (d.repartition(parts, "bq", "bp") for d in (left, right))
+    found = left.groupBy("bq", "bp").cogroup(right.groupBy("bq", "bp")).applyInArrow(near, "query long, model int, distance double")
     place = F.row_number().over(Window.partitionBy("query", "model").orderBy("distance"))
-    means = cells.withColumn("place", place).where(F.col("place") <= k).groupBy("query", "model").agg(F.avg("distance").alias("distance"))
+    means = found.withColumn("place", place).where(F.col("place") <= k).groupBy("query", "model").agg(F.avg("distance").alias("distance"))
     return means.groupBy(F.col("query").alias("id")).agg(F.avg("distance").alias("knn"))
 
 
