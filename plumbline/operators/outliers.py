@@ -25,8 +25,8 @@ from plumbline.sources.shared import written
 
 FOLDS, NEIGHBOURS, COMPONENTS, FALSE_ALARMS = 5, 5, 48, 0.01
 METHODS = ("mahalanobis", "knn", "residual")
-#: Rows of the reference that meet a tile of rows at a time, and rows of a tile.
-BLOCK_ROWS, TILE_ROWS = 1024, 1024
+#: Rows of the reference that meet a tile of rows at a time, rows of a tile, and pairs of a row in a block that are many.
+BLOCK_ROWS, TILE_ROWS, CROWDED = 1024, 1024, 64
 
 
 class FoldModel(NamedTuple):
@@ -128,14 +128,11 @@ def _nearest_distances(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
     """Distances of each row of a to its k nearest rows of b (all, if fewer), in order.
 
     A product in single precision gives every square, less more than its error can be; only pairs below the nearest so far
-    are worked out, from their differences.
+    are worked out, from their differences.  Where that leaves many pairs, rows nearly equal, one in double precision follows.
     """
-    d, few = a.shape[1], min(k, len(b))
+    few = min(k, len(b))
     scale = max(np.abs(a).max(), np.abs(b).max()) or 1.0
-    less = 1 - 2 * (d + 4) * np.finfo(np.float32).eps
-    left, right = np.ones((len(a), d + 2), np.float32), np.ones((len(b), d + 2), np.float32)
-    left[:, :d], right[:, :d] = a / (-scale / 2), b / scale
-    left[:, d], right[:, d + 1] = ((a / scale) ** 2).sum(axis=1) * less, ((b / scale) ** 2).sum(axis=1) * less
+    left, right = _sides(a, b, scale, np.float32)
     width = max(BLOCK_ROWS, few)
     space = np.empty(TILE_ROWS * width, np.float32)
     best = np.empty((len(a), few))
@@ -152,7 +149,13 @@ def _nearest_distances(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
             hit = np.flatnonzero(rough.min(axis=1) < limit)
             if not len(hit):
                 continue
-            r, c = np.divmod(np.flatnonzero(rough[hit] < limit[hit, None]), len(some))
+            pairs = np.flatnonzero(rough[hit] < limit[hit, None])
+            if len(pairs) > CROWDED * len(hit):
+                q, p = _sides(part[hit], some, scale, np.float64)
+                fine = np.where(np.isinf(rough[hit]), np.inf, q @ p.T)
+                last = np.partition(fine, min(few, len(some)) - 1, axis=1)[:, min(few, len(some)) - 1] + 8 * (len(p.T) + 2) * len(p.T) * np.finfo(np.float64).eps
+                pairs = np.flatnonzero((fine < limit[hit, None]) & (fine <= last[:, None]))
+            r, c = np.divmod(pairs, len(some))
             row = np.concatenate([np.repeat(np.arange(len(hit)), few), r])
             square = np.concatenate([near[hit].ravel(), _squares(part, some, hit[r], c)])
             order = np.lexsort((square, row))
@@ -161,6 +164,16 @@ def _nearest_distances(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
     return np.sqrt(best)
 
 
+def _sides(a: np.ndarray, b: np.ndarray, scale: float, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Two matrices whose product is the squared distances of rows, in units of scale, less more than its error can be."""
+    d = a.shape[1]
+    less = 1 - 2 * (d + 4) * np.finfo(kind).eps
+    left, right = np.ones((len(a), d + 2), kind), np.ones((len(b), d + 2), kind)
+    left[:, :d], right[:, :d] = a / (-scale / 2), b / scale
+    left[:, d], right[:, d + 1] = ((a / scale) ** 2).sum(axis=1) * less, ((b / scale) ** 2).sum(axis=1) * less
+    return left, right
+
+
 def _squares(a: np.ndarray, b: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Squared distances of pairs of rows."""
     return np.concatenate([np.zeros(0), *(((a[row[e : e + 8192]] - b[at[e : e + 8192]]) ** 2).sum(axis=1) for e in range(0, len(row), 8192))])

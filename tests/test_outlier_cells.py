@@ -17,6 +17,7 @@ def kinds():
         "spread": rng.normal(size=(300, 48)),
         "copies": few,
         "near copies": few + rng.normal(size=few.shape) * 1e-6,
+        "one crowd": rng.normal(size=(1, 48)) + rng.normal(size=(400, 48)) * 1e-6,
         "far rows": rng.normal(size=(300, 9)) * np.where(rng.random((300, 1)) < 0.02, 1e9, 1),
         "small": rng.normal(size=(300, 4)) * 1e-150,
         "all scales": rng.normal(size=(300, 4)) * 10.0 ** rng.integers(-30, 20, (300, 1)),
@@ -43,6 +44,10 @@ def test_few_pairs_are_worked_out(monkeypatch):
     outliers._nearest_distances(b[:200] + rng.normal(size=(200, 48)), b, 5)
     assert sum(worked) < 60 * 200
     worked.clear()
+    crowd = rng.normal(size=(1, 48)) + rng.normal(size=(20_000, 48)) * 1e-4  # single precision does not tell these apart
+    outliers._nearest_distances(crowd[:200], crowd, 5)
+    assert sum(worked) < 60 * 200
+    worked.clear()
     assert not outliers._nearest_distances(np.ones((200, 4)), np.ones((20_000, 4)), 5).any()
     assert sum(worked) == 5 * 200
 
