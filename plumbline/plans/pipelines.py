@@ -55,7 +55,7 @@ def scan_dataset(samples: DataFrame, vectors: DataFrame | None = None, issues: D
     parts = [_finding(groups, "exact_duplicate", "duplicate_flood", F.col("representative"), F.col("contributor"), F.col("severity"), F.lit(1.0), "DETERMINISTIC")]
     done, tables = ["duplicate_flood", "near_duplicate_flood"], {"exact": groups}
     if pairs is None:
-        pairs = written(duplicates.near_text_links(duplicates.text_vectors(samples, "id", "content")), "pairs")
+        pairs = written(duplicates.near_text_links(duplicates.blocks_of_texts(samples, "id", "content")), "pairs")
     clusters = written(duplicates.near_clusters(pairs), "near")
     tables["near"] = clusters
     parts.append(_finding(clusters, "near_duplicate", "near_duplicate_flood", F.col("component"), none, F.col("severity"), F.col("confidence"), "HEURISTIC_UNCALIBRATED"))
